@@ -14,7 +14,8 @@ Rules, by case: a text that is null or holds no letter gets ``und`` and score 0;
 text of any length is scored whole; rows with a null language, null text or null id
 teach nothing; repeated rows are scored each; with no row to learn from, every
 prediction is ``und``; more than ``MAX_LANGUAGES`` languages raise an error; extra
-columns are ignored by ``predicted`` and kept by ``accepted``.
+columns are ignored by ``predicted`` and kept by ``accepted``; with nothing to learn
+from, ``accepted`` keeps every text with a letter.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -249,3 +251,25 @@ def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         }
 
     return map_arrow(docs.select(id_col, held_out(id_col, 3, 1).alias("held_out"), text_col), each, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+#: A document is rejected if it holds no letter or no language reaches this score.
+LEAST_SCORE = 0.3
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which a language is recognised; in one pass, without a shuffle."""
+    net, names = fit(docs, id_col, text_col, lang_col)
+    kinds = docs.schema
+    text_at = docs.columns.index(text_col)
+
+    def kept(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(text_at).to_pylist()
+                has = np.array([bool(t and LETTER.search(t)) for t in texts])
+                good = has & (scored(net, texts).max(axis=1) >= least) if net else has
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(kept, kinds)
