@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, pii
+from . import bpe, exact_dedup, langid, licences, lm_score, mixing, pii, simhash, topk, toxicity
 from .common import table
 
 
@@ -12,20 +12,48 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs.withColumn("path", licences.path_of_document()), "path", "text", "doc_id")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(table(spark, sf_dir, "documents"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.of_table(table(spark, sf_dir, "embeddings"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op1_pii": op1_pii,
-    "op6_bpe": op6_bpe,
-    "op10_exact_dedup": op10_exact_dedup,
-}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_licences, op3_simhash, op4_topk, op5_toxicity, op6_bpe, op7_lm_score, op8_mixing, op9_langid, op10_exact_dedup)}
 
 ORACLES = {
+    "op2_licences": licences.oracle(),
+    "op4_topk": topk.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
