@@ -68,10 +68,13 @@ def present(text: str | None, table: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_label: int, folds: int, fold: int) -> list[tuple[int, np.ndarray]]:
     """Label and n-gram places of the rows to learn from."""
     known = labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_label")).filter("_label IN (0, 1) AND _i IS NOT NULL").filter(~held_out("_i", folds, fold))
-    turn = F.xxhash64(F.lit(label_col), "_i")
+    # A few rows more than wanted are drawn by their hash, so that the cut after it moves little.
+    sizes = dict(map(tuple, known.groupBy("_label").count().collect()))
+    uniform = F.pmod(F.xxhash64(F.lit(label_col), "_i"), F.lit(1 << 40)) / float(1 << 40)
     drawn = None
     for label in (0, 1):
-        part = known.filter(F.col("_label") == label).orderBy(turn, "_i").limit(per_label)
+        share = min(1.0, (1.1 * per_label + 100) / max(1, sizes.get(label, 0)))
+        part = known.filter(F.col("_label") == label).filter(uniform <= share).orderBy(uniform, "_i").limit(per_label)
         drawn = part if drawn is None else drawn.unionByName(part)
     # At most 2 * per_label rows, so they may be broadcast.
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL").join(F.broadcast(drawn), "_i")
