@@ -214,15 +214,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     names = sorted(sizes)
     if not names:
         return None, []
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 40)) + 1) / float(1 << 40)
-    size = F.lit(0.0)
+    # Every language gets the same share of the sample, whatever its share of the rows; a
+    # few rows more are drawn by their hash, so that little is sent and the cut is exact.
+    share = F.lit(0.0)
     for name, n in sizes.items():
-        size = F.when(F.col(lang_col) == name, F.lit(float(n))).otherwise(size)
+        share = F.when(F.col(lang_col) == name, F.lit(min(1.0, 1.3 * TRAIN_WINDOWS / len(sizes) / n))).otherwise(share)
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 40)) + 1) / float(1 << 40)
     text = F.col(text_col)
     start = F.pmod(F.xxhash64(F.lit(seed + 1), id_col), F.greatest(F.length(text) - TRAIN_BYTES, F.lit(0)).cast("long") + 1) + 1
     sample = (
-        known.filter(text.rlike("\\p{L}"))
-        .select((-F.log(uniform) * size).alias("turn"), F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), text.substr(start.cast("int"), F.lit(TRAIN_BYTES)).alias("piece"))
+        known.filter(uniform <= share)
+        .filter(text.rlike("\\p{L}"))
+        .select((uniform / share).alias("turn"), F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), text.substr(start.cast("int"), F.lit(TRAIN_BYTES)).alias("piece"))
         .orderBy("turn", "i", "lang", "piece")
         .limit(TRAIN_WINDOWS)
         .collect()
