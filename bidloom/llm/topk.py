@@ -27,7 +27,7 @@ K = 10
 #: Rows of a block of candidates and of queries.
 CANDIDATES = 8192
 QUERIES = 1024
-STEPS = 16
+STEPS = 8
 #: Candidates that may be left when a query stops reading: this share of its block.
 LEFT = 1 / 32
 
@@ -86,6 +86,8 @@ class Lists:
             part += np.bincount(which.ravel(), weights=adds.ravel(), minlength=n)
             flat[(which * d + lists[:, None]).ravel()] = 1
             following = adds[:, -1]
+            if end < n and following.sum() >= part.max():  # lower bounds are below what was read: no stop yet
+                continue
             table = np.zeros((d, 2), np.float32)
             table[lists, 0], table[lists, 1] = following, worst
             read = self.seen @ table
