@@ -8,7 +8,7 @@ variants, and the pairs that meet are deduplicated and verified.
 
 Shuffling every variant by itself would move 2,081 rows a fingerprint. Variants are
 shuffled on their leading bits instead: a fingerprint goes once to each bucket that
-holds any of its variants (56 rows for ten leading bits) and the variants in a bucket
+holds any of its variants (67 rows for eleven leading bits) and the variants in a bucket
 are spelled out there, in numpy, and meet by sorting. The number of leading bits
 follows the number of fingerprints. A bucket with too many variants (a dense group of
 near copies) is cut by eight further bits, again and again; with all bits used, a
@@ -43,8 +43,8 @@ SEED = 42
 HALF = 2
 BITS = 64
 #: Variants that a bucket may hold before it is cut, and those that it holds on average.
-MOST = 1 << 22
-USUAL = 1 << 19
+MOST = 1 << 21
+USUAL = 1 << 18
 FURTHER = 8
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 POWERS = 1 << np.arange(BITS, dtype=np.uint64)
