@@ -257,7 +257,7 @@ def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 #: A document is rejected if it holds no letter or no language reaches this score.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.25
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
