@@ -18,7 +18,7 @@ COLD_START = 50
 
 def decay(day: Column, now: str) -> Column:
     age = F.datediff(F.lit(now).cast("date"), day.try_cast("date"))
-    return F.coalesce(F.exp(-F.greatest(age, F.lit(0)) / FOLD_DAYS), F.lit(UNDATED))
+    return F.when(age.isNull(), UNDATED).otherwise(F.exp(-F.greatest(age, F.lit(0)) / FOLD_DAYS))  # greatest() skips nulls
 
 
 def history(valid: DataFrame, categories: list[str], now: str) -> DataFrame:
