@@ -133,7 +133,7 @@ class Encoder:
                         break
                 if not known:
                     break
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > CACHE:
                 self.pairs.clear()
             self.pairs[left, right] = known
         return known
