@@ -74,6 +74,8 @@ SELECT {keys}, any_value(n)::BIGINT AS count, count(*) AS filtered_count, {r('av
 FROM inner_rows GROUP BY {keys}"""
 
 
+#: Interpolated prices often lie on a half; engines differ in the last bit there, so both are moved off it.
+NUDGE = "1.000000000001::DOUBLE"
 MONEY = ("mean", "median", "std", "p10", "p90", "min", "max", "iqr_lower", "iqr_upper", "reasonable_low", "historical_min")
 
 
@@ -115,10 +117,12 @@ def compare_price(d):
 i AS (SELECT material_id, unit_price, n, b, bs FROM valid JOIN q USING (material_id) WHERE unit_price BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1)),
 s AS (SELECT material_id, any_value(n) AS n, any_value(b) AS b, any_value(bs) AS bs, min(unit_price) AS lo, max(unit_price) AS hi, avg(unit_price) AS av, coalesce(stddev_samp(unit_price), 0) AS sd,
   quantile_cont(unit_price, 0.1) AS p1, quantile_cont(unit_price, 0.5) AS p5, quantile_cont(unit_price, 0.9) AS p9 FROM i GROUP BY material_id)
-SELECT material_id, {r('lo', 6)} AS ref_price_reasonable_low, {r('CASE WHEN n >= 5 THEN p1 ELSE lo END', 6)} AS ref_price_low, {r('av', 6)} AS ref_price_avg, {r('p5', 6)} AS ref_price_median,
-  {r('CASE WHEN n >= 5 THEN p9 ELSE hi END', 6)} AS ref_price_high, {r('sd / av', 4)} AS price_cv, {r('greatest(1.5::DOUBLE * sd / av, 0.05::DOUBLE)', 3)} AS deviation_threshold, bs AS recommended_brands, b::INTEGER AS supplier_count FROM s""")
+SELECT material_id, {r('(lo) * ' + NUDGE, 3)} AS ref_price_reasonable_low, {r('(CASE WHEN n >= 5 THEN p1 ELSE lo END) * ' + NUDGE, 3)} AS ref_price_low, {r('(av) * ' + NUDGE, 3)} AS ref_price_avg, {r('(p5) * ' + NUDGE, 3)} AS ref_price_median,
+  {r('(CASE WHEN n >= 5 THEN p9 ELSE hi END) * ' + NUDGE, 3)} AS ref_price_high, {r('sd / av', 4)} AS price_cv, {r('greatest(1.5::DOUBLE * sd / av, 0.05::DOUBLE)', 3)} AS deviation_threshold, bs AS recommended_brands, b::INTEGER AS supplier_count FROM s""")
 def refresh_material_baselines(d):
-    out = rounds(B.refreshed(valid(d)), 6, "ref_price_reasonable_low", "ref_price_low", "ref_price_avg", "ref_price_median", "ref_price_high")
+    money = ("ref_price_reasonable_low", "ref_price_low", "ref_price_avg", "ref_price_median", "ref_price_high")
+    out = B.refreshed(valid(d))
+    out = rounds(out.withColumns({c: F.col(c) * 1.000000000001 for c in money}), 3, *money)
     return rounds(rounds(out, 4, "price_cv"), 3, "deviation_threshold").withColumn("recommended_brands", F.array_join("recommended_brands", ","))
 
 
