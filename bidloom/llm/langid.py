@@ -14,13 +14,22 @@ Rules, by case: a text that is null or holds no letter gets ``und`` and score 0;
 text of any length is scored whole; rows with a null language, null text or null id
 teach nothing; repeated rows are scored each; with no row to learn from, every
 prediction is ``und``; more than ``MAX_LANGUAGES`` languages raise an error; extra
-columns are ignored by ``predicted`` and kept by ``accepted``; with nothing to learn
-from, ``accepted`` keeps every text with a letter.
+columns are ignored by ``predicted`` and kept by ``accepted``.
+
+``accepted`` fits its network with one class more, "no language", which learns from
+made-up texts with letters but without a language (``junk_pieces``). A text goes if it
+holds no letter or if the mean probability of that class is above a bound, which is
+calibrated on held-out labelled texts: at least 0.5, and so high that hardly any of
+them go. The fewer texts it is told from, the nearer to 1 it is; with none, or with
+nothing to learn from, every text with a letter stays. The rule holds for any number of
+languages, one included.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -205,15 +214,15 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> tuple[Network | None, list[str]]:
-    """The network and its languages, from the rows that are not held out."""
-    known = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col, 3, 1))
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, seed: int, held: bool = False) -> tuple[list, list[str]]:
+    """Rows (i, lang, piece) drawn from those that are not held out (or those that are), and the languages."""
+    known = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (held_out(id_col, 3, 1) == held))
     sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col)).count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     names = sorted(sizes)
     if not names:
-        return None, []
+        return [], []
     # Every language gets the same share of the sample, whatever its share of the rows; a
     # few rows more are drawn by their hash, so that little is sent and the cut is exact.
     share = F.lit(0.0)
@@ -230,11 +239,33 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         .limit(TRAIN_WINDOWS)
         .collect()
     )
+    return sample, names
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> tuple[Network | None, list[str]]:
+    """The network and its languages, from the rows that are not held out."""
+    sample, names = sampled(docs, id_col, text_col, lang_col, seed)
     if not sample:
         return None, []
     return train([r.piece for r in sample], [names.index(r.lang) for r in sample], len(names), seed), names
 
 
+def junk_pieces(texts: list[str], n: int, seed: int = 0) -> list[str]:
+    """``n`` pieces with letters and without a language: letters drawn at random from those of ``texts`` or of ASCII, codes, repeated motifs."""
+    rng = random.Random(seed)
+    own = sorted(set(LETTER.findall("".join(texts)))) or list(string.ascii_lowercase)
+    kinds = [(own, 1, 12), (string.ascii_lowercase, 1, 12), (string.ascii_letters + string.digits + "+/", 8, 76), ("0123456789abcdef", 4, 40)]
+    out = []
+    for k in range(n):
+        letters, least, most = kinds[k % len(kinds)] if k % 5 else (rng.choices(own, k=rng.randint(1, 4)), 2, 30)
+        piece, motif = [], "".join(rng.choices(letters, k=rng.randint(2, 5)))
+        while sum(map(len, piece)) < TRAIN_BYTES:
+            size = rng.randint(least, most)
+            piece.append((motif * size)[:size] if k % 5 == 0 else "".join(rng.choices(letters, k=size)))
+        out.append(" ".join(piece)[: rng.choice((12, 24, 48, TRAIN_BYTES))])
+    return out
+
+
 def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: tuple[Network | None, list[str]] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score."""
     net, names = model or fit(docs, id_col, text_col, lang_col)
@@ -256,13 +287,29 @@ def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return map_arrow(docs.select(id_col, held_out(id_col, 3, 1).alias("held_out"), text_col), each, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-#: A document is rejected if it holds no letter or no language reaches this score.
-LEAST_SCORE = 0.25
+#: The share of held-out labelled texts that may go, and the least bound.
+MAY_GO, LEAST_BOUND = 0.002, 0.5
+
+
+def fit_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> tuple[Network | None, float]:
+    """A network whose last class is "no language", and the bound of that class's probability above which a text goes."""
+    sample, names = sampled(docs, id_col, text_col, lang_col, seed)
+    apart = sampled(docs, id_col, text_col, lang_col, seed, held=True)[0] if sample else []
+    if not apart:
+        return None, 1.0
+    texts = [r.piece for r in sample]
+    # As many as an average language has.
+    junk = junk_pieces(texts, -(-len(texts) // len(names)), seed)
+    net = train(texts + junk, [names.index(r.lang) for r in sample] + [len(names)] * len(junk), len(names) + 1, seed)
+    none = scored(net, [r.piece for r in apart])[:, -1]
+    room = 1 - max(LEAST_BOUND, float(np.quantile(none, 1 - MAY_GO, method="higher")))
+    # Fewer texts than tell a share of MAY_GO say less about those not seen.
+    return net, 1 - room * min(1.0, MAY_GO * len(apart))
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, with all their columns, in which a language is recognised; in one pass, without a shuffle."""
-    net, names = fit(docs, id_col, text_col, lang_col)
+    net, bound = fit_filter(docs, id_col, text_col, lang_col)
     kinds = docs.schema
     text_at = docs.columns.index(text_col)
 
@@ -272,7 +319,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 part = batch.slice(at, 256)
                 texts = part.column(text_at).to_pylist()
                 has = np.array([bool(t and LETTER.search(t)) for t in texts])
-                good = has & (scored(net, texts).max(axis=1) >= least) if net else has
+                good = has & (scored(net, texts)[:, -1] <= bound) if net else has
                 yield part.filter(pa.array(good))
 
     return docs.mapInArrow(kept, kinds)

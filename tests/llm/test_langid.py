@@ -1,3 +1,5 @@
+import random
+import string
 import zlib
 
 import numpy as np
@@ -62,3 +64,16 @@ def test_accepted_keeps_columns_and_good_rows(spark):
     assert odd.columns == odd_docs(spark).columns and {4, 5, 6, 9, 11} <= {r.doc_id for r in odd.collect()}
     assert langid.predicted(odd_docs(spark).limit(0)).collect() == []
     assert len(langid.predicted(odd_docs(spark)).collect()) == len(odd_rows())
+
+
+def test_lettered_junk_goes_for_any_number_of_languages(spark):
+    rng = random.Random(7)
+    junk = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=60 + 9 * i)) for i in range(12)] + ["qwrt zxcv " * 9, "WKQ PZV " * 12]
+    rows, _ = corpus(spark)
+    for names in (("aa",), ("aa", "bb"), ("aa", "bb", "cc")):
+        clean = [r for r in rows[:600] if r[2] in names]
+        short = [(800 + i, r[1].split(" ")[0], r[2], "s") for i, r in enumerate(clean[:20])]
+        docs = spark.createDataFrame(clean + short + [(700 + i, t, None, "s") for i, t in enumerate(junk)], "doc_id long, text string, lang string, score string")
+        got = {r.doc_id for r in langid.accepted(docs).collect()}
+        assert len(got & {r[0] for r in clean + short}) >= 0.99 * len(clean + short)
+        assert len(got & set(range(700, 700 + len(junk)))) <= 1
