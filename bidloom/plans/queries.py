@@ -173,6 +173,11 @@ def quote_stats(d):
     return rounds(D.quote_statistics(valid(d).filter("category = 'PROMO' AND supplier_id = 3")), 2, "avg", "min", "max")
 
 
+@query(f" SELECT count(*) AS count, {r('avg(unit_price)', 2)} AS avg, {r('min(unit_price)', 2)} AS min, {r('max(unit_price)', 2)} AS max FROM valid")
+def quote_stats_all(d):
+    return rounds(D.quote_statistics(valid(d)), 2, "avg", "min", "max")
+
+
 @query(f""", x AS (SELECT category, {r('(unit_price - coalesce(nullif(ref_price_reasonable_low, 0), nullif(ref_price_median, 0))) / coalesce(nullif(ref_price_reasonable_low, 0), nullif(ref_price_median, 0))', 4)} AS dev FROM valid),
 y AS (SELECT category, {alert_sql('dev')} AS level FROM x)
 SELECT category, count(*) FILTER (level = 'normal') AS normal, count(*) FILTER (level = 'yellow') AS yellow, count(*) FILTER (level = 'red') AS red FROM y GROUP BY category""")
@@ -447,6 +452,15 @@ def create_quotes(d):
     return rounds(out, 2, "unit_price", "total_price")
 
 
+@query(f""", t AS (SELECT id, unit_price, quantity, floor(unit_price * quantity * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS total_price, category, ref_price_reasonable_low AS a, ref_price_median AS b FROM valid),
+u AS (SELECT *, {r('(unit_price - coalesce(nullif(a, 0), nullif(b, 0))) / coalesce(nullif(a, 0), nullif(b, 0))', 4)} AS dev FROM t)
+SELECT id, {r('unit_price', 2)} AS unit_price, {r('total_price', 2)} AS total_price, dev AS deviation_pct, {alert_sql('dev')} AS alert_level FROM u""")
+def create_all_quotes(d):
+    rows = d.quotes.filter("unit_price > 0").drop("total_price")
+    out = C.created_quotes(rows, d.materials, d.thresholds).select("id", "unit_price", "total_price", "deviation_pct", "alert_level")
+    return rounds(out, 2, "unit_price", "total_price")
+
+
 @query(""" SELECT user_id::VARCHAR AS job_id, arg_max(event_type, (ts, event_type)) AS status, max(value::INTEGER) AS progress, count(*) AS events FROM (SELECT user_id, ts, event_type, floor(value) AS value FROM events) GROUP BY user_id""")
 def job_states(d):
     e = d._table("events").select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").alias("at"), F.col("event_type").alias("status"), F.floor("value").cast("int").alias("progress"))

@@ -25,3 +25,12 @@ def test_entry_works_without_the_training_data_operators(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda m, *a: None if m.startswith(("bidloom.llm", "corpus_pipeline")) else real(m, *a))
     assert not [k for k in entry.queries() if k.startswith("op") or k == "pipeline"] and "bid_matrix" in entry.queries() and "bid_matrix" in entry.oracle_sql()
+
+
+def test_all_quotes_are_created_and_counted(spark):
+    """Not only those of one supplier or category."""
+    from bidloom.plans.domain import Domain
+
+    whole = Domain(spark, SF).quotes.filter("unit_price > 0")
+    assert queries()["create_all_quotes"](spark, SF).count() == whole.count() > queries()["create_quotes"](spark, SF).count()
+    assert queries()["quote_stats_all"](spark, SF).first()["count"] == whole.count()
