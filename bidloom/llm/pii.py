@@ -180,7 +180,8 @@ def fold_edits(text: str) -> list[Edit]:
 
 def sign_edits(text: str) -> list[Edit]:
     """At and dot disguises; where two overlap, the first stays."""
-    spoken = " at " in text or " dot " in text or " AT " in text or " DOT " in text
+    small = text.lower()
+    spoken = " at " in small or " dot " in small
     edits = [(*m.span(), put) for p, put in ((BRACKET_AT, "@"), (BRACKET_DOT, ".")) for m in p.finditer(text)]
     if spoken:
         edits += [(*m.span(), put) for p, put in ((SPOKEN_AT, "@"), (SPOKEN_DOT, ".")) for m in p.finditer(text)]

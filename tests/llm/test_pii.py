@@ -50,6 +50,11 @@ def test_disguises():
         assert want.items() <= got.items(), (text, got)
 
 
+def test_spoken_disguises_in_any_case():
+    for value in ("john At example Dot com", "john aT example dOt com", "john AT example DOT com"):
+        assert all_values(f"write to {value} now")[1] == {"email": [value]}, value
+
+
 def test_clean_texts_gain_nothing():
     for text in ("we met at home. One two three, go!", "the dot at the end", "Ère née à Köln – 5 · 6", "look at example.com today", "a at b"):
         assert all_values(text)[1] == {}, text
