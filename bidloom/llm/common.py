@@ -16,19 +16,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the one the cluster names in ``spark.checkpoint.dir``.
+    """The application's own folder in the one all executors share, which the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without one (tests on one machine) gets a temporary folder.
+    Only a session on one machine may do without a name; it gets a temporary folder. A
+    cluster that names none is an error: a machine's own folder is no shared one.
     """
     sc = spark.sparkContext
-    if named := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
-        return named
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getCheckpointDir()
+    return f"{named}/bidloom-{sc.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables this application has saved; call it when the operators' results have been read or written."""
+    _delete(spark, shared_folder(spark))
 
 
 class Saved:
-    """A table in the shared folder: it cuts lineage, and lost executors cost no recomputation."""
+    """A table in the shared folder: it cuts lineage, and lost executors cost no recomputation.
+
+    Operators delete those they have done with. A table that a returned DataFrame still
+    reads stays until ``clean``.
+    """
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
@@ -37,9 +55,29 @@ class Saved:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def delete(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(self.spark, self.path)
+
+
+#: Keys of a join that are broadcast, at most.
+HOT_KEYS = 10_000
+
+
+def joined_per_key(rows: DataFrame, per_key: DataFrame, on: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``per_key``, one row a key (nulls never meet), whose column ``size`` counts the key's rows.
+
+    A key with more than a ten-thousandth of all rows would meet in one task. There are
+    at most ``HOT_KEYS`` of them, so they may be broadcast; the rest is shuffled. Both
+    inputs are read twice, so save what is dear.
+    """
+    total = per_key.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.col(size) > total // HOT_KEYS
+    few, many = F.broadcast(per_key.filter(hot)), per_key.filter(~hot)
+    return rows.join(few, on).unionByName(rows.join(F.broadcast(per_key.filter(hot).select(*on)), on, "left_anti").join(many, on))
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, dots included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -29,3 +29,21 @@ def test_deduplicated_keeps_one_row_of_each_text(spark):
     assert sorted((r.text or "", -1 if r.doc_id is None else r.doc_id) for r in got.collect()) == sorted((t, i) for t, (i,) in best.items())
     small = {r.doc_id for r in exact_dedup.deduplicated(docs, keep="smallest").collect()}
     assert 6 in small and 7 not in small
+
+
+def test_maps_and_dotted_names_come_back(spark):
+    rows = [(i, ["a", "b"][i % 2], {"k": str(i)}, i) for i in range(6)] + [(7, None, None, 7), (8, "", {}, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `m.x` map<string,string>, `a.b` int")
+    got = exact_dedup.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted((r[0], r[1], r[2], r[3]) for r in got.collect()) == [(4, "a", {"k": "4"}, 4), (5, "b", {"k": "5"}, 5), (8, "", {}, 8)]
+
+
+def test_a_group_with_a_third_of_all_rows(spark):
+    """Joined by broadcast, the rest by a shuffle, with the same result."""
+    rows = [(i, "same" if i % 3 == 0 else f"t{i // 2}") for i in range(600)]
+    got = exact_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = defaultdict(list)
+    for i, t in rows:
+        sizes[t].append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, max(sizes[t]), len(sizes[t])) for i, t in rows} and len(got) == 600
