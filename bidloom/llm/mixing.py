@@ -13,15 +13,15 @@ over blocks of equal size, so that each block holds every source by its weight,
 within a block all documents are shuffled together. The total is the least at which
 every source is passed once, so no document is left out.
 
-Running sums are taken in two steps: within buckets of bounded size that a document's
-hash picks, and over the buckets' sums, so a source with a third of all rows is spread
-over many tasks.
+Running sums are taken in three steps: within buckets of bounded size that a document's
+hash picks, over the sums of runs of buckets, and over the runs, so a source with a
+third of all rows is spread over many tasks.
 
 Rules, by case: a null source is a source of its own; a document weighs its words plus
 one (its end), so empty and null texts weigh one; a document that crosses the end of
 the last, partial pass is not in it; rows that repeat an id and a text are ordered
-together; ties in the hash go by id and weight; extra columns are ignored by
-``schedule`` and kept by ``mixed``; an empty table gives an empty result.
+together; ties in the hash go by id and weight; extra columns, whatever their names,
+are ignored by ``schedule`` and kept by ``mixed``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Saved
+from .common import Saved, quoted
 
 #: Share of the greatest possible entropy that the weights reach, and passes at most.
 ENTROPY = 0.9
@@ -42,6 +42,8 @@ BUCKET_TOKENS = 200_000
 SEED = 17
 TRIED = 31
 PASSES = 5
+#: Buckets that are summed in one window.
+RUN = 4096
 
 
 def source_key(column: str) -> Column:
@@ -119,48 +121,65 @@ def turn(one_pass: Column, doc_id: Column, weight: Column) -> Column:
 
 
 class Plan:
-    """The order of all documents' passes over sources ``t`` (their budgets)."""
-
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, entropy: float, repeats: float):
-        self.rows = Saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), source_key(source_col).alias("s"), weight_of(text_col).alias("w"))).df
+    """The order of all documents' passes over sources ``t`` (their budgets).
+
+    ``keep`` names a column (a struct, say) that travels with the rows.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, entropy: float, repeats: float, keep: Column | None = None):
+        source = quoted(source_col)
+        rows = docs.select(
+            F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), source_key(source).alias("s"), weight_of(quoted(text_col)).alias("w"), *([] if keep is None else [keep.alias("row")])
+        )
+        # Without a load, rows are small and saved; with one, the documents are read again.
+        self.rows = Saved(rows).df if keep is None else rows
         sources = Saved(self.rows.groupBy("s").agg(F.sum("w").alias("tokens"))).df
         self.temperature = temperature(sources, entropy, repeats)
         self.sources = Saved(budgets(sources, self.temperature)).df
 
-    def ordered(self, partial_only: bool = False) -> DataFrame:
+    def ordered(self) -> DataFrame:
         """Rows of every pass with ``before``: the tokens of the pass before them."""
-        of = self.rows.join(self.sources, "s")
-        of = of.filter("rest > 0").withColumn("pass", F.col("passes")) if partial_only else of.withColumn("pass", F.explode(F.expr("sequence(0, passes - IF(rest > 0, 0, 1))")))
+        of = self.rows.join(self.sources, "s").withColumn("pass", F.explode(F.expr("sequence(0, passes - IF(rest > 0, 0, 1))")))
         of = of.withColumn("turn", turn(F.col("pass"), F.col("doc_id"), F.col("w")))
         # Buckets follow the order of turns.
         unit = F.shiftrightunsigned(F.col("turn").bitwiseXOR(F.lit(-(1 << 63))), 32) / float(1 << 32)
         of = of.withColumn("bucket", F.least(F.floor(unit * F.col("buckets")), F.col("buckets") - 1))
-        sums = of.groupBy("s", "pass", "bucket").agg(F.sum("w").alias("filled"))
-        over = Window.partitionBy("s", "pass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("s", "pass", "bucket", F.coalesce(F.sum("filled").over(over), F.lit(0)).alias("start"))
+        sums = Saved(of.groupBy("s", "pass", "bucket").agg(F.sum("w").alias("filled"))).df
+        # Running sums over buckets, and over runs of buckets, so that no source's buckets meet in one task.
+        sums = sums.withColumn("run", F.expr(f"bucket div {RUN}"))
+        over = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        runs = sums.groupBy("s", "pass", "run").agg(F.sum("filled").alias("whole"))
+        runs = runs.select("s", "pass", "run", F.coalesce(F.sum("whole").over(over("s", "pass", "run")), F.lit(0)).alias("first"))
+        start = F.coalesce(F.sum("filled").over(over("s", "pass", "run", "bucket")), F.lit(0))
+        sums = sums.withColumn("start", start).join(runs, ["s", "pass", "run"]).select("s", "pass", "bucket", (F.col("start") + F.col("first")).alias("start"))
         inside = Window.partitionBy("s", "pass", "bucket").orderBy("turn", "doc_id", "w").rowsBetween(Window.unboundedPreceding, -1)
         rows = of.withColumn("inside", F.coalesce(F.sum("w").over(inside), F.lit(0))).join(sums, ["s", "pass", "bucket"])
         rows = rows.withColumn("before", F.col("start") + F.col("inside"))
         return rows.filter((F.col("pass") < F.col("passes")) | (F.col("before") + F.col("w") <= F.col("rest")))
 
+    def dealt(self, block_tokens: int) -> DataFrame:
+        """``ordered`` with each row's block and its sorting key within it."""
+        blocks = max(1, int(-(-self.temperature.budget // block_tokens)))
+        at = (F.col("pass") * F.col("tokens") + F.col("before")) / F.col("budget")
+        return self.ordered().withColumn("block", F.least(F.floor(at * float(blocks)), F.lit(blocks - 1)).cast("long")).withColumn("key", F.xxhash64(F.lit(SEED + 1), "turn"))
+
+
+ORDER = ("key", "doc_id", "pass", "w", "s")
+
 
 def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document and pass: doc_id, source, pass, block, place, n_tokens, weight (its source's)."""
-    plan = Plan(docs, id_col, text_col, source_col, entropy, repeats)
-    blocks = max(1, int(-(-plan.temperature.budget // block_tokens)))
-    at = (F.col("pass") * F.col("tokens") + F.col("before")) / F.col("budget")
-    rows = plan.ordered().withColumn("block", F.least(F.floor(at * float(blocks)), F.lit(blocks - 1)).cast("long"))
-    shuffled = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(SEED + 1), "turn"), "doc_id", "pass", "w", "s")
-    return rows.select("doc_id", "source", F.col("pass").cast("int"), "block", F.row_number().over(shuffled).alias("place"), F.col("w").alias("n_tokens"), "weight")
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
-    """``docs`` with every row as often as ``schedule`` has it; texts are not shuffled where the table of sources is small."""
-    plan = Plan(docs, id_col, text_col, source_col, entropy, repeats)
-    last = plan.ordered(partial_only=True).groupBy("s").agg(F.max(F.struct("turn", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "w")).alias("last"))
-    sources = Saved(plan.sources.join(last, "s", "left").select(F.col("s").alias("_s"), F.col("passes").alias("_passes"), F.col("last").alias("_last"))).df
-    w, i = weight_of(text_col), F.col(id_col).cast("long")
-    mine = F.struct(turn(F.col("_passes"), i, w).alias("turn"), F.coalesce(i, F.lit(-(1 << 63))).alias("i"), w.alias("w"))
-    copies = F.col("_passes") + F.when(mine <= F.col("_last"), 1).otherwise(0)
-    marked = docs.withColumn("_key", source_key(source_col)).join(sources, F.col("_key") == F.col("_s"))
-    return marked.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    rows = Plan(docs, id_col, text_col, source_col, entropy, repeats).dealt(block_tokens)
+    place = F.row_number().over(Window.partitionBy("block").orderBy(*ORDER)).alias("place")
+    return rows.select("doc_id", "source", F.col("pass").cast("int"), "block", place, F.col("w").alias("n_tokens"), "weight")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``docs`` as ``schedule`` has them: every row as often as it is passed, each block whole in one partition and in its order.
+
+    The texts are shuffled twice: to the buckets in which a pass is ordered, and to the blocks.
+    """
+    row = F.struct(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    rows = Plan(docs, id_col, text_col, source_col, entropy, repeats, row).dealt(block_tokens)
+    placed = rows.select("block", *ORDER, "row").repartition("block").sortWithinPartitions("block", *ORDER)
+    return placed.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -66,6 +66,34 @@ def test_repetition_limit_wins(spark):
     assert max(r.budget / r.tokens for r in plan.sources.collect()) <= 1.5 + 0.01
 
 
+def test_mixed_realises_the_schedule(spark):
+    """Rows come by whole blocks, in the schedule's order within each."""
+    _, docs = corpus(spark)
+    plan = sorted(mixing.schedule(docs, block_tokens=2000).collect(), key=lambda r: (r.block, r.place))
+    want = defaultdict(list)
+    for r in plan:
+        want[r.block].append(r.doc_id)
+    got = [r.doc_id for r in mixing.mixed(docs, block_tokens=2000).collect()]
+    assert len(want) > 5 and len(got) == len(plan)
+    starts = {tuple(ids): None for ids in want.values()}
+    at = 0
+    while at < len(got):
+        block = next(b for b in starts if list(b) == got[at : at + len(b)])
+        del starts[block]
+        at += len(block)
+    assert not starts
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    names = ["_key", "_s", "_passes", "_last", "_copy", "s", "w", "row", "block", "turn", "a.b", "pass", "key"]
+    docs = corpus(spark)[1].limit(30)
+    for n in names:
+        docs = docs.withColumn(n, mixing.F.lit(n))
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and got.count() >= 30
+    assert all([r[k] for k in range(3, 3 + len(names))] == names for r in got.collect())
+
+
 def test_mixed_repeats_as_scheduled(spark):
     for docs in (corpus(spark)[1], odd_docs(spark)):
         want = Counter(r.doc_id for r in mixing.schedule(docs).collect())
@@ -74,3 +102,11 @@ def test_mixed_repeats_as_scheduled(spark):
         assert Counter(r.doc_id for r in got.select("doc_id").collect()) == want
     assert set(want) == {r[0] for r in odd_rows()}
     assert mixing.mixed(docs.limit(0)).collect() == [] and mixing.schedule(docs.limit(0)).collect() == []
+
+
+def test_buckets_and_runs_make_no_difference(spark, monkeypatch):
+    docs = corpus(spark)[1].limit(200)
+    whole = sorted(map(tuple, mixing.schedule(docs, block_tokens=2000).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_TOKENS", 100)
+    monkeypatch.setattr(mixing, "RUN", 3)
+    assert sorted(map(tuple, mixing.schedule(docs, block_tokens=2000).collect())) == whole
