@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, map_arrow
+from .common import Saved, joined_per_key, map_arrow
 from .components import components
 
 WORDS = 4
@@ -158,6 +158,7 @@ def links(fps: DataFrame, half: int = HALF, most: int = MOST, usual: int = USUAL
         return out
     bits = min(32, max(4, (n * _ball(BITS, half) // usual).bit_length()))
     rows = _to_buckets(fps.select("fp", F.lit(0).cast("long").alias("bucket"), F.lit(half).alias("left")), 0, bits, half)
+    held = None
     while True:
         size = F.lit(1)
         for k in range(1, half + 1):
@@ -165,11 +166,17 @@ def links(fps: DataFrame, half: int = HALF, most: int = MOST, usual: int = USUAL
         full = rows.groupBy("bucket").agg(F.sum(size).alias("variants")).filter(F.col("variants") > most).select("bucket") if bits < BITS else None
         crowded = full is not None and not (full := Saved(full).df).isEmpty()
         calm = rows.join(full, "bucket", "left_anti") if crowded else rows
-        out = out.unionByName(calm.groupBy("bucket").applyInPandas(_met(bits, half), "a long, b long"))
+        # Each round's links and the rows of crowded buckets are saved: nothing is dealt or met twice.
+        found = Saved(calm.groupBy("bucket").applyInPandas(_met(bits, half), "a long, b long")).df
+        out = out.unionByName(found)
+        if crowded:
+            more = min(BITS, bits + FURTHER)
+            now = Saved(_to_buckets(rows.join(full, "bucket", "left_semi"), bits, more, half))
+        if held:
+            held.delete()
         if not crowded:
             return out
-        more = min(BITS, bits + FURTHER)
-        rows, bits = _to_buckets(rows.join(full, "bucket", "left_semi"), bits, more, half), more
+        held, rows, bits = now, now.df, more
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -179,14 +186,16 @@ def hex_fingerprint(fp: Column) -> Column:
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, half: int = HALF) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint, component_id."""
     rows = Saved(fingerprints(docs, id_col, text_col, words)).df
-    distinct = Saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"))).df
+    distinct = Saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))).df
     nodes = components(links(distinct.select("fp"), half))
     # Fingerprints without links are their own components.
-    least = nodes.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("of_nodes"))
-    roots = least.join(distinct.withColumnRenamed("fp", "root"), "root").select("root", F.least("of_nodes", "least").alias("component_id"))
-    far = nodes.join(roots, "root").select(F.col("node").alias("fp"), "component_id").unionByName(roots.select(F.col("root").alias("fp"), "component_id"))
-    all_of = distinct.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(all_of, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("n"))
+    least = nodes.join(distinct.select(F.col("fp").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("of_nodes"))
+    roots = least.join(sizes, "root").join(distinct.select(F.col("fp").alias("root"), "least"), "root")
+    roots = Saved(roots.select("root", F.least("of_nodes", "least").alias("component_id"), "n")).df
+    far = joined_per_key(nodes, roots, ["root"], "n").select(F.col("node").alias("fp"), "component_id").unionByName(roots.select(F.col("root").alias("fp"), "component_id"))
+    all_of = Saved(distinct.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "size")).df
+    return joined_per_key(rows, all_of, ["fp"], "size").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
