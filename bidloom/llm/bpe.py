@@ -17,15 +17,19 @@ suffix, NFC, white space runs to one space, lower case, words by pattern, bytes
 printable characters). Only the vocabulary and the merges are read from it.
 
 Rules, by case: null counts as empty and gives no ids; white space alone gives no
-ids; an added token's own text becomes that token's id; texts of any length are
-encoded whole; repeated rows are encoded each; extra columns are ignored.
+ids; an added token's own text becomes that token's id, with its flags; texts of any
+length are encoded whole; repeated rows are encoded each; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -35,14 +39,63 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow
 
-#: Fixed values of the file format: how texts are cut into words.
+#: Fixed values of the file format: how texts are cut into words, letters and numbers by Unicode's classes.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Letters and numbers that Unicode 16 has beyond 15.1, as first and last code point.
+LETTERS_16 = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"
+NUMBERS_16 = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+# Capitals newer than Unicode 15.1 (runs of code points) and the first one's small letter.
+NEW_CAPITALS = {"1c89-1c89": "1c8a", "a7cb-a7cb": "264", "a7cc-a7cc": "a7cd", "a7ce-a7ce": "a7cf", "a7d2-a7d2": "a7d3", "a7d4-a7d4": "a7d5", "a7da-a7da": "a7db", "a7dc-a7dc": "19b", "10d50-10d65": "10d70", "16ea0-16eb8": "16ebb"}
+#: No character before this one was assigned after Unicode 15.1.
+FIRST_RARE = 0x558
+EXOTIC = re.compile(f"[^\0-{chr(FIRST_RARE - 1)}]")
 #: Marks the end of a word inside the automaton; bytes never map to it.
 END = "\0"
 #: Words whose ids a worker keeps before it starts anew.
 CACHE = 200_000
 
 
+def _ranges(of: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b, 16)) for a, b in (r.split("-") for r in of.split())]
+
+
+@lru_cache(maxsize=None)
+def rare(c: str) -> bool:
+    """Whether tables of Unicode 15.1 don't know a character: later tables may call it a letter, the library's (16) may not."""
+    return unicodedata.category(c) == "Cn"
+
+
+def has_rare(text: str) -> bool:
+    return not text.isascii() and EXOTIC.search(text) is not None and any(map(rare, set(text)))
+
+
+@lru_cache(maxsize=1)
+def small_letters() -> dict[int, int]:
+    return {c: int(small, 16) + c - a for run, small in NEW_CAPITALS.items() for a, b in _ranges(run) for c in range(a, b + 1)}
+
+
+@lru_cache(maxsize=1)
+def exact_words() -> re.Pattern:
+    """``WORDS`` with the classes of Unicode 16, spelled out as ranges: for texts with rare characters."""
+    runs: dict[str, list[tuple[int, int]]] = {"L": [], "N": []}
+    for c in range(sys.maxunicode + 1):
+        if (kind := unicodedata.category(chr(c))[0]) in runs:
+            of = runs[kind]
+            of[-1:] = [(of[-1][0], c)] if of and of[-1][1] == c - 1 else [*of[-1:], (c, c)]
+    classes = {k: "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in of) for k, of in (("L", runs["L"] + _ranges(LETTERS_16)), ("N", runs["N"] + _ranges(NUMBERS_16)))}
+    blank = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    return re.compile(WORDS.replace(r"\p{L}", classes["L"]).replace(r"\p{N}", classes["N"]).replace(r"\s", blank))
+
+
+def added_pattern(tokens: list[dict]) -> re.Pattern | None:
+    """Finds added tokens, the longest first; blanks beside them and whole words as their flags say."""
+    parts = []
+    for t in sorted(tokens, key=lambda t: len(t["content"]), reverse=True):
+        word = rf"(?<!\w){re.escape(t['content'])}(?!\w)" if t["single_word"] else re.escape(t["content"])
+        parts.append((r"\s*" if t["lstrip"] else "") + f"({word})" + (r"\s*" if t["rstrip"] else ""))
+    return re.compile("|".join(parts)) if parts else None
+
+
 def printable_bytes() -> list[str]:
     """The printable character of each byte: itself where it is printable, else the next from U+0100 on."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,7 +116,9 @@ class Encoder:
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.added_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
+        # Tokens that are sought in the text as it stands, and those sought in the normalised one.
+        self.plain = added_pattern([t for t in spec["added_tokens"] if not t["normalized"]])
+        self.normal = added_pattern([t for t in spec["added_tokens"] if t["normalized"]])
         self.words = regex.compile(WORDS)
         self.bytes = printable_bytes()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -181,23 +236,39 @@ class Encoder:
     def pieces(self, text: str | None) -> list[tuple[str, int, str]]:
         """Of each word or added token: its ids as text, how many, and its tokens as text."""
         out: list[tuple[str, int, str]] = []
-        at = 0
-        if not text:
-            return out
-        for m in self.added_pattern.finditer(text) if self.added_pattern and "<|" in text else ():
-            self._add(text[at : m.start()], out)
-            i = self.added[m[0]]
-            out.append((str(i), 1, self.decode([i])))
-            at = m.end()
-        self._add(text[at:], out)
+        for part, token in self._parted(text or "", self.plain):
+            if token is not None:
+                out.append(token)
+                continue
+            for piece, token in self._parted(self._lowered(part), self.normal):
+                if token is not None:
+                    out.append(token)
+                else:
+                    known = self.cache
+                    out += [known.get(word) or self._known(word) for word in self._cut(piece)]
         return out
 
-    def _add(self, text: str, out: list[tuple[str, int, str]]) -> None:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case by single characters: no final sigma
-        known = self.cache
-        for word in self.words.findall(text.lower()):
-            out.append(known.get(word) or self._known(word))
+    def _lowered(self, text: str) -> str:
+        """Composed, and lower case by single characters: no final sigma."""
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.translate(small_letters()) if has_rare(text) else text
+
+    def _cut(self, text: str) -> list[str]:
+        return (exact_words() if has_rare(text) else self.words).findall(text)
+
+    def _parted(self, text: str, pattern: re.Pattern | None) -> Iterator[tuple[str, tuple[str, int, str] | None]]:
+        """The text between added tokens, and the tokens."""
+        at = 0
+        for m in pattern.finditer(text) if pattern else ():
+            if m.start() > at:
+                yield text[at : m.start()], None
+            i = self.added[m[m.lastindex]]
+            yield "", (str(i), 1, self.decode([i]))
+            at = m.end()
+        if at < len(text):
+            yield text[at:], None
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split(" ")]

@@ -24,6 +24,29 @@ def test_same_ids_as_the_library():
         assert ours.decode(want) == theirs.decode(want, skip_special_tokens=False), text
 
 
+def test_every_character_as_the_library():
+    """Character tables of another Unicode version make no difference."""
+    ours, theirs = bpe.Encoder(PATH), Tokenizer.from_file(PATH)
+    new = [c for runs in (bpe.LETTERS_16, bpe.NUMBERS_16, " ".join(bpe.NEW_CAPITALS)) for a, b in bpe._ranges(runs) for c in (a - 1, a, (a + b) // 2, b, b + 1)]
+    chars = list(map(chr, [*range(0x2100), *range(0xA700, 0xA800), *range(0x10D00, 0x10E00), *range(0x16E80, 0x16EE0), *range(0x323A0, 0x323C0), *new]))
+    cases = [f"a{c}b{c}1{c}! {c}{c}" for c in chars]
+    assert not [t for t, want in zip(cases, theirs.encode_batch(cases, add_special_tokens=False)) if ours.encode(t) != want.ids]
+
+
+def test_added_tokens_and_their_flags(tmp_path):
+    """Tokens of any spelling are found; blanks beside them and whole words as the flags say."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    flags = [("[CLS]", 1, 0, 0, 0), ("<unk>", 0, 1, 0, 0), ("maskqx", 0, 0, 1, 0), ("sepqx", 0, 0, 1, 1)]
+    spec["added_tokens"] += [{"id": 49408 + k, "content": c, "lstrip": bool(a), "rstrip": bool(b), "single_word": bool(w), "normalized": bool(n), "special": False} for k, (c, a, b, w, n) in enumerate(flags)]
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    ours, theirs = bpe.Encoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    for text in ("a [CLS] b<unk> c", "maskqx maskqxs unmaskqx maskqx.", "SEPQX sepqx sepqxarate", "<|endoftext|>[CLS]<unk>", "x  [CLS]  [CLS]"):
+        assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids, text
+
+
 def test_query_rules(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "Hello  world", "x"), (3, "Hello  world", "x"), (4, "a" * 50_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
