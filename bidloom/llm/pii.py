@@ -2,7 +2,8 @@
 
 Plain identifiers (the base spans) are found in the text as it stands. Then small
 transducers rewrite a copy: homoglyphs become ASCII, bracketed or spelled "at" and
-"dot" become @ and ., spelled digits become digits. Each rewriting keeps, for every
+"dot" (and HTML's entities for them) become @ and ., spelled digits become digits. A
+spelled "at" counts only before a domain that ends in a known top-level name. Each rewriting keeps, for every
 character it puts out, where in the source it came from; identifiers found in the
 rewritten text are mapped back to source positions through these offsets. A span
 found this way is added if the rewriting changed something in it and no base span of
@@ -99,7 +100,7 @@ LOOKALIKES = {
 INVISIBLE = ("­", "​", "‌", "‍", "⁠", "﻿")
 # The digits' names.
 DIGIT_NAMES = {
-    "0": ("zero", "null", "zéro", "cero"),
+    "0": ("zero", "oh", "null", "zéro", "cero"),
     "1": ("one", "eins", "un", "uno"),
     "2": ("two", "zwei", "deux", "dos"),
     "3": ("three", "drei", "trois", "tres"),
@@ -111,18 +112,30 @@ DIGIT_NAMES = {
     "9": ("nine", "neun", "neuf", "nueve"),
 }
 DIGIT_OF = {name: d for d, names in DIGIT_NAMES.items() for name in names}
+TIMES = {"double": 2, "triple": 3}
 AT_NAMES = "at|@|arroba|arobase|ät"
 DOT_NAMES = r"dot|\.|punkt|point|punto"
+# HTML's spellings of the signs.
+ENTITIES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
+# Top-level names that end a spoken address; those that are common English words are left out.
+TOPS = "com|org|net|edu|gov|mil|int|info|biz|io|co|dev|app|ai|eu|uk|de|fr|es|pt|nl|be|ch|se|dk|fi|pl|cz|ru|cn|jp|kr|br|mx|ca|au|nz|ie|us|example|test|invalid"
 
+# All patterns below read texts in small letters.
 SPELLED = "|".join(sorted(DIGIT_OF, key=len, reverse=True))
-NUMBER = re.compile(rf"(?i)\b(?:plus[ ]{{1,3}})?(?:{SPELLED})(?:[ ,-]{{1,3}}(?:{SPELLED}|dot|point|[0-9]+)\b)+")
-IN_NUMBER = re.compile(r"(?i)plus|dot|point|[^\W\d_]+|[0-9]+")
-OPEN, CLOSE = r"[ \t]{0,3}[\[({<][ ]{0,3}", r"[ ]{0,3}[\])}>][ \t]{0,3}"
-BRACKET_AT = re.compile(rf"(?i){OPEN}(?:{AT_NAMES}){CLOSE}")
-BRACKET_DOT = re.compile(rf"(?i){OPEN}(?:{DOT_NAMES}){CLOSE}")
-DISGUISED_DOT = rf"(?:[ ]{{1,3}}dot[ ]{{1,3}}|{OPEN}(?:{DOT_NAMES}){CLOSE})"
-SPOKEN_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9])[ ]{{1,3}}at[ ]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}{DISGUISED_DOT}[A-Za-z0-9])")
-SPOKEN_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])[ ]{1,3}dot[ ]{1,3}(?=[A-Za-z0-9])")
+ONE = rf"(?:(?:double|triple)[ -]{{1,3}})?(?:{SPELLED})"
+NUMBER = re.compile(rf"\b(?:plus[ ]{{1,3}})?{ONE}(?:[ ,-]{{1,3}}(?:{ONE}|dot|point|[0-9]+)\b)+")
+IN_NUMBER = re.compile(r"[^\W\d_]+|[0-9]+")
+BLANKS = " \t"
+BRACKETED = re.compile(rf"[\[({{<][ ]{{0,3}}(?:({AT_NAMES})|{DOT_NAMES})[ ]{{0,3}}[\])}}>]")
+ENTITY = re.compile("|".join(map(re.escape, ENTITIES)))
+LABEL = "[a-z0-9-]{1,63}"
+A_DOT = rf"(?:\.|[ ]{{1,3}}dot[ ]{{1,3}}|[ ]{{0,3}}[\[({{<][ ]{{0,3}}(?:{DOT_NAMES})[ ]{{0,3}}[\])}}>][ ]{{0,3}})"
+AN_AT = rf"(?:@|[ ]{{1,3}}at[ ]{{1,3}}|[ ]{{0,3}}[\[({{<][ ]{{0,3}}(?:{AT_NAMES})[ ]{{0,3}}[\])}}>][ ]{{0,3}})"
+TOP = rf"(?:{TOPS})(?![a-z0-9-])"
+#: A spelled "at" before a domain with a disguised dot and a known top-level name.
+SPOKEN_AT = re.compile(rf"(?<=[a-z0-9])[ ]{{1,3}}at[ ]{{1,3}}(?=(?:{LABEL}{A_DOT}){{1,6}}{TOP})(?!(?:{LABEL}\.){{1,6}}{TOP})")
+#: A spelled "dot" between digits, before a top-level name, or in the local part.
+SPOKEN_DOT = re.compile(rf"(?<=[0-9])[ ]{{1,3}}dot[ ]{{1,3}}(?=[0-9])|(?<=[a-z0-9])[ ]{{1,3}}dot[ ]{{1,3}}(?=(?:[a-z0-9._%+-]{{1,64}}(?:[ ]{{1,3}}dot[ ]{{1,3}}[a-z0-9._%+-]{{1,64}}){{0,3}}{AN_AT})?(?:{LABEL}{A_DOT}){{0,6}}{TOP})")
 
 
 def _folds() -> dict[str, str]:
@@ -140,7 +153,7 @@ def _folds() -> dict[str, str]:
 
 
 FOLDS = _folds()
-FOLDED = re.compile("[" + "".join(map(re.escape, FOLDS)) + "]+")
+FOLDED = frozenset(FOLDS)
 
 Edit = tuple[int, int, str]
 
@@ -175,16 +188,35 @@ class Rewritten:
 
 
 def fold_edits(text: str) -> list[Edit]:
-    return [] if text.isascii() else [(m.start() + k, m.start() + k + 1, FOLDS[c]) for m in FOLDED.finditer(text) for k, c in enumerate(m[0])]
+    # A look-alike is found by the set of a text's characters first: most texts hold none.
+    if text.isascii() or FOLDED.isdisjoint(text):
+        return []
+    return [(k, k + 1, FOLDS[c]) for k, c in enumerate(text) if c in FOLDED]
+
+
+def small(text: str) -> str:
+    """A text in small letters, each at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
 
 
 def sign_edits(text: str) -> list[Edit]:
     """At and dot disguises; where two overlap, the first stays."""
-    small = text.lower()
-    spoken = " at " in small or " dot " in small
-    edits = [(*m.span(), put) for p, put in ((BRACKET_AT, "@"), (BRACKET_DOT, ".")) for m in p.finditer(text)]
-    if spoken:
-        edits += [(*m.span(), put) for p, put in ((SPOKEN_AT, "@"), (SPOKEN_DOT, ".")) for m in p.finditer(text)]
+    low, edits = small(text), []
+    if any(c in low for c in "[({<"):
+        for m in BRACKETED.finditer(low):
+            start, end = m.span()
+            while start and m.start() - start < 3 and low[start - 1] in BLANKS:
+                start -= 1
+            while end < len(low) and end - m.end() < 3 and low[end] in BLANKS:
+                end += 1
+            edits.append((start, end, "@" if m[1] else "."))
+    if "&" in low:
+        edits += [(*m.span(), ENTITIES[m[0]]) for m in ENTITY.finditer(low)]
+    if " dot " in low:
+        edits += [(*m.span(), ".") for m in SPOKEN_DOT.finditer(low)]
+    if " at " in low:
+        edits += [(*m.span(), "@") for m in SPOKEN_AT.finditer(low)]
     out, free = [], 0
     for e in sorted(edits):
         if e[0] >= free:
@@ -194,10 +226,19 @@ def sign_edits(text: str) -> list[Edit]:
 
 
 def digit_edits(text: str) -> list[Edit]:
+    low = small(text)
+    # Most texts hold no digit's name as a word.
+    if DIGIT_OF.keys().isdisjoint(low.replace("-", " ").replace(",", " ").split()):
+        return []
     out = []
-    for m in NUMBER.finditer(text):
-        words = IN_NUMBER.findall(m[0].lower())
-        put = "".join("+" if w == "plus" else "." if w in ("dot", "point") else DIGIT_OF.get(w, w) for w in words)
+    for m in NUMBER.finditer(low):
+        put, times = "", 1
+        for w in IN_NUMBER.findall(m[0]):
+            if w in TIMES:
+                times = TIMES[w]
+                continue
+            put += ("+" if w == "plus" else "." if w in ("dot", "point") else DIGIT_OF.get(w, w)) * times
+            times = 1
         out.append((*m.span(), put))
     return out
 
