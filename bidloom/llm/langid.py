@@ -6,15 +6,19 @@ of a language is the mean over the positions that hold letters. The network is
 trained here, in numpy, by backpropagation through time.
 
 The model is fitted on a bounded sample: ``TRAIN_WINDOWS`` pieces of at most
-``TRAIN_BYTES`` bytes, drawn by a hash of the id so that every language weighs the
-same, whatever its share of the rows. Every text is scored whole: it is cut into
-pieces of ``WINDOW`` bytes, each position of each piece is labelled once.
+``TRAIN_BYTES`` bytes (``LEAST_PIECES`` a language, if that is more), drawn by a hash of
+the id so that every language weighs the same, whatever its share of the rows, each
+from a place of its text that the hash picks too. Every text is scored whole: it is cut
+into pieces of ``WINDOW`` bytes, each position of each piece is labelled once. The states
+start anew in each piece, and a piece may part the bytes of one character, so a letter
+near a cut is labelled with less context than others.
 
 Rules, by case: a text that is null or holds no letter gets ``und`` and score 0; a
 text of any length is scored whole; rows with a null language, null text or null id
 teach nothing; repeated rows are scored each; with no row to learn from, every
-prediction is ``und``; more than ``MAX_LANGUAGES`` languages raise an error; extra
-columns are ignored by ``predicted`` and kept by ``accepted``.
+prediction is ``und``; the network has one output a language, however many there are;
+an empty table gives an empty result; extra columns, whatever their names, are ignored
+by ``predicted`` and kept by ``accepted``.
 
 ``accepted`` fits its network with one class more, "no language", which learns from
 made-up texts with letters but without a language (``junk_pieces``). A text goes if it
@@ -47,13 +51,19 @@ STEPS = 160
 RATE = 0.02
 #: Pieces that are scored side by side; their states stay in the processor's cache.
 SIDE_BY_SIDE = 1536
-MAX_LANGUAGES = 400
+#: Pieces of each language at least, however many there are.
+LEAST_PIECES = 20
 PAD = 256
-LETTER = re.compile(r"[^\W\d_]")
+WORDLY = re.compile(r"[^\W\d_]")
 #: Bytes that are ASCII letters or part of a longer UTF-8 sequence.
 LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)] + [False])
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter (Unicode's L classes; ½, ² and Ⅷ are numbers)."""
+    return any(m[0].isalpha() for m in WORDLY.finditer(text or ""))
+
+
 class Network:
     """Weights, with the two directions along the first axis: inputs (2, 3H, 257), recurrent (2, 3H, H), output (C, 2H) and bias (C, 1)."""
 
@@ -217,17 +227,15 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
 def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, seed: int, held: bool = False) -> tuple[list, list[str]]:
     """Rows (i, lang, piece) drawn from those that are not held out (or those that are), and the languages."""
     known = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (held_out(id_col, 3, 1) == held))
-    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col)).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col)).count().collect()}  # one row a language
     names = sorted(sizes)
     if not names:
         return [], []
+    wanted = max(TRAIN_WINDOWS, LEAST_PIECES * len(names))
     # Every language gets the same share of the sample, whatever its share of the rows; a
     # few rows more are drawn by their hash, so that little is sent and the cut is exact.
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col(lang_col) == name, F.lit(min(1.0, 1.3 * TRAIN_WINDOWS / len(sizes) / n))).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 1.3 * wanted / len(sizes) / n))])
+    share = F.element_at(shares, F.col(lang_col))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 40)) + 1) / float(1 << 40)
     text = F.col(text_col)
     start = F.pmod(F.xxhash64(F.lit(seed + 1), id_col), F.greatest(F.length(text) - TRAIN_BYTES, F.lit(0)).cast("long") + 1) + 1
@@ -236,7 +244,7 @@ def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, seed: in
         .filter(text.rlike("\\p{L}"))
         .select((uniform / share).alias("turn"), F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), text.substr(start.cast("int"), F.lit(TRAIN_BYTES)).alias("piece"))
         .orderBy("turn", "i", "lang", "piece")
-        .limit(TRAIN_WINDOWS)
+        .limit(wanted)
         .collect()
     )
     return sample, names
@@ -253,7 +261,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def junk_pieces(texts: list[str], n: int, seed: int = 0) -> list[str]:
     """``n`` pieces with letters and without a language: letters drawn at random from those of ``texts`` or of ASCII, codes, repeated motifs."""
     rng = random.Random(seed)
-    own = sorted(set(LETTER.findall("".join(texts)))) or list(string.ascii_lowercase)
+    own = sorted(filter(str.isalpha, set("".join(texts)))) or list(string.ascii_lowercase)
     kinds = [(own, 1, 12), (string.ascii_lowercase, 1, 12), (string.ascii_letters + string.digits + "+/", 8, 76), ("0123456789abcdef", 4, 40)]
     out = []
     for k in range(n):
@@ -271,7 +279,7 @@ def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     net, names = model or fit(docs, id_col, text_col, lang_col)
 
     def each(ids, outs, texts):
-        has = [bool(t and LETTER.search(t)) for t in texts]
+        has = list(map(has_letter, texts))
         if net is None:
             best, top = [None] * len(ids), [0.0] * len(ids)
         else:
@@ -318,7 +326,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(text_at).to_pylist()
-                has = np.array([bool(t and LETTER.search(t)) for t in texts])
+                has = np.array(list(map(has_letter, texts)))
                 good = has & (scored(net, texts)[:, -1] <= bound) if net else has
                 yield part.filter(pa.array(good))
 

@@ -30,6 +30,54 @@ def test_gradients_equal_differences():
             assert abs((losses[0] - losses[1]) / (2 * e) - g[at]) < 2e-3
 
 
+def plain_scores(net, text):
+    """A text's probabilities by a plain loop over its bytes, one piece after the other."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    raw, h, sums, letters = text.encode(), net.h, 0, 0
+    for at in range(0, len(raw), langid.WINDOW):
+        piece = raw[at : at + langid.WINDOW]
+        states = [[], []]
+        for d, part in enumerate((piece, piece[::-1])):
+            state = np.zeros(h)
+            for byte in part:
+                a, g = net.inputs[d, :, byte].astype(float), net.recurrent[d].astype(float) @ state
+                reset, update = sig(a[:h] + g[:h]), sig(a[h : 2 * h] + g[h : 2 * h])
+                new = np.tanh(a[2 * h :] + reset * g[2 * h :])
+                state = update * state + (1 - update) * new
+                states[d].append(state)
+        for byte, left, right in zip(piece, states[0], states[1][::-1]):
+            if byte >= 128 or chr(byte).isalpha():
+                z = net.output.astype(float) @ np.concatenate((left, right)) + net.bias[:, 0]
+                p = np.exp(z - z.max())
+                sums, letters = sums + p / p.sum(), letters + 1
+    return sums / max(letters, 1)
+
+
+def test_scores_equal_a_plain_forward_pass():
+    net = langid.train([prose(i, 30, "abc" if i % 2 else "xyzé") for i in range(64)], [i % 2 for i in range(64)], 2, steps=8)
+    texts = ["a", "été 12", prose(3, 200, "abcxyzé"), "x" * 129, prose(4, 37, "aé")]
+    got = langid.scored(net, texts)
+    assert all(np.allclose(g, plain_scores(net, t), atol=1e-4) for g, t in zip(got, texts))
+
+
+def test_numbers_that_look_like_letters_are_none(spark):
+    texts = ["½ ² Ⅷ ①", "١٢٣ 12", "_", "ª", "漢", "a1"]
+    assert [langid.has_letter(t) for t in texts] == [False, False, False, True, True, True]
+    rows, _ = corpus(spark)
+    docs = spark.createDataFrame(rows[:90] + [(900, texts[0], None, "s"), (901, "漢", None, "s")], "doc_id long, text string, lang string, score string")
+    got = {r.doc_id: r.lang_pred for r in langid.predicted(docs).collect()}
+    assert got[900] == "und" and got[901] in ("aa", "bb", "cc")
+    assert {900} == {r[0] for r in rows[:90] + [(900,), (901,)]} - {r.doc_id for r in langid.accepted(docs).collect()} - {901}
+
+
+def test_any_number_of_languages(spark):
+    """More languages than an earlier bound of 400: all of them are learned."""
+    rows = [(i, prose(i, 8), f"l{i % 450:03d}") for i in range(2000)]
+    sample, names = langid.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 0)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(names) > 400 and set(names) == learned == {r.lang for r in sample}
+
+
 def corpus(spark):
     letters = {"aa": "abcdefg", "bb": "hijklmn", "cc": "äöüßxyz"}
     rows = [(i, prose(i, 5 + i % 60, letters[k]), k, "s") for i in range(600) for k in [("aa", "bb", "cc")[i % 3]]]
