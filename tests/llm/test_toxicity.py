@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -35,6 +36,27 @@ def test_held_out_rows_are_found(spark):
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) / len(held) > 0.97
 
 
+def test_ratios_and_scores_by_plain_counts(spark):
+    """Counts, ratios and the features kept by dictionaries; scores by sums over a text's n-grams."""
+    texts = [(int(i % 3 == 0), prose(i, 12, "abcde") + (" zumpf zumpfing" if i % 3 == 0 else "")) for i in range(90)]
+    grams = [(label, {int(x) for p in toxicity.places(t) for x in p}) for label, t in texts]
+    rows = spark.createDataFrame([(label, sorted(g)) for label, g in grams], "label int, at array<int>")
+    got = dict(map(tuple, toxicity.ratios(rows, {0: 60, 1: 30}).collect()))
+    want = {}
+    for place in set().union(*(g for _, g in grams)):
+        c1, c0 = (sum(place in g for label, g in grams if label == k) for k in (1, 0))
+        ratio = math.log((c1 + 1) / 32) - math.log((c0 + 1) / 62)
+        if c0 + c1 >= toxicity.LEAST_TEXTS and abs(ratio) >= toxicity.ERRORS * math.sqrt(1 / (c0 + 1) + 1 / (c1 + 1)):
+            want[place] = ratio
+    assert 0 < len(want) <= toxicity.FEATURES and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    model = toxicity.fit(rows)
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)] + [(99, "")], "doc_id long, text string")
+    for r in toxicity.scored(docs, model).collect():
+        places = grams[r.doc_id][1] if r.doc_id < 90 else set()
+        z = model.base + sum(float(model.weights[p]) for p in places)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6
+
+
 def test_labels_of_held_out_rows_teach_nothing(spark):
     docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(200)], "doc_id long, text string")
     label = lambda flip: spark.createDataFrame([(i, int((i % 3 == 0) != (flip and zlib.crc32(str(i).encode()) % 4 == 2))) for i in range(200)], "doc_id long, toxic int")
