@@ -1,161 +1,288 @@
 """Cross-entropy difference of documents under two matched n-gram models.
 
 The target model is counted over the texts chosen as target, the background model over
-all texts. Both share one vocabulary (the commonest words of the corpus, one symbol for
-all other words, one for a text's borders), have the same order (bigrams, smoothed by
+all texts. Both share one vocabulary, have the same order (bigrams, smoothed by
 unigrams) and the same smoothing, and the background's counts are scaled to the
-target's size, so that a loss differs by content and not by amount. A document's score
-is the mean over its tokens of target loss minus background loss, in nats: the lower,
-the more it is like the target.
-
-All counts cover all whole texts. Words are counted in tasks and summed by key; bigram
-counts fill a square table of the vocabulary's size, whose cells are summed by key. The
-vocabulary is a parameter of the model, so what is broadcast has a fixed size: two
-tables of ``(VOCABULARY + 2) ** 2`` numbers.
+target's size, so that a loss differs by content and not by amount. A document's own
+counts are left out of both models when it is scored: it is never told by itself. Its
+score is the mean over its bigrams of target loss minus background loss, in nats: the
+lower, the more it is like the target.
+
+Every word of every text is in the vocabulary: a word's symbol is its hash among
+``SYMBOLS`` ones, so no word is set aside as unknown, and words that share a symbol are
+counted as one. The table of single symbols has that fixed size and is broadcast. The
+table of bigrams grows with the input and is never gathered: each document sends its
+distinct bigrams, dealt to buckets by their hash, and a bucket counts each of its
+bigrams over all documents and gives every document its losses. Bigrams that would fill
+a bucket by themselves, the commonest ones, do not travel: at most ``HOT`` of them are
+counted in tasks and looked up from a broadcast table. Every bigram with more than a
+share of 1/HEAVY + 2/HOT of all is among them, so no bucket depends on one bigram.
 
 Rules, by case: null text counts as empty; a text without words has 0 tokens, losses of
 0 and score 0; a text of any length is read whole; ASCII capitals are folded, ASCII
-punctuation parts words; ties for the vocabulary go to the smaller word; repeated rows
-count and are scored each; without a target text the target model is uniform; extra
-columns are ignored; an empty table gives an empty result.
+punctuation parts words; repeated rows count and are scored each; without a target text
+the target model is uniform over the symbols; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, map_arrow
-
-#: Words of the shared vocabulary.
-VOCABULARY = 1022
-#: Words that a task counts before it passes the counts on.
-HELD = 200_000
-#: Tokens that the unigram model weighs in a bigram's context, and a cell in a unigram's.
+from .common import Saved, map_arrow, quoted
+
+#: Symbols of the vocabulary; one more stands for a text's borders.
+SYMBOLS = 1 << 20
+BORDER = SYMBOLS
+ALL = SYMBOLS + 1
+#: Bigrams that are counted in tasks, at most; of a run of bigrams, those with a share of 1 / HEAVY are candidates.
+HOT = 1 << 18
+HEAVY = 1 << 18
+RUN = 1 << 22
+#: Bigrams of documents that a bucket holds on average.
+BUCKET = 1 << 21
+#: Tokens that the unigram model weighs in a bigram's context, and a symbol in a unigram's.
 CONTEXT, CELL = 50.0, 0.5
 #: ASCII capitals to small letters, ASCII marks and digits' separators to spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
-OTHER, BORDER = 0, 1
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
+class Symbols(dict):
+    """Symbols of words, kept while there are not too many."""
 
+    MOST = 500_000
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The ``size`` commonest words of all texts, the commonest first."""
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word) % SYMBOLS
+        return found
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-        held: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                held.update(words(text.as_py()))
-                if len(held) > HELD:
-                    yield out(held)
-                    held = Counter()
-        yield out(held)
-
-    found = Saved(docs.select(text_col).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    # Only words as common as the last that is wanted, to a power of two, are sorted.
-    level = F.floor(F.log2("n"))
-    lowest, so_far = 0, 0
-    for lowest, n in found.df.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if (so_far := so_far + n) >= size:
-            break
-    known = [bytes(r.word) for r in found.df.filter(level >= lowest).orderBy(F.desc("n"), "word").limit(size).collect()]
-    found.delete()
-    return known
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def tokens(text: str | None, number: dict[bytes, int]) -> np.ndarray:
-    """A text's words as symbols of the vocabulary."""
+def symbols(text: str | None, known: Symbols) -> np.ndarray:
     found = words(text)
-    return np.fromiter((number.get(w, OTHER) for w in found), np.int64, len(found))
+    return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
 
-def cells(found: np.ndarray, symbols: int) -> np.ndarray:
-    """The cells of a text's bigrams, borders included."""
+def bigrams(found: np.ndarray) -> np.ndarray:
+    """The bigrams of a text's symbols, borders included, as first * ALL + second; none of an empty text."""
+    if not len(found):
+        return found
     whole = np.concatenate(([BORDER], found, [BORDER]))
-    return whole[:-1] * symbols + whole[1:]
+    return whole[:-1] * ALL + whole[1:]
+
+
+def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+
+def _pieces(columns: dict[str, np.ndarray], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(next(iter(columns.values()))), rows):
+        yield _batch({k: c[at : at + rows] for k, c in columns.items()})
+
 
+def with_target(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, chosen: whether ``labels`` marks the document with 1 in any row."""
+    chosen = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct().withColumn("chosen", F.lit(True))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    return rows.join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """Counts of single symbols (key: -1 - symbol) and of bigrams that are common in some run: key, target, all.
+
+    ``docs``: text, chosen.
+    """
 
-def counts(docs: DataFrame, known: list[bytes], target: Column, text_col: str = "text") -> np.ndarray:
-    """Bigram counts of the target's and of all texts: (2, symbols, symbols)."""
-    symbols = VOCABULARY + 2 if len(known) <= VOCABULARY else len(known) + 2
-    shared = docs.sparkSession.sparkContext.broadcast({w: k + 2 for k, w in enumerate(known)})
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, single, run, size = Symbols(), np.zeros((2, ALL), np.int64), [], 0
+
+        def common() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(run), return_counts=True)
+            many = n >= max(2, size // HEAVY)
+            yield from _pieces({"key": keys[many], "target": np.zeros(int(many.sum()), np.int64), "all": n[many].astype(np.int64)})
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, table = shared.value, np.zeros((2, symbols * symbols), np.int64)
         for batch in batches:
             for text, chosen in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = tokens(text.as_py(), number)
+                found = symbols(text.as_py(), known)
                 if len(found):
-                    at, n = np.unique(cells(found, symbols), return_counts=True)
-                    table[1, at] += n
-                    if chosen:
-                        table[0, at] += n
-        full = np.flatnonzero(table[1])
-        for k in range(0, len(full), 1 << 16):
-            at = full[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(table[m, at]) for m in (0, 1))], ["cell", "target", "all"])
-
-    rows = docs.select(text_col, target.alias("chosen")).mapInArrow(counted, "cell int, target long, all long")
-    # At most symbols ** 2 rows.
-    found = rows.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("all").alias("all")).toArrow()
-    table = np.zeros((2, symbols * symbols))
-    at = found["cell"].to_numpy()
-    table[0, at], table[1, at] = found["target"].to_numpy(), found["all"].to_numpy()
-    return table.reshape(2, symbols, symbols)
-
-
-def losses(table: np.ndarray) -> np.ndarray:
-    """Loss of every bigram under the target and the background model: (2, symbols, symbols)."""
-    sizes = table.sum(axis=(1, 2))
-    matched = table * np.array([1.0, sizes[0] / sizes[1] if sizes.all() else 1.0])[:, None, None]
-    single = matched.sum(axis=1) + CELL
-    single /= single.sum(axis=1, keepdims=True)
-    context = matched.sum(axis=2)
-    chance = (matched + CONTEXT * single[:, None, :]) / (context + CONTEXT)[:, :, None]
-    return (-np.log(chance)).astype(np.float32)
-
-
-def scored(docs: DataFrame, known: list[bytes], loss: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(({w: k + 2 for k, w in enumerate(known)}, loss.reshape(2, -1)))
-    symbols = loss.shape[1]
-
-    def each(ids, texts):
-        number, flat = shared.value
-        sizes, target, background = [], [], []
-        for t in texts:
-            found = tokens(t, number)
-            sizes.append(len(found))
-            at = cells(found, symbols)
-            for m, out in enumerate((target, background)):
-                out.append(float(flat[m, at].mean(dtype=np.float64)) if len(found) else 0.0)
-        score = [a - b for a, b in zip(target, background, strict=True)]
-        yield {"doc_id": ids, "n_tokens": sizes, "target_loss": target, "background_loss": background, "score": score}
+                    for m in (0, 1) if chosen else (1,):
+                        np.add.at(single[m], found, 1)
+                        single[m, BORDER] += 1
+                    run.append(bigrams(found))
+                    size += len(found) + 1
+                    if size >= RUN:
+                        yield from common()
+                        run, size = [], 0
+        if run:
+            yield from common()
+        used = np.flatnonzero(single[1])
+        yield from _pieces({"key": -1 - used, "target": single[0, used], "all": single[1, used]})
+
+    return docs.select("text", "chosen").mapInArrow(each, "key long, target long, all long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("all").alias("all"))
+
+
+def common_bigrams(counts: DataFrame, most: int = HOT) -> np.ndarray:
+    """At most ``most`` of the commonest candidates, sorted: whole levels of counts, so that nothing is ranked."""
+    level = F.floor(F.log2("all") * 4)
+    rows = counts.filter("key >= 0")
+    lowest, so_far = None, 0
+    for at, n in rows.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some 250 rows
+        if (so_far := so_far + n) > most:
+            break
+        lowest = at
+    if lowest is None:
+        return np.empty(0, np.int64)
+    return np.sort(rows.filter(level >= lowest).select("key").toArrow()["key"].to_numpy())
 
-    rows = docs.select(F.col(id_col).cast("long"), text_col)
-    return map_arrow(rows, each, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
+def table_of(rows: DataFrame, size: int) -> np.ndarray:
+    """Counts as a table (2, size) from at most ``size`` rows (at, target, all)."""
+    found, table = rows.toArrow(), np.zeros((2, size))
+    at = found["at"].to_numpy()
+    table[0, at], table[1, at] = found["target"].to_numpy(), found["all"].to_numpy()
+    return table
 
-def with_target(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts with a column ``chosen``: whether ``labels`` marks the document with 1 in any row."""
-    chosen = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_i")).agg((F.max(label_col) == 1).alias("chosen")).hint("shuffle_hash")
-    return docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("text")).join(chosen, "_i", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
+def counts_of(docs: DataFrame, hot: np.ndarray) -> np.ndarray:
+    """Counts of the bigrams ``hot`` over all texts: (2, len(hot))."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY) -> DataFrame:
-    """Score every document of ``docs``; the target is what ``labels`` marks with 1."""
-    known = vocabulary(docs, text_col, size)
-    table = counts(with_target(docs, labels, label_col, id_col, text_col), known, F.col("chosen"))
-    return scored(docs, known, losses(table), id_col, text_col)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, keys = Symbols(), shared.value
+        table = np.zeros((2, len(keys)), np.int64)
+        for batch in batches:
+            for text, chosen in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = bigrams(symbols(text.as_py(), known))
+                at = np.searchsorted(keys, found)
+                at = at[keys[np.minimum(at, len(keys) - 1)] == found]
+                for m in (0, 1) if chosen else (1,):
+                    np.add.at(table[m], at, 1)
+        used = np.flatnonzero(table[1])
+        yield from _pieces({"at": used, "target": table[0, used], "all": table[1, used]})
+
+    if not len(hot):
+        return np.zeros((2, 0))
+    rows = docs.select("text", "chosen").mapInArrow(each, "at long, target long, all long")
+    return table_of(rows.groupBy("at").agg(F.sum("target").alias("target"), F.sum("all").alias("all")), len(hot))
+
+
+class Model:
+    """Counts of single symbols, and the losses of bigrams given their own counts."""
+
+    def __init__(self, single: np.ndarray):
+        self.single = single
+        self.sizes = single.sum(axis=1)
+        self.scale = (1.0, self.sizes[0] / self.sizes[1] if self.sizes.all() else 1.0)
+
+    def loss(self, m: int, keys: np.ndarray, pair: np.ndarray, own: np.ndarray, own_first: np.ndarray, own_second: np.ndarray) -> np.ndarray:
+        """Loss of bigrams under model ``m`` (0 target, 1 background), the document's own counts left out."""
+        first, second = self.single[m, keys // ALL] - own_first, self.single[m, keys % ALL] - own_second
+        unigram = (second * self.scale[m] + CELL) / (self.sizes[m] * self.scale[m] + CELL * ALL)
+        return -np.log(((pair - own) * self.scale[m] + CONTEXT * unigram) / (first * self.scale[m] + CONTEXT))
+
+
+def distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's distinct bigrams, how often each is there, and how often its first and its second symbol."""
+    keys, n = np.unique(bigrams(found), return_counts=True)
+    single, m = np.unique(np.append(found, BORDER), return_counts=True)
+    of = lambda s: m[np.searchsorted(single, s)]
+    return keys, n, of(keys // ALL), of(keys % ALL)
+
+
+def common_part(docs: DataFrame, model: Model, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, chosen, mark): copies (1), n_tokens, and the summed losses of its common bigrams."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, hot, counts))
+
+    def each(ids, texts, chosen, marks):
+        model, keys, pairs = shared.value
+        known, sizes, sums = Symbols(), [], ([], [])
+        for text, mine in zip(texts, chosen, strict=True):
+            found = symbols(text, known)
+            sizes.append(len(found))
+            total = [0.0, 0.0]
+            if len(found) and len(keys):
+                of, n, first, second = distinct(found)
+                at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+                hit = keys[at] == of
+                of, n, first, second, at = of[hit], n[hit], first[hit], second[hit], at[hit]
+                for m, own in ((0, int(mine)), (1, 1)):
+                    total[m] = float((n * model.loss(m, of, pairs[m, at], n * own, first * own, second * own)).sum())
+            for out, t in zip(sums, total, strict=True):
+                out.append(t)
+        yield {"doc_id": ids, "mark": marks, "copies": [1] * len(ids), "n_tokens": sizes, "target": sums[0], "background": sums[1]}
+
+    return map_arrow(docs.select("doc_id", "text", "chosen", "mark"), each, "doc_id long, mark int, copies long, n_tokens long, target double, background double")
+
+
+def rare_part(docs: DataFrame, model: Model, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Summed losses of the other bigrams, some rows a document: the columns of ``common_part``, with no copies and tokens."""
+    sc = docs.sparkSession.sparkContext
+    common, single = sc.broadcast(hot), sc.broadcast(model)
+
+    def sent(ids, texts, chosen, marks):
+        keys, known = common.value, Symbols()
+        cols: dict[str, list] = {k: [] for k in ("key", "row", "n", "first", "second")}
+        for k, text in enumerate(texts):
+            found = symbols(text, known)
+            if not len(found):
+                continue
+            of, n, first, second = distinct(found)
+            if len(keys):
+                rest = keys[np.minimum(np.searchsorted(keys, of), len(keys) - 1)] != of
+                of, n, first, second = of[rest], n[rest], first[rest], second[rest]
+            for name, c in zip(cols, (of, np.full(len(of), k), n, first, second), strict=True):
+                cols[name].append(c)
+        if not cols["key"]:
+            return
+        key, row, n, first, second = (np.concatenate(c) for c in cols.values())
+        mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        at = pa.array(row)
+        take = lambda values, kind: pa.array(values, kind).take(at)
+        yield {
+            "bucket": (mixed % np.uint64(buckets)).astype(np.int32), "key": key, "doc_id": take(ids, pa.int64()), "mark": take(marks, pa.int32()),
+            "chosen": take(chosen, pa.bool_()), "n": n.astype(np.int32), "first": first.astype(np.int32), "second": second.astype(np.int32),
+        }
+
+    def met(table: pa.Table) -> pa.Table:
+        key, n, first, second = (table[c].to_numpy().astype(np.int64) for c in ("key", "n", "first", "second"))
+        mine = table["chosen"].to_numpy(zero_copy_only=False).astype(np.int64)
+        _, at = np.unique(key, return_inverse=True)
+        out = {"doc_id": table["doc_id"], "mark": table["mark"]}
+        for m, name, own in ((0, "target", mine), (1, "background", 1)):
+            pair = np.bincount(at, weights=n * own)[at]
+            out[name] = pa.array(n * single.value.loss(m, key, pair, n * own, first * own, second * own))
+        sums = pa.table(out).group_by(["doc_id", "mark"]).aggregate([("target", "sum"), ("background", "sum")])
+        none = pa.array(np.zeros(len(sums), np.int64))
+        return pa.table({"doc_id": sums["doc_id"], "mark": sums["mark"], "copies": none, "n_tokens": none, "target": sums["target_sum"], "background": sums["background_sum"]})
+
+    rows = map_arrow(docs.select("doc_id", "text", "chosen", "mark"), sent, "bucket int, key long, doc_id long, mark int, chosen boolean, n int, first int, second int")
+    return rows.groupBy("bucket").applyInArrow(met, "doc_id long, mark int, copies long, n_tokens long, target double, background double")
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Score every document of ``docs``: doc_id, n_tokens, target_loss, background_loss, score; the target is what ``labels`` marks with 1."""
+    # Rows are told apart by id and text; equal ones have equal losses and are summed together. Saved, since they are read four times.
+    rows = Saved(with_target(docs, labels, label_col, id_col, text_col).withColumn("mark", F.hash("text"))).df
+    counts = Saved(counted(rows))
+    single = table_of(counts.df.filter("key < 0").select((-1 - F.col("key")).alias("at"), "target", "all"), ALL)
+    hot = common_bigrams(counts.df)
+    counts.delete()
+    model, pairs = Model(single), counts_of(rows, hot)
+    buckets = max(1, int(-(-(single[1].sum() - pairs[1].sum()) // BUCKET)))
+    parts = common_part(rows, model, hot, pairs).unionByName(rare_part(rows, model, hot, buckets))
+    of = parts.groupBy("doc_id", "mark").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "target", "background")])
+    tokens = F.col("n_tokens") / F.col("copies")
+    loss = lambda c: F.when(tokens > 0, F.col(c) / F.col("copies") / (tokens + 1)).otherwise(0.0)
+    out = of.select("doc_id", tokens.cast("long").alias("n_tokens"), loss("target").alias("target_loss"), loss("background").alias("background_loss"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
