@@ -16,7 +16,8 @@ distinct bigrams, dealt to buckets by their hash, and a bucket counts each of it
 bigrams over all documents and gives every document its losses. Bigrams that would fill
 a bucket by themselves, the commonest ones, do not travel: at most ``HOT`` of them are
 counted in tasks and looked up from a broadcast table. Every bigram with more than a
-share of 1/HEAVY + 2/HOT of all is among them, so no bucket depends on one bigram.
+share of 1/HEAVY + 2/HOT of all is among them, so no bucket depends on one bigram. Nor
+do those travel that no other document can hold.
 
 Rules, by case: null text counts as empty; a text without words has 0 tokens, losses of
 0 and score 0; a text of any length is read whole; ASCII capitals are folded, ASCII
@@ -47,6 +48,8 @@ HEAVY = 1 << 18
 RUN = 1 << 22
 #: Bigrams of documents that a bucket holds on average.
 BUCKET = 1 << 21
+#: Bigrams that a task collects before it deals them.
+SENT = 1 << 20
 #: Tokens that the unigram model weighs in a bigram's context, and a symbol in a unigram's.
 CONTEXT, CELL = 50.0, 0.5
 #: ASCII capitals to small letters, ASCII marks and digits' separators to spaces.
@@ -200,8 +203,17 @@ def distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return keys, n, of(keys // ALL), of(keys % ALL)
 
 
-def common_part(docs: DataFrame, model: Model, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, chosen, mark): copies (1), n_tokens, and the summed losses of its common bigrams."""
+def at_home(model: Model, hot: np.ndarray, keys: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bigrams of a text need no bucket: common ones, with their place, and lonely ones, of which no other text can hold one, since it holds no such symbol."""
+    lonely = (model.single[1, keys // ALL] == first) | (model.single[1, keys % ALL] == second)
+    if not len(hot):
+        return np.zeros(len(keys), bool), lonely, np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    return hot[at] == keys, lonely, at
+
+
+def part_at_home(docs: DataFrame, model: Model, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, chosen, mark): copies (1), n_tokens, and the summed losses of the bigrams that need no bucket."""
     shared = docs.sparkSession.sparkContext.broadcast((model, hot, counts))
 
     def each(ids, texts, chosen, marks):
@@ -211,13 +223,14 @@ def common_part(docs: DataFrame, model: Model, hot: np.ndarray, counts: np.ndarr
             found = symbols(text, known)
             sizes.append(len(found))
             total = [0.0, 0.0]
-            if len(found) and len(keys):
+            if len(found):
                 of, n, first, second = distinct(found)
-                at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
-                hit = keys[at] == of
-                of, n, first, second, at = of[hit], n[hit], first[hit], second[hit], at[hit]
+                common, lonely, at = at_home(model, keys, of, first, second)
                 for m, own in ((0, int(mine)), (1, 1)):
-                    total[m] = float((n * model.loss(m, of, pairs[m, at], n * own, first * own, second * own)).sum())
+                    pair = n * own
+                    pair[common] = pairs[m, at[common]]
+                    here = common | lonely
+                    total[m] = float((n * model.loss(m, of, pair, n * own, first * own, second * own))[here].sum())
             for out, t in zip(sums, total, strict=True):
                 out.append(t)
         yield {"doc_id": ids, "mark": marks, "copies": [1] * len(ids), "n_tokens": sizes, "target": sums[0], "background": sums[1]}
@@ -225,48 +238,86 @@ def common_part(docs: DataFrame, model: Model, hot: np.ndarray, counts: np.ndarr
     return map_arrow(docs.select("doc_id", "text", "chosen", "mark"), each, "doc_id long, mark int, copies long, n_tokens long, target double, background double")
 
 
-def rare_part(docs: DataFrame, model: Model, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Summed losses of the other bigrams, some rows a document: the columns of ``common_part``, with no copies and tokens."""
-    sc = docs.sparkSession.sparkContext
-    common, single = sc.broadcast(hot), sc.broadcast(model)
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, which compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-    def sent(ids, texts, chosen, marks):
-        keys, known = common.value, Symbols()
-        cols: dict[str, list] = {k: [] for k in ("key", "row", "n", "first", "second")}
-        for k, text in enumerate(texts):
-            found = symbols(text, known)
-            if not len(found):
-                continue
-            of, n, first, second = distinct(found)
-            if len(keys):
-                rest = keys[np.minimum(np.searchsorted(keys, of), len(keys) - 1)] != of
-                of, n, first, second = of[rest], n[rest], first[rest], second[rest]
-            for name, c in zip(cols, (of, np.full(len(of), k), n, first, second), strict=True):
-                cols[name].append(c)
-        if not cols["key"]:
-            return
-        key, row, n, first, second = (np.concatenate(c) for c in cols.values())
-        mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-        at = pa.array(row)
-        take = lambda values, kind: pa.array(values, kind).take(at)
-        yield {
-            "bucket": (mixed % np.uint64(buckets)).astype(np.int32), "key": key, "doc_id": take(ids, pa.int64()), "mark": take(marks, pa.int32()),
-            "chosen": take(chosen, pa.bool_()), "n": n.astype(np.int32), "first": first.astype(np.int32), "second": second.astype(np.int32),
-        }
+
+def from_planes(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+SENT_COLUMNS = ("key", "row", "n", "first", "second")
+SENT_SCHEMA = "bucket int, doc_id array<long>, mark array<int>, chosen array<boolean>, key binary, row binary, n binary, first binary, second binary"
+
+
+def part_of_buckets(docs: DataFrame, model: Model, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Summed losses of the other bigrams, some rows a document: the columns of ``part_at_home``, with no copies and tokens.
+
+    What a run of documents sends to a bucket is one row: its documents, and by byte
+    planes each bigram, its document's place, and its counts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, hot))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, keys = shared.value
+        known, held, rows, size = Symbols(), [], [], 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            bucket = ((columns[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((columns[0], bucket))
+            columns, bucket = [c[order] for c in columns], bucket[order]
+            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+                key, row, n, first, second = (c[a:b] for c in columns)
+                of, place = np.unique(row, return_inverse=True)
+                named = [[rows[k][c] for k in of] for c in range(3)]
+                packed = [planes(key), *(planes(x.astype(np.int32)) for x in (place, n, first, second))]
+                kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket[a]]), *(pa.array([v], k) for v, k in zip(named, kinds, strict=True)), *(pa.array([v], pa.binary()) for v in packed)], ["bucket", "doc_id", "mark", "chosen", *SENT_COLUMNS]
+                )
+
+        for batch in batches:
+            for i, text, mine, mark in zip(*(batch.column(k) for k in range(4)), strict=True):
+                found = symbols(text.as_py(), known)
+                if not len(found):
+                    continue
+                of, n, first, second = distinct(found)
+                common, lonely, _ = at_home(model, keys, of, first, second)
+                rest = ~(common | lonely)
+                held.append((of[rest], np.full(int(rest.sum()), len(rows)), n[rest], first[rest], second[rest]))
+                rows.append((i.as_py(), mark.as_py(), mine.as_py()))
+                size += len(held[-1][0])
+                if size >= SENT:
+                    yield from dealt()
+                    held, rows, size = [], [], 0
+        if size:
+            yield from dealt()
 
     def met(table: pa.Table) -> pa.Table:
-        key, n, first, second = (table[c].to_numpy().astype(np.int64) for c in ("key", "n", "first", "second"))
-        mine = table["chosen"].to_numpy(zero_copy_only=False).astype(np.int64)
+        model, parts, ids, marks, chosen = shared.value[0], [], [], [], []
+        for r in table.to_batches():
+            for k in range(r.num_rows):
+                key, *rest = (from_planes(r[c][k].as_py(), np.int64 if c == "key" else np.int32) for c in SENT_COLUMNS)
+                rest[0] = rest[0] + len(ids)
+                parts.append((key, *(x.astype(np.int64) for x in rest)))
+                ids += r["doc_id"][k].as_py()
+                marks += r["mark"][k].as_py()
+                chosen += r["chosen"][k].as_py()
+        key, row, n, first, second = (np.concatenate(c) for c in zip(*parts, strict=True))
+        mine = np.array(chosen, np.int64)[row]
         _, at = np.unique(key, return_inverse=True)
-        out = {"doc_id": table["doc_id"], "mark": table["mark"]}
-        for m, name, own in ((0, "target", mine), (1, "background", 1)):
+        sums = []
+        for m, own in ((0, mine), (1, 1)):
             pair = np.bincount(at, weights=n * own)[at]
-            out[name] = pa.array(n * single.value.loss(m, key, pair, n * own, first * own, second * own))
-        sums = pa.table(out).group_by(["doc_id", "mark"]).aggregate([("target", "sum"), ("background", "sum")])
-        none = pa.array(np.zeros(len(sums), np.int64))
-        return pa.table({"doc_id": sums["doc_id"], "mark": sums["mark"], "copies": none, "n_tokens": none, "target": sums["target_sum"], "background": sums["background_sum"]})
+            sums.append(np.bincount(row, weights=n * model.loss(m, key, pair, n * own, first * own, second * own), minlength=len(ids)))
+        none = pa.array(np.zeros(len(ids), np.int64))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int32()), "copies": none, "n_tokens": none, "target": pa.array(sums[0]), "background": pa.array(sums[1])})
 
-    rows = map_arrow(docs.select("doc_id", "text", "chosen", "mark"), sent, "bucket int, key long, doc_id long, mark int, chosen boolean, n int, first int, second int")
+    rows = docs.select("doc_id", "text", "chosen", "mark").mapInArrow(sent, SENT_SCHEMA)
     return rows.groupBy("bucket").applyInArrow(met, "doc_id long, mark int, copies long, n_tokens long, target double, background double")
 
 
@@ -280,7 +331,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str
     counts.delete()
     model, pairs = Model(single), counts_of(rows, hot)
     buckets = max(1, int(-(-(single[1].sum() - pairs[1].sum()) // BUCKET)))
-    parts = common_part(rows, model, hot, pairs).unionByName(rare_part(rows, model, hot, buckets))
+    parts = part_at_home(rows, model, hot, pairs).unionByName(part_of_buckets(rows, model, hot, buckets))
     of = parts.groupBy("doc_id", "mark").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "target", "background")])
     tokens = F.col("n_tokens") / F.col("copies")
     loss = lambda c: F.when(tokens > 0, F.col(c) / F.col("copies") / (tokens + 1)).otherwise(0.0)
