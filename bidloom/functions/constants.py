@@ -50,7 +50,8 @@ COLUMN_PATTERNS = {
     "sub_category": ["子类", "类别", "分类"],
 }
 
-# Sub-categories by pattern, the first that fits counts.
+# Sub-categories by pattern, the first that fits counts. An empty pattern fits
+# nothing, so the one of 不锈钢管 is left out: plain pipes are 其他.
 SUBCATEGORY_RULES = {
     "桥架": [("梯架|梯式", "梯式桥架"), ("槽式", "槽式桥架"), ("线槽", "线槽"), ("防水", "防水桥架"), ("竖井", "竖井桥架"), ("铝合金", "铝合金桥架"),
             ("复合|彩钢|玻璃钢", "复合桥架"), ("弱电", "弱电桥架"), ("托盘", "托盘式桥架"), ("桥架", "普通桥架")],
@@ -70,3 +71,25 @@ SUBCATEGORY_RULES = {
 }
 LOST = "未中标"
 JOINT_VENTURE = "合资"
+
+# Attributes of each category beside the common ones: key, label, where it is from, whether it must match or tells apart.
+EXTENDED_ATTRIBUTES = {
+    "桥架": [("surface", "表面处理", "报价单/投标", "匹配"), ("thickness", "板材厚度(mm)", "报价单/投标", "差异"), ("load_type", "荷载等级", "投标/图纸", "匹配"), ("fire_rating", "防火等级", "投标/图纸", "匹配")],
+    "母线槽": [("rated_current", "额定电流(A)", "报价单/投标", "匹配"), ("ip_rating", "防护等级", "投标", "匹配"), ("conductor", "导体材质", "报价单", "差异"), ("insulation", "绝缘方式", "投标", "差异")],
+    "配电箱": [("circuit_count", "回路数", "图纸/BOM", "匹配"), ("breaker_brand", "元器件品牌", "报价单", "差异"), ("box_material", "箱体材质", "报价单/投标", "差异"), ("ip_rating", "防护等级", "投标", "匹配")],
+    "阀门": [("valve_type", "阀门类型", "报价单/图纸", "匹配"), ("pressure", "公称压力(MPa)", "报价单/投标", "匹配"), ("body_material", "阀体材质", "报价单", "差异"), ("connection", "连接方式", "报价单/图纸", "匹配")],
+    "不锈钢管": [("steel_grade", "钢种牌号", "报价单/投标", "匹配"), ("wall_thickness", "壁厚(mm)", "报价单", "差异"), ("connection", "连接方式", "报价单/图纸", "匹配")],
+    "水箱": [("tank_material", "材质", "报价单/投标", "匹配"), ("volume", "容积(m³)", "图纸/BOM", "匹配"), ("insulation", "保温方式", "投标", "差异")],
+    "潜水泵": [("flow_rate", "流量(m³/h)", "报价单/图纸", "匹配"), ("head", "扬程(m)", "报价单/图纸", "匹配"), ("power", "功率(kW)", "报价单", "差异"), ("material", "过流部件材质", "投标", "差异")],
+    "风口风阀": [("type", "类型", "报价单/图纸", "匹配"), ("material", "材质", "报价单/投标", "差异"), ("drive_type", "驱动方式", "投标", "差异")],
+    "风机盘管": [("cooling_cap", "制冷量(kW)", "报价单/图纸", "匹配"), ("air_volume", "风量(m³/h)", "报价单/图纸", "匹配"), ("install_type", "安装方式", "投标", "匹配"), ("coil_rows", "盘管排数", "投标", "差异")],
+    "空调泵": [("flow_rate", "流量(m³/h)", "报价单/图纸", "匹配"), ("head", "扬程(m)", "报价单/图纸", "匹配"), ("power", "功率(kW)", "报价单", "差异"), ("pump_type", "泵型", "报价单/投标", "匹配")],
+}
+
+# The parts of which names of a category are made.
+NAMING = {
+    "桥架": {"结构形式": ["槽式", "托盘式", "梯式", "网格式", "模压增强型", "波纹型"], "材质": ["钢质", "不锈钢", "铝合金", "玻璃钢", "高分子", "冷轧钢"],
+            "表面处理": ["热浸镀锌", "热镀锌", "彩钢", "涂塑", "喷塑", "锌铝镁"], "特殊要求": ["防水", "防火", "带分隔板", "屏蔽"]},
+    "风口风阀": {"名称": ["风口", "风阀", "防火阀", "静压箱", "消声器"], "材质": ["镀锌钢", "不锈钢", "铝合金"], "板材厚度": ["1.6mm", "1.8mm", "2.0mm"],
+               "特殊要求": ["带门铰", "带防虫网", "带风箱", "带驱动", "带执行机构"]},
+}

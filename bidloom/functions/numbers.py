@@ -48,11 +48,30 @@ def line_total(price: Column, quantity: Column, given: Column | None = None) ->
 
 
 def checked_line(price: Column, quantity: Column, total: Column) -> Column:
-    """Share by which price times quantity misses the total."""
-    return F.when(total != 0, F.abs(price * quantity - total) / F.abs(total))
+    """Share of the total by which price times quantity misses it."""
+    return F.when(total != 0, F.abs(price * quantity - total) / total)
 
 
-def corrected_price(price: Column, quantity: Column, total: Column) -> Column:
-    """A unit price that equals the line total, for more than one piece, is divided by the quantity."""
-    ratio = price / total
-    return F.when((quantity > 1) & (total > 0) & ratio.between(0.95, 1.05), total / quantity).otherwise(price)
+def suggested_price(price: Column, quantity: Column, total: Column) -> Column:
+    """struct(kind, unit_price) where a unit price looks like a line total of more than one piece, else null.
+
+    unit_is_total: it is the given total, give or take a twentieth; swap_total_to_unit:
+    no total is given, and the price is all but a multiple of the quantity, twice it at least.
+    """
+    cents = lambda x: F.floor(x * 100 + F.lit(0.5)) / F.lit(100.0)
+    ratio, each = price / F.when(total > 0, total), price / F.when(quantity > 1, quantity)
+    even = F.abs(price % F.when(quantity > 1, quantity) / price) < 0.01
+    is_total = (quantity > 1) & (total > 0) & (ratio > 0.95) & (ratio < 1.05)
+    swapped = total.isNull() & (price > 0) & (quantity >= 2) & (each > 1) & (price >= quantity * 2) & (cents(each) != price) & even
+    kind = F.when(is_total, "unit_is_total").when(swapped, "swap_total_to_unit")
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.when(is_total, cents(total / quantity)).otherwise(cents(each)).alias("unit_price")))
+
+
+def percent(x: Column) -> Column:
+    """+5.0%, -3.2%; a dash for null."""
+    return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.format_string("%+.1f%%", x * 100))
+
+
+def folded_alert(raw: Column) -> Column:
+    """Levels of older data: blue is red, green and unknown ones are normal."""
+    return F.when(raw.isin("red", "blue"), "red").when(raw == "yellow", "yellow").otherwise("normal")

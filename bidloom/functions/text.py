@@ -69,8 +69,11 @@ def synonyms(name: Column) -> Column:
 
 
 def standardised(name: Column) -> Column:
-    """struct(original, standardized, changes): what each step changed; blank names are returned as given."""
-    labels = ("canonical", "diameter", "dimensions", "synonyms")
+    """struct(original, standardized, changes): what each step changed; blank names are returned as given.
+
+    Dimensions come before diameters: in 300 * 150mm both numbers are sides of one size.
+    """
+    labels = ("canonical", "dimensions", "diameter", "synonyms")
 
     def result(*steps: Column) -> Column:
         before = [name, *steps[:-1]]
@@ -82,7 +85,7 @@ def standardised(name: Column) -> Column:
             F.when(blank, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*changes))).alias("changes"),
         )
 
-    return bound(canonical(name), lambda c: bound(nominal_diameter(c), lambda d: bound(dimensions(d), lambda m: bound(synonyms(m), lambda s: result(c, d, m, s)))))
+    return bound(canonical(name), lambda c: bound(dimensions(c), lambda m: bound(nominal_diameter(m), lambda d: bound(synonyms(d), lambda s: result(c, m, d, s)))))
 
 
 def sub_category(name: Column, category: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidloom.functions.constants import CATEGORY_ABBREVIATIONS, PROFESSION_ABBREVIATIONS
+from bidloom.functions.constants import CATEGORY_ABBREVIATIONS, EXTENDED_ATTRIBUTES, NAMING, PROFESSION_ABBREVIATIONS
+from bidloom.sources.shared import saved
 
 
 def contains(column: str, keyword: str) -> Column:
@@ -75,17 +76,98 @@ def coded(new: DataFrame, existing: DataFrame, prefix: str = "prefix", code: str
     return out.withColumn(code, F.concat_ws("-", prefix, F.when(F.length(F.col("_k").cast("string")) >= 5, F.col("_k").cast("string")).otherwise(F.lpad(F.col("_k").cast("string"), 5, "0")))).drop("_n", "_k")
 
 
+#: New names that are numbered in one window.
+NAMES = 100_000
+
+
+def numbered(names: DataFrame, name: str) -> DataFrame:
+    """Distinct ``names`` with ``_k``, their place in order from 1: in range partitions, which are numbered in turn."""
+    parts = max(1, -(-names.count() // NAMES))
+    ranged = saved(names.select(name).repartitionByRange(parts, name).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a partition
+    sizes = sizes.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(name))
+    return ranged.join(sizes, "_p").select(name, (place + F.col("_before")).alias("_k"))
+
+
 def get_or_create(names: DataFrame, existing: DataFrame, name: str = "name") -> DataFrame:
     """id and name of every trimmed, non-blank name: the existing ids, and new ones after the largest."""
     wanted = names.select(F.trim(name).alias(name)).filter(F.col(name) != "").distinct()
     known = existing.groupBy(name).agg(F.min("id").alias("id"))
-    fresh = wanted.join(known, name, "left_anti")
+    fresh = saved(wanted.join(known, name, "left_anti"))
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    number = F.row_number().over(Window.orderBy(name))
-    made = fresh.withColumn("_k", number).crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_k")).alias("id"), name)
+    made = numbered(fresh, name).crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_k")).alias("id"), name)
     return known.join(wanted, name, "left_semi").select("id", name).unionByName(made)
 
 
+def folded_name(name: Column) -> Column:
+    return F.lower(F.regexp_replace(name, r"(?U)\s", ""))
+
+
+def matched_suppliers(detected: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Detected names (name) with the first supplier (by id) whose name is the same but for blanks and capitals, contains the name, or is contained in it: name, supplier_id.
+
+    Equal names join by their folded form. Only names without such a partner are sought by
+    containment: a name that contains another holds its first two characters somewhere, so
+    names meet on pairs of characters, not with each other.
+    """
+    names = detected.select("name").filter("name <> ''").distinct()
+    pool = suppliers.filter("name <> ''").select(F.col("id").alias("supplier_id"), F.col("name").alias("of"))
+    equal = names.withColumn("k", folded_name(F.col("name"))).join(pool.withColumn("k", folded_name(F.col("of"))), "k").select("name", "supplier_id")
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    head = lambda c: F.substring(c, 1, 2)
+    inside = names.withColumn("k", F.explode(pairs(F.col("name")))).join(pool.withColumn("k", head(F.col("of"))), "k").filter(F.col("name").contains(F.col("of"))).select("name", "supplier_id")
+    around = names.withColumn("k", head(F.col("name"))).join(pool.withColumn("k", F.explode(pairs(F.col("of")))), "k").filter(F.col("of").contains(F.col("name"))).select("name", "supplier_id")
+    single = names.filter(F.length("name") == 1).join(pool, F.col("of").contains(F.col("name"))).select("name", "supplier_id")
+    short = names.join(pool.filter(F.length("of") == 1), F.col("name").contains(F.col("of"))).select("name", "supplier_id")
+    return equal.unionByName(inside).unionByName(around).unionByName(single).unionByName(short).groupBy("name").agg(F.min("supplier_id").alias("supplier_id"))
+
+
+def updated(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """``table`` with the non-null columns of ``changes`` (one row a key); columns that follow from others are not computed anew."""
+    new = [c for c in changes.columns if c != key]
+    named = changes.select(key, *[F.col(c).alias(f"_{c}") for c in new])
+    return table.join(named, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in new else F.col(c) for c in table.columns])
+
+
+def without(table: DataFrame, column: str, value) -> DataFrame:
+    """Rows but those with a value: a batch or a row deleted."""
+    return table.filter(~F.col(column).eqNullSafe(F.lit(value)))
+
+
+def without_group(groups: DataFrame, items: DataFrame, group_id: int) -> tuple[DataFrame, DataFrame]:
+    """Groups and their items after a group and all its items were deleted."""
+    return without(groups, "id", group_id), without(items, "group_id", group_id)
+
+
+def applied_alignment(groups: DataFrame, items: DataFrame, fixes: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suggested groups that were not rejected, their items, and the quotes with the unit prices that were fixed.
+
+    ``fixes``: quote_id, field, new_value; only those of unit_price with a value count,
+    of a quote's the last by value.
+    """
+    live = groups.filter("status <> 'rejected'")
+    inside = items.join(live.select(F.col("id").alias("group_id")), "group_id", "left_semi")
+    good = fixes.filter("field = 'unit_price' AND new_value IS NOT NULL").groupBy(F.col("quote_id").alias("id")).agg(F.max("new_value").alias("unit_price"))
+    return live, inside, updated(quotes, good)
+
+
+def alignment_rows(valid: DataFrame, suppliers: DataFrame, supplier_ids: list[int], project_id: int | None = None, category: str | None = None, most: int = 60) -> DataFrame:
+    """The first rows by material and supplier name that a model is asked to align."""
+    rows = valid.filter(F.col("supplier_id").isin(supplier_ids)).join(suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name")), "supplier_id")
+    for column, value in (("project_id", project_id), ("category", category)):
+        rows = rows.filter(F.col(column) == value) if value else rows
+    named = rows.select(F.col("id").alias("quote_id"), "supplier_id", "supplier_name", F.col("standard_name").alias("material_name"), "spec", "quantity", "unit_price", "total_price")
+    return named.orderBy("material_name", "supplier_name", "quote_id").limit(most)
+
+
+def constants(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The extended attributes and the naming parts of categories as tables."""
+    attributes = [(c, k + 1, *row) for c, rows in EXTENDED_ATTRIBUTES.items() for k, row in enumerate(rows)]
+    naming = [(c, part, k + 1, v) for c, parts in NAMING.items() for part, values in parts.items() for k, v in enumerate(values)]
+    return spark.createDataFrame(attributes, "category string, position int, key string, label string, source string, role string"), spark.createDataFrame(naming, "category string, part string, position int, value string")
+
+
 def upserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``table`` with ``rows`` in the place of those with equal keys (null equals null), new ones added; of rows with equal keys, any one."""
     new = rows.dropDuplicates(keys)
@@ -115,16 +197,35 @@ def created_quotes(rows: DataFrame, materials: DataFrame, thresholds: DataFrame)
     return of.withColumn("total_price", line_total(F.col("unit_price"), F.col("quantity"))).withColumn("deviation_pct", dev).withColumn("alert_level", alert(F.col("deviation_pct"), F.col("yellow"), F.col("red")))
 
 
-def invited(recommended: DataFrame, chosen: list[int], tender_id: int, existing: DataFrame) -> DataFrame:
-    """New invitations of the chosen suppliers, with rank and score; those invited before are left out."""
-    before = existing.filter(F.col("tender_id") == tender_id).select("supplier_id")
-    return recommended.filter(F.col("supplier_id").isin(chosen)).join(before, "supplier_id", "left_anti").select(F.lit(tender_id).cast("long").alias("tender_id"), "supplier_id", "score", "rank", F.lit("invited").alias("status"))
+def invited(chosen: list[int], suppliers: DataFrame, recommended: DataFrame, tender_id: int, existing: DataFrame) -> DataFrame:
+    """A tender's invitations of the chosen suppliers that exist: those invited before stay as they are, new ones carry rank and score where they are recommended.
+
+    tender_id, supplier_id, supplier_name, rank, score, status.
+    """
+    mine = suppliers.filter(F.col("id").isin(chosen)).select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
+    before = existing.filter(F.col("tender_id") == tender_id).select("supplier_id", F.struct("rank", "score", "status").alias("_b"))
+    new = F.struct("rank", "score", F.lit("pending").alias("status"))
+    out = mine.join(recommended.select("supplier_id", "rank", "score"), "supplier_id", "left").withColumn("_n", new).join(before, "supplier_id", "left")
+    return out.select(F.lit(tender_id).cast("long").alias("tender_id"), "supplier_id", "supplier_name", F.coalesce("_b", "_n").alias("_i")).select("tender_id", "supplier_id", "supplier_name", "_i.rank", "_i.score", "_i.status")
+
+
+def tenders_after(tenders: DataFrame, invitations: DataFrame) -> DataFrame:
+    """Drafts with an invitation have become invited."""
+    some = invitations.select(F.col("tender_id").alias("id")).distinct().withColumn("_some", F.lit(True))
+    return tenders.join(some, "id", "left").withColumn("status", F.when(F.col("_some") & (F.col("status") == "draft"), "invited").otherwise(F.col("status"))).drop("_some")
+
+
+def tenders_listed(tenders: DataFrame, invitations: DataFrame, most: int = 50) -> DataFrame:
+    """The newest tenders with their numbers of items and invitations."""
+    counts = invitations.groupBy(F.col("tender_id").alias("id")).agg(F.count("*").alias("invitation_count"))
+    newest = tenders.orderBy(F.desc("created_at"), "id").limit(most)
+    return newest.join(counts, "id", "left").select("id", "project_name", "status", F.greatest(F.size("items"), F.lit(0)).alias("item_count"), F.coalesce("invitation_count", F.lit(0)).alias("invitation_count"), "created_at")
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, child_columns: list[str]) -> DataFrame:
     """Parents with an array of their children, in the order of the children's columns."""
     nested = children.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct(*child_columns))).alias("items"))
-    return parents.join(nested, "id", "left").withColumn("n_items", F.coalesce(F.size("items"), F.lit(0)))
+    return parents.join(nested, "id", "left").withColumn("n_items", F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)))
 
 
 def aligned(groups: DataFrame, items: DataFrame, status: str = "confirmed") -> tuple[DataFrame, DataFrame]:
@@ -132,12 +233,3 @@ def aligned(groups: DataFrame, items: DataFrame, status: str = "confirmed") -> t
     live = groups.filter(F.col("status") == status)
     inside = items.join(live.select(F.col("id").alias("group_id")), "group_id", "left_semi")
     return with_children(live, inside, "group_id", ["id", "quote_id", "supplier_id", "action"]), inside.select("quote_id")
-
-
-def alignment_cells(groups: DataFrame, items: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Rows of confirmed groups: group_id, supplier_id, unit_price (of the supplier's last item), reference_quote (of the first item)."""
-    live = groups.filter("status = 'confirmed'").select(F.col("id").alias("group_id"))
-    of = items.filter("action = 'align'").join(live, "group_id").join(quotes.select(F.col("id").alias("quote_id"), "unit_price"), "quote_id")
-    first = F.first("quote_id").over(Window.partitionBy("group_id").orderBy("id"))
-    last = F.row_number().over(Window.partitionBy("group_id", "supplier_id").orderBy(F.desc("id")))
-    return of.withColumn("reference_quote", first).withColumn("_n", last).filter("_n = 1").select("group_id", "supplier_id", "unit_price", "reference_quote")

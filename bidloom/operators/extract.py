@@ -5,16 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.functions.numbers import corrected_price, extraction_number, line_total
-from bidloom.functions.text import first_category
+from bidloom.functions.numbers import alert, deviation, extraction_number, line_total, rounded, suggested_price
+from bidloom.functions.text import first_category, tolerant_json
 
-from .catalog import created_quotes
+from .dashboard import first_by
+
+#: Characters of a remark that are kept.
+REMARK = 500
 
 ITEM = "material string, spec string, brand string, unit string, qty string, unit_price string, total_price string, remark string"
-QUOTE = f"supplier_name string, quote_date string, items array<struct<{ITEM.replace(' string', ':string')}>>"
+QUOTE = f"supplier_name string, quote_date string, context map<string,string>, items array<struct<{ITEM.replace(' string', ':string')}>>"
+TENDER_ITEM = "name:string,category:string,spec:string,unit:string,quantity:string,remark:string,attrs:map<string,string>"
+TENDER = f"project_name string, project_code string, tender_date string, deadline string, items array<struct<{TENDER_ITEM}>>"
+#: Of each kind of document: its schema, its scalars, and the fields by which two items are the same.
+KINDS = {
+    "quote": (QUOTE, ("supplier_name", "quote_date"), ("material", "spec", "qty")),
+    "tender": (TENDER, ("project_name", "project_code", "tender_date", "deadline"), ("name", "spec", "quantity")),
+}
 PARTIAL = "data string, confidence double, tokens_used long, duration_ms long, error string"
 
 #: What reads one page: text to (JSON, confidence, tokens, milliseconds). External models fit here.
@@ -37,21 +47,32 @@ def pages_read(pages: DataFrame, provider: Provider) -> DataFrame:
     return pages.select("doc_id", "page", "content").mapInPandas(each, f"doc_id string, page int, {PARTIAL}")
 
 
-def merged(partials: DataFrame) -> DataFrame:
+def merged(partials: DataFrame, kind: str = "quote") -> DataFrame:
     """One row a document from its pages: first non-empty scalars, items in order without repeats, sums, least confidence.
 
-    partials: doc_id, page, data (JSON of a quote), confidence, tokens_used, duration_ms.
+    partials: doc_id, page, data (JSON of a quote or a tender), confidence, tokens_used,
+    duration_ms, and raw_text where there is one. The JSON is parsed once and pages meet
+    once; a quote takes over the first page's context that has one.
     """
-    rows = partials.withColumn("d", F.from_json("data", QUOTE))
-    first = lambda c: F.min(F.when(F.trim(F.col(c)) != "", F.struct("page", F.col(c).alias("v")))).v
-    heads = rows.groupBy("doc_id").agg(
-        first("d.supplier_name").alias("supplier_name"), first("d.quote_date").alias("quote_date"), F.sum("tokens_used").alias("tokens_used"), F.sum("duration_ms").alias("duration_ms"), F.min("confidence").alias("confidence"), F.count("*").alias("pages")
-    )
-    items = rows.select("doc_id", "page", F.posexplode("d.items").alias("pos", "item"))
-    key = F.concat_ws("\x01", *[F.coalesce(F.trim(F.col(f"item.{c}")), F.lit("")) for c in ("material", "spec", "qty")])
-    kept = items.groupBy("doc_id", key.alias("k")).agg(F.min(F.struct("page", "pos", "item")).alias("x"))
-    lists = kept.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]).alias("items"))
-    return heads.join(lists, "doc_id", "left")
+    schema, scalars, key = KINDS[kind]
+    raw = F.col("raw_text") if "raw_text" in partials.columns else F.lit(None).cast("string")
+    rows = partials.select("doc_id", "page", F.from_json("data", schema).alias("d"), "confidence", "tokens_used", "duration_ms", raw.alias("raw_text"))
+    first = lambda c: F.min(F.when(F.trim(F.col(f"d.{c}")) != "", F.struct("page", F.col(f"d.{c}").alias("v")))).v.alias(c)
+    items = F.when(F.size("d.items") > 0, F.struct("page", F.col("d.items").alias("items")))
+    # By page alone: maps inside have no order.
+    in_order = lambda x: F.array_sort(x, lambda a, b: F.when(a["page"] < b["page"], -1).when(a["page"] > b["page"], 1).otherwise(0))
+    texts = F.when(F.col("raw_text") != "", F.struct("page", "raw_text"))
+    context = [F.min_by("d.context", F.when(F.size("d.context") > 0, F.col("page"))).alias("context")] if kind == "quote" else []
+    out = rows.groupBy("doc_id").agg(
+        *[first(c) for c in scalars], *context, F.sum("tokens_used").alias("tokens_used"), F.sum("duration_ms").alias("duration_ms"), F.min("confidence").alias("confidence"), F.count("*").alias("pages"),
+        in_order(F.collect_list(items)).alias("_items"), in_order(F.collect_list(texts)).alias("_texts"), in_order(F.collect_list(F.struct("page", F.coalesce(F.size("d.items"), F.lit(0)).alias("n")))).alias("_sizes"),
+    )
+    keyed = F.transform(F.flatten(F.transform("_items", lambda p: p["items"])), lambda x: F.struct(F.concat_ws("\x01", *[F.coalesce(F.trim(x[c]), F.lit("")) for c in key]).alias("k"), x.alias("item")))
+    # The first item of each key: places of keys in the list of all keys.
+    distinct = lambda all_: F.transform(F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: y["k"]), x["k"]) == i + 1), lambda x: x["item"])
+    out = out.withColumn("_keyed", keyed).withColumn("items", distinct(F.col("_keyed")))
+    out = out.withColumn("raw_text", F.array_join(F.transform("_texts", lambda p: p["raw_text"]), "\n---batch---\n")).withColumn("items_per_page", F.transform("_sizes", lambda p: F.greatest(p["n"], F.lit(0))))
+    return out.drop("_items", "_texts", "_keyed", "_sizes")
 
 
 def cleaned_items(items: Column) -> Column:
@@ -79,26 +100,79 @@ def tender_items(items: Column) -> Column:
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """One row an item of merged documents, with unit prices that equal line totals corrected."""
+    """One row an item of merged documents, with a suggestion where a unit price looks like a line total; prices stay as they are."""
     rows = documents.select("doc_id", "supplier_name", "quote_date", F.posexplode(cleaned_items(F.col("items"))).alias("pos", "i")).select("doc_id", "supplier_name", "quote_date", "pos", "i.*")
-    return rows.withColumn("unit_price", corrected_price(F.col("unit_price"), F.col("qty"), F.col("total_price")))
+    return rows.withColumn("suggestion", suggested_price(F.col("unit_price"), F.col("qty"), F.col("total_price")))
 
 
-def confirmed(rows: DataFrame, materials: DataFrame, thresholds: DataFrame, done: DataFrame) -> DataFrame:
-    """Confirmed lines as quotes with deviation and alert; batches that are in already are left out."""
-    return created_quotes(rows.join(done.select("batch_id").distinct(), "batch_id", "left_anti"), materials, thresholds)
+def confirmed(
+    rows: DataFrame, materials: DataFrame, thresholds: DataFrame, done: DataFrame, tiers: DataFrame, category: str, supplier_id: int | None = None, project_id: int | None = None, bid_status: str = ""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Confirmed lines (job_id, pos, material, spec, brand, unit, qty, unit_price, total_price, remark) as quotes, the materials they need first, and the unknown brands.
+
+    A batch (the job's first eight characters and the supplier) that is in ``done`` is
+    left out: confirming twice adds nothing. Lines without a name are skipped. The
+    material must agree in category, standard name and specification; the tier is the
+    brand's in any category; deviation and alert follow the material's reference price.
+    """
+    from .baseline import bounds, with_tier
+    from .ingest import with_standard_names
+
+    batch = F.concat_ws("-", F.lit("OCR"), F.substring("job_id", 1, 8), F.lit(str(supplier_id) if supplier_id else "nos"))
+    named = rows.filter(F.trim("material") != "").withColumn("name", F.trim("material")).withColumn("batch_id", batch).join(done.select("batch_id").distinct(), "batch_id", "left_anti")
+    lines = with_standard_names(named).withColumn("spec", F.coalesce(F.trim("spec"), F.lit(""))).withColumn("brand", F.coalesce(F.trim("brand"), F.lit("")))
+    own = materials.filter(F.col("category") == category).groupBy("standard_name", F.coalesce("spec", F.lit("")).alias("spec")).agg(
+        F.min("id").alias("material_id"), *[F.min_by(c, "id").alias(c) for c in ("ref_price_reasonable_low", "ref_price_median")]
+    )
+    known = lines.join(own, ["standard_name", "spec"], "left")
+    fresh = known.filter("material_id IS NULL").groupBy("standard_name", "spec").agg(F.min_by("unit", "pos").alias("unit"), F.min_by("brand", "pos").alias("brand")).withColumn("category", F.lit(category))
+    tiered = with_tier(known, tiers.groupBy("brand_name").agg(F.min("tier").alias("tier")).withColumn("category", F.lit(None).cast("string")), by_category=False)
+    nonzero = lambda c: F.when(F.col(c) != 0, F.col(c))
+    dev = rounded(deviation(F.col("unit_price"), F.coalesce(nonzero("ref_price_reasonable_low"), nonzero("ref_price_median"))), 4)
+    priced = bounds(tiered.withColumn("category", F.lit(category)).withColumn("deviation_pct", dev), thresholds)
+    quotes = priced.select(
+        "material_id", "standard_name", "spec", F.lit(supplier_id).cast("long").alias("supplier_id"), F.lit(project_id).cast("long").alias("project_id"), "unit_price", F.col("qty").alias("quantity"),
+        line_total(F.col("unit_price"), F.col("qty"), F.col("total_price")).alias("total_price"), "brand", F.coalesce("tier", F.lit("")).alias("brand_tier"), F.substring("remark", 1, REMARK).alias("remark"), "batch_id",
+        F.lit(bid_status).alias("bid_status"), "deviation_pct", F.when(F.col("deviation_pct").isNull(), "").otherwise(alert(F.col("deviation_pct"), F.col("yellow"), F.col("red"))).alias("alert_level"),
+    )
+    unknown = tiered.filter("brand <> '' AND tier IS NULL").select("brand").distinct()
+    return quotes, fresh, unknown
 
 
 def latest_job(jobs: DataFrame) -> DataFrame:
     """Of each file, type and context the newest job that has not failed: uploads of the same bytes come back to it."""
-    n = F.row_number().over(Window.partitionBy("file_hash", "type", "context").orderBy(F.desc("created_at"), "id"))
-    return jobs.filter("status <> 'failed'").withColumn("_n", n).filter("_n = 1").drop("_n")
+    live = jobs.filter("status <> 'failed'").withColumn("_age", -F.unix_micros(F.col("created_at").cast("timestamp")))
+    return first_by(live, ["file_hash", "type", "context"], ["_age", "id"]).select(*jobs.columns)
+
+
+#: What of a job's context tells uploads of the same bytes apart.
+CONTEXT_KEYS = ("category", "project_id", "supplier_id")
+
 
+def context_hash(context: Column) -> Column:
+    """16 hex digits of what a context map says of the category, project and supplier, whatever its order; 'noctx' if nothing."""
+    said = [F.when(F.element_at(context, k) != "", F.concat_ws("=", F.lit(k), F.element_at(context, k))) for k in CONTEXT_KEYS]
+    whole = F.concat_ws("\x01", *said)
+    return F.when(F.coalesce(whole, F.lit("")) == "", "noctx").otherwise(F.substring(F.sha2(whole, 256), 1, 16))
 
-def context_hash(*columns: str) -> Column:
-    """16 hex digits of the given values, 'noctx' if all are null."""
-    whole = F.to_json(F.struct(*columns))
-    return F.when(whole == "{}", "noctx").otherwise(F.substring(F.sha2(whole, 256), 1, 16))
+
+ALIGNMENT = "groups array<struct<suggested_name:string,suggested_spec:string,confidence:string,reason:string,items:array<struct<quote_id:bigint,supplier_id:bigint,action:string>>>>, field_fixes array<struct<quote_id:string,field:string,current:double,suggested:double,confidence:string,reason:string>>"
+
+
+def alignment_response(replies: DataFrame, column: str = "reply") -> DataFrame:
+    """A model's replies (id, reply) as groups and fixes: groups need a name and items, fixes a quote; missing texts are '', missing confidences 0, a missing field unit_price."""
+    parsed = F.from_json(tolerant_json(F.col(column)), ALIGNMENT)
+    number = lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))
+    text = lambda x: F.coalesce(x, F.lit(""))
+    groups = F.transform(
+        F.filter(parsed.groups, lambda g: g["suggested_name"].isNotNull() & g["items"].isNotNull()),
+        lambda g: F.struct(g["suggested_name"].alias("suggested_name"), text(g["suggested_spec"]).alias("suggested_spec"), number(g["confidence"]).alias("confidence"), text(g["reason"]).alias("reason"), g["items"].alias("items")),
+    )
+    fixes = F.transform(
+        F.filter(parsed.field_fixes, lambda x: x["quote_id"].try_cast("long").isNotNull()),
+        lambda x: F.struct(x["quote_id"].try_cast("long").alias("quote_id"), F.coalesce(x["field"], F.lit("unit_price")).alias("field"), x["current"].alias("current"), x["suggested"].alias("suggested"), number(x["confidence"]).alias("confidence"), text(x["reason"]).alias("reason")),
+    )
+    return replies.select("id", groups.alias("groups"), fixes.alias("field_fixes")).withColumn("n_groups", F.greatest(F.size("groups"), F.lit(0))).withColumn("n_fixes", F.greatest(F.size("field_fixes"), F.lit(0)))
 
 
 def swept(jobs: DataFrame, now: str, minutes: int = 5) -> DataFrame:
@@ -112,6 +186,19 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max(F.struct("at", "status")).status.alias("status"), F.max("progress").alias("progress"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"), F.count("*").alias("events"))
 
 
+def jobs_listed(jobs: DataFrame, kind: str | None = None, status: str | None = None, most: int = 50) -> DataFrame:
+    """Jobs of a type and status, the newest first."""
+    for column, value in (("type", kind), ("status", status)):
+        jobs = jobs.filter(F.col(column) == value) if value else jobs
+    return jobs.orderBy(F.desc("created_at"), "id").limit(most)
+
+
+def retried(uploads: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Uploads (file_hash, type, context) that need a new job: those without one that has not failed."""
+    keys = ["file_hash", "type", "context"]
+    return uploads.dropDuplicates(keys).join(jobs.filter("status <> 'failed'").select(*keys), keys, "left_anti")
+
+
 def page_batches(pages: Column, size: int, shared: bool = True) -> Column:
     """Pages in batches of ``size``; each further batch repeats the first page as context."""
     starts = F.when(F.size(pages) > 0, F.sequence(F.lit(0), F.size(pages) - 1, F.lit(size)))

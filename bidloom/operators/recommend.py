@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidloom.functions.numbers import rounded
+from bidloom.functions.numbers import percent, rounded
+from bidloom.sources.shared import saved
 
 from .scoring import score
 
@@ -26,6 +27,7 @@ def history(valid: DataFrame, categories: list[str], now: str) -> DataFrame:
     rows = valid.filter(F.col("category").isin(categories)) if categories else valid
     ref = F.coalesce("ref_price_reasonable_low", "ref_price_median")
     dev = F.when(ref > 0, (F.col("unit_price") - ref) / ref)
+    dev = F.coalesce("deviation_pct", dev) if "deviation_pct" in rows.columns else dev
     out = rows.groupBy("supplier_id").agg(F.count("*").alias("history_count"), F.avg(dev).alias("avg_deviation"), F.count(dev).alias("dev_count"), F.sum(decay(F.col("quote_date"), now)).alias("decayed"))
     few = out.agg((F.count("*") <= DECAYED_UP_TO).alias("few"))  # one row
     return out.crossJoin(F.broadcast(few)).withColumn("recent_history", F.when(F.col("few"), F.col("decayed")).otherwise(F.col("history_count").cast("double"))).drop("few", "decayed")
@@ -43,26 +45,62 @@ def brands_of(valid: DataFrame, first: int = 10) -> DataFrame:
     return valid.filter("brand <> ''").groupBy("supplier_id").agg(F.slice(F.array_sort(F.collect_set("brand")), 1, first).alias("brands"))
 
 
-def recommend(suppliers: DataFrame, quotes: DataFrame, valid: DataFrame, tiers: DataFrame, categories: list[str], n: int, now: str, required: list[str] | None = None) -> DataFrame:
-    """The ``n`` best suppliers with history in ``categories``, filled up from others without: rank, supplier_id, score and its parts."""
+def assessed(suppliers: DataFrame, quotes: DataFrame, valid: DataFrame, tiers: DataFrame, categories: list[str], now: str, required: list[str] | None = None) -> DataFrame:
+    """All suppliers with their score over ``categories`` (over all quotes, if there are none) and its parts.
+
+    ``quotes`` has all quotes with their category. The overall score follows the first
+    category; a brand that is required twice counts twice.
+    """
     past = history(valid, categories, now)
     scored = score(suppliers, quotes, valid, tiers, category=categories[0] if categories else None)
-    brands = (valid.filter(F.col("category").isin(categories)) if categories else valid).filter("brand <> ''").groupBy("supplier_id").agg(F.collect_set("brand").alias("brands"))
-    known = scored.join(past, "supplier_id", "left").join(brands, "supplier_id", "left")
+    known = scored.join(past, "supplier_id", "left")
     x = F.greatest(F.lit(-0.10), F.least(F.lit(0.20), F.col("avg_deviation")))
     by_history = F.least(F.lit(100.0), F.log1p(F.coalesce("recent_history", F.lit(0.0))) * 24.0)
-    by_price = F.coalesce((0.20 - x) / 0.30 * 100.0, F.lit(50.0))
+    by_price = F.when(F.col("avg_deviation").isNull(), 50.0).otherwise((0.20 - x) / 0.30 * 100.0)
     bonus = F.lit(0.0)
     if required:
-        wanted = F.array(*map(F.lit, sorted(set(required))))
-        bonus = F.coalesce(F.size(F.array_intersect("brands", wanted)) / F.size(wanted), F.lit(0.0)) * 20.0
+        of = quotes.filter(F.col("category").isin(categories)) if categories else quotes
+        brands = of.filter(F.col("brand").isin(required)).groupBy("supplier_id").agg(F.collect_set("brand").alias("brands"))
+        known = known.join(brands, "supplier_id", "left")
+        hits = sum((F.when(F.array_contains("brands", b), 1).otherwise(0) for b in required), F.lit(0))
+        bonus = hits / F.lit(len(required)) * 20.0
     total = 0.30 * by_history + 0.25 * by_price + 0.25 * F.col("total_score") + 0.20 * F.col("brand_score") + bonus
-    rows = known.select(
+    return known.select(
         "supplier_id", "supplier_name", rounded(total, 1).alias("score"), F.coalesce("history_count", F.lit(0)).alias("history_count"), rounded(by_history, 1).alias("history_score"),
-        rounded(F.col("avg_deviation"), 4).alias("avg_deviation_pct"), rounded(by_price, 1).alias("price_score"), F.col("total_score").alias("overall_score"), "brand_score", F.col("history_count").isNotNull().alias("_past"),
+        rounded(F.col("avg_deviation"), 4).alias("avg_deviation_pct"), F.coalesce("dev_count", F.lit(0)).alias("dev_count"), rounded(by_price, 1).alias("price_score"),
+        F.col("total_score").alias("overall_score"), "brand_score", F.col("history_count").isNotNull().alias("_past"),
     )
-    best = rows.filter("_past").orderBy(F.desc("score"), "supplier_id").limit(n)
-    fresh = rows.filter("NOT _past").orderBy("supplier_id").limit(COLD_START).orderBy(F.desc("score"), "supplier_id").limit(n)
+
+
+def recommend(suppliers: DataFrame, quotes: DataFrame, valid: DataFrame, tiers: DataFrame, categories: list[str], n: int, now: str, required: list[str] | None = None) -> DataFrame:
+    """The ``n`` best suppliers with history in ``categories``, filled up from the first others, which are scored over all categories: rank, supplier_id, score and its parts.
+
+    Without a category nobody has history in it, and the list is filled up alone; n of 0 or less gives none.
+    """
+    n = max(n, 0)
+    best = assessed(suppliers, quotes, valid, tiers, categories, now, required).filter("_past" if categories else "false").orderBy(F.desc("score"), "supplier_id").limit(n)
+    best = saved(best)  # n rows
+    others = suppliers.join(F.broadcast(best.select(F.col("supplier_id").alias("id"))), "id", "left_anti").orderBy("id").limit(COLD_START)
+    few = F.broadcast(others.select(F.col("id").alias("supplier_id")))
+    mine = lambda df: df.join(few, "supplier_id", "left_semi")
+    fresh = assessed(others, mine(quotes), valid, tiers, [], now, required).withColumn("_past", F.lit(False)).orderBy(F.desc("score"), "supplier_id").limit(n)
     # At most 2 n rows.
     order = Window.orderBy(F.desc("_past"), F.desc("score"), "supplier_id")
     return best.unionByName(fresh).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("_past")
+
+
+def summaries(recommended: DataFrame, valid: DataFrame, categories: list[str]) -> DataFrame:
+    """``recommended`` with ``summary``: deals by category, mean deviation, overall score, as text."""
+    out, deals = recommended, F.concat(F.lit("历史成交 "), F.col("history_count"), F.lit(" 次"))
+    if categories:
+        out = out.join(per_category(valid, categories), "supplier_id", "left")
+        deals = F.coalesce(F.concat(F.lit("成交 "), F.col("history_count"), F.lit(" 次（"), F.col("breakdown"), F.lit("）")), F.concat(F.lit(f"在 {len(categories)} 个品类成交 "), F.col("history_count"), F.lit(" 次")))
+    covered = F.when(F.col("dev_count") < F.col("history_count"), F.format_string(" (%d/%d 条有偏差数据)", "dev_count", "history_count")).otherwise("")
+    dev = F.when(F.col("avg_deviation_pct").isNotNull(), F.concat(F.lit("平均偏差 "), percent(F.col("avg_deviation_pct")), covered))
+    parts = F.array_compact(F.array(deals, dev, F.concat(F.lit("综合评分 "), F.bround("overall_score", 0).cast("long"))))
+    return out.withColumn("summary", F.array_join(parts, " · ")).drop("breakdown")
+
+
+def preselected(recommended: DataFrame, first: int = 3) -> DataFrame:
+    """``recommended`` with ``chosen``: the first ones are ticked at the start."""
+    return recommended.withColumn("chosen", F.col("rank") <= first)

@@ -10,9 +10,9 @@ from bidloom.functions.numbers import rounded
 
 
 def price_score(dev: Column) -> Column:
-    """By mean deviation from the reference, in straight pieces; 50 without one."""
+    """By mean deviation from the reference, in straight pieces; 60 without one."""
     return (
-        F.when(dev.isNull(), 50.0).when(dev <= -0.10, 100.0).when(dev <= 0, 80.0 + (0.10 + dev) / 0.10 * 20.0)
+        F.when(dev.isNull(), 60.0).when(dev <= -0.10, 100.0).when(dev <= 0, 80.0 + (0.10 + dev) / 0.10 * 20.0)
         .when(dev <= 0.10, 60.0 + (0.10 - dev) / 0.10 * 20.0).when(dev <= 0.20, 40.0 + (0.20 - dev) / 0.10 * 20.0).otherwise(F.greatest(F.lit(20.0), 40.0 - (dev - 0.20) * 100))
     )
 
@@ -29,21 +29,42 @@ def checked_weights(weights: dict[str, float] | None) -> dict[str, float]:
     return out
 
 
+def checked_thresholds(bounds: dict[str, tuple[float, float]]) -> dict[str, tuple[float, float]]:
+    """Alert bounds whose yellow is below their red."""
+    for category, (yellow, red) in bounds.items():
+        if yellow >= red:
+            raise ValueError(f"{category}: yellow ({yellow}) is not below red ({red})")
+    return bounds
+
+
+def config_value(config: DataFrame, key: str, default: str | None = None) -> str | None:
+    """The value (JSON text) of a key of ``config`` (key, value), else the default."""
+    found = config.filter(F.col("key") == key).select("value").first()
+    return found[0] if found else default
+
+
+def completeness(quotes: DataFrame) -> DataFrame:
+    """supplier_id, share: quotes with a positive price among all, whatever their category."""
+    return quotes.groupBy("supplier_id").agg((F.count_if(F.col("unit_price") > 0) / F.count("*")).alias("share"))
+
+
 def score(suppliers: DataFrame, quotes: DataFrame, valid: DataFrame, tiers: DataFrame, weights: dict[str, float] | None = None, category: str | None = None) -> DataFrame:
     """supplier_id, supplier_name, five scores and total_score.
 
     ``valid`` has quotes with a positive price and their material's reference prices
-    (the reasonable low; the median where that is null). Completeness ignores the
-    category; brands count as distinct.
+    (the reasonable low; the median where that is null). Brands are those of all
+    ``quotes``, priced or not, which need a ``category`` where one is given; their hit
+    rate is rounded to a tenth before it is weighted. Completeness ignores the category.
     """
     w = checked_weights(weights)
     of = valid.filter(F.col("category") == category) if category else valid
+    branded = quotes.filter(F.col("category") == category) if category else quotes
     ref = F.coalesce("ref_price_reasonable_low", "ref_price_median")
     dev = of.groupBy("supplier_id").agg(F.avg(F.when(ref > 0, (F.col("unit_price") - ref) / ref)).alias("dev"))
-    complete = quotes.groupBy("supplier_id").agg((F.count_if(F.col("unit_price") > 0) / F.count("*") * 100).alias("complete"))
+    complete = completeness(quotes).select("supplier_id", (F.col("share") * 100).alias("complete"))
     named = tiers.select(F.col("brand_name").alias("brand")).distinct().withColumn("hit", F.lit(1))
-    brands = of.filter("brand <> ''").select("supplier_id", "brand").distinct().join(named, "brand", "left")
-    brands = brands.groupBy("supplier_id").agg((F.count("hit") / F.count("*") * 100).alias("brand"))
+    brands = branded.filter("brand <> ''").select("supplier_id", "brand").distinct().join(named, "brand", "left")
+    brands = brands.groupBy("supplier_id").agg(rounded(F.count("hit") / F.count("*") * 100, 1).alias("brand"))
     s = suppliers.withColumnRenamed("id", "supplier_id")
     out = s.join(dev, "supplier_id", "left").join(complete, "supplier_id", "left").join(brands, "supplier_id", "left")
     parts = {
@@ -54,10 +75,16 @@ def score(suppliers: DataFrame, quotes: DataFrame, valid: DataFrame, tiers: Data
     return out.select("supplier_id", F.col("name").alias("supplier_name"), *[rounded(x, 1).alias(f"{k}_score") for k, x in parts.items()], rounded(total, 1).alias("total_score"))
 
 
-def compare(ids: list[int], suppliers: DataFrame, quotes: DataFrame, valid: DataFrame, tiers: DataFrame) -> DataFrame:
-    """The named suppliers in the order given (unknown ones left out): position, supplier_id, avg_price, quote_count, total_score."""
+def compare(ids: list[int], suppliers: DataFrame, quotes: DataFrame, valid: DataFrame, tiers: DataFrame, category: str, project_id: int | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """The named suppliers in one category, in the order given (unknown ones left out): position, supplier_id, supplier_name, avg_price, quote_count, completeness, total_score."""
     asked = F.array(*[F.lit(i).cast("long") for i in ids])
     mine = lambda df: df.filter(F.col("supplier_id").isin(ids))
-    prices = mine(valid).groupBy("supplier_id").agg(F.avg("unit_price").alias("avg_price"), F.count("*").alias("quote_count"))
-    scored = score(suppliers.filter(F.col("id").isin(ids)), mine(quotes), mine(valid), tiers)
-    return scored.join(prices, "supplier_id", "left").select(F.array_position(asked, F.col("supplier_id")).alias("position"), "supplier_id", "avg_price", F.coalesce("quote_count", F.lit(0)).alias("quote_count"), "total_score")
+    of = mine(valid).filter(F.col("category") == category)
+    of = of.filter(F.col("project_id") == project_id) if project_id else of
+    prices = of.groupBy("supplier_id").agg(F.avg("unit_price").alias("avg_price"), F.count("*").alias("quote_count"))
+    scored = score(suppliers.filter(F.col("id").isin(ids)), mine(quotes), mine(valid), tiers, weights, category)
+    out = scored.join(prices, "supplier_id", "left").join(completeness(mine(quotes)), "supplier_id", "left")
+    return out.select(
+        F.array_position(asked, F.col("supplier_id")).alias("position"), "supplier_id", "supplier_name", "avg_price", F.coalesce("quote_count", F.lit(0)).alias("quote_count"),
+        rounded(F.coalesce("share", F.lit(0.0)), 3).alias("completeness"), "total_score",
+    )

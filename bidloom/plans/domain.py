@@ -31,13 +31,16 @@ materials AS (SELECT p_partkey AS id, p_name AS standard_name, p_type AS categor
     CASE WHEN p_type IN ('STANDARD', 'MEDIUM') THEN '电气' WHEN p_type IN ('ECONOMY', 'PROMO') THEN '给排水' WHEN p_type = 'LARGE' THEN '暖通' ELSE '其他' END AS profession,
     CASE WHEN p_partkey % 17 = 0 THEN 'disabled' WHEN p_partkey % 19 = 0 THEN NULL ELSE 'active' END AS status,
     CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS ref_price_reasonable_low, p_retailprice * 1.5 AS ref_price_median FROM part),
-suppliers AS (SELECT s_suppkey AS id, s_name AS name, s_suppkey % 7 AS win_count, s_acctbal / 100 AS cooperation_score FROM supplier),
+suppliers AS (SELECT s_suppkey AS id, s_name AS name, s_suppkey % 7 AS win_count, s_acctbal / 100 AS cooperation_score, s_suppkey % 41 + 60 AS ai_score, CASE WHEN s_nationkey % 3 = 0 THEN '2001-0' || (s_nationkey % 9 + 1) ELSE '2000-12' END AS last_cooperation FROM supplier),
 projects AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS status FROM customer),
 brands AS (SELECT DISTINCT p_brand AS brand_name, substr(p_brand, 7)::INTEGER AS k FROM part),
 brand_tiers AS (SELECT brand_name, CASE k % 5 WHEN 3 THEN '国产' WHEN 4 THEN '进口' ELSE '合资' END AS tier, NULL::VARCHAR AS category FROM brands WHERE k % 5 <> 0
   UNION ALL SELECT brand_name, '国产', 'ECONOMY' FROM brands WHERE k % 3 = 0),
-valid AS (SELECT q.*, m.category, m.sub_category, m.standard_name, m.profession, m.ref_price_reasonable_low, m.ref_price_median
+valid AS (SELECT q.*, m.category, m.sub_category, m.standard_name, m.spec, m.profession, m.ref_price_reasonable_low, m.ref_price_median
   FROM quotes q JOIN materials m ON q.material_id = m.id WHERE q.unit_price > 0),
+groups AS (SELECT o_orderkey AS id, o_custkey AS project_id, 'PROMO' AS category, 'G' || o_orderkey AS suggested_name, o_orderstatus AS suggested_spec,
+    CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'P' THEN 'rejected' ELSE 'suggested' END AS status FROM orders),
+items AS (SELECT id, batch_id AS group_id, id AS quote_id, supplier_id, CASE WHEN id % 5 = 0 THEN 'ignore' ELSE 'align' END AS action FROM quotes),
 tiered AS (SELECT v.*, coalesce(s.tier, g.tier) AS tier FROM valid v LEFT JOIN brand_tiers s ON s.brand_name = v.brand AND s.category = v.category
   LEFT JOIN brand_tiers g ON g.brand_name = v.brand AND g.category IS NULL)
 """
@@ -106,9 +109,29 @@ class Domain:
             (F.col("p_retailprice") * 1.5).alias("ref_price_median"),
         )
 
+    @cached_property
+    def categorised(self) -> DataFrame:
+        """All quotes with their category and sub-category."""
+        return self.facts.join(self.materials.select(F.col("id").alias("material_id"), "category", "sub_category"), "material_id")
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """Alignment groups: one for every order of a customer, most of them confirmed."""
+        o = self._table("orders")
+        return o.select(
+            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), F.lit("PROMO").alias("category"), F.concat(F.lit("G"), "o_orderkey").alias("suggested_name"), F.col("o_orderstatus").alias("suggested_spec"),
+            F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "P", "rejected").otherwise("suggested").alias("status"),
+        )
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """Their items: the orders' quotes."""
+        q = self.quotes
+        return q.select(F.col("id"), F.col("batch_id").alias("group_id"), F.col("id").alias("quote_id"), "supplier_id", F.when(F.col("id") % 5 == 0, "ignore").otherwise("align").alias("action"))
+
     @cached_property
     def suppliers(self) -> DataFrame:
-        return self._table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 7).alias("win_count"), (F.col("s_acctbal") / 100).alias("cooperation_score"))
+        return self._table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 7).alias("win_count"), (F.col("s_acctbal") / 100).alias("cooperation_score"), (F.col("s_suppkey") % 41 + 60).alias("ai_score"), F.when(F.col("s_nationkey") % 3 == 0, F.concat(F.lit("2001-0"), F.col("s_nationkey") % 9 + 1)).otherwise("2000-12").alias("last_cooperation"))
 
     @cached_property
     def projects(self) -> DataFrame:

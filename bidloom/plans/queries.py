@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions import text as T
-from bidloom.functions.numbers import alert, deviation, rounded
+from bidloom.functions.numbers import alert, checked_line, deviation, rounded
 from bidloom.operators import baseline as B
 from bidloom.operators import catalog as C
 from bidloom.operators import dashboard as D
@@ -14,6 +14,7 @@ from bidloom.operators import extract as E
 from bidloom.operators import matrix as M
 from bidloom.operators import recommend as R
 from bidloom.operators import scoring as S
+from bidloom.sources.shared import shared_folder
 from bidloom.streaming import jobs as J
 
 from .domain import NOW, Domain, with_ctes
@@ -74,13 +75,11 @@ SELECT {keys}, any_value(n)::BIGINT AS count, count(*) AS filtered_count, {r('av
 FROM inner_rows GROUP BY {keys}"""
 
 
-#: Interpolated prices often lie on a half; engines differ in the last bit there, so both are moved off it.
-NUDGE = "1.000000000001::DOUBLE"
 MONEY = ("mean", "median", "std", "p10", "p90", "min", "max", "iqr_lower", "iqr_upper", "reasonable_low", "historical_min")
 
 
 def _baseline(d: Domain, rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rounds(rounds(B.baseline(rows, keys), 2, *MONEY), 4, "cv")
+    return rounds(rounds(B.baseline(B.counted(rows, keys), keys), 2, *MONEY), 4, "cv")
 
 
 @query(baseline_sql("category"))
@@ -113,16 +112,22 @@ def compare_price(d):
     return rounds(B.compared(valid(d), d.thresholds, F.lit(1500.0)), 2, "reasonable_low", "median")
 
 
-@query(f""", q AS (SELECT material_id, quantile_cont(unit_price, 0.25) AS q1, quantile_cont(unit_price, 0.75) AS q3, count(*) AS n, count(DISTINCT brand) AS b, string_agg(DISTINCT brand, ',' ORDER BY brand) AS bs FROM valid GROUP BY material_id),
-i AS (SELECT material_id, unit_price, n, b, bs FROM valid JOIN q USING (material_id) WHERE unit_price BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1)),
-s AS (SELECT material_id, any_value(n) AS n, any_value(b) AS b, any_value(bs) AS bs, min(unit_price) AS lo, max(unit_price) AS hi, avg(unit_price) AS av, coalesce(stddev_samp(unit_price), 0) AS sd,
-  quantile_cont(unit_price, 0.1) AS p1, quantile_cont(unit_price, 0.5) AS p5, quantile_cont(unit_price, 0.9) AS p9 FROM i GROUP BY material_id)
-SELECT material_id, {r('(lo) * ' + NUDGE, 3)} AS ref_price_reasonable_low, {r('(CASE WHEN n >= 5 THEN p1 ELSE lo END) * ' + NUDGE, 3)} AS ref_price_low, {r('(av) * ' + NUDGE, 3)} AS ref_price_avg, {r('(p5) * ' + NUDGE, 3)} AS ref_price_median,
-  {r('(CASE WHEN n >= 5 THEN p9 ELSE hi END) * ' + NUDGE, 3)} AS ref_price_high, {r('sd / av', 4)} AS price_cv, {r('greatest(1.5::DOUBLE * sd / av, 0.05::DOUBLE)', 3)} AS deviation_threshold, bs AS recommended_brands, b::INTEGER AS supplier_count FROM s""")
+def at_sql(prices: str, p: float) -> str:
+    """Quantile of a sorted list, in a straight line between neighbours."""
+    i = f"((len({prices}) - 1) * {p}::DOUBLE)"
+    low, high = f"{prices}[floor({i})::BIGINT + 1]", f"{prices}[ceil({i})::BIGINT + 1]"
+    return f"({low} + ({high} - {low}) * ({i} - floor({i})))"
+
+
+@query(f""", l AS (SELECT material_id, list_sort(list(unit_price)) AS p, count(DISTINCT brand) AS b, string_agg(DISTINCT brand, ',' ORDER BY brand) AS bs FROM valid GROUP BY material_id),
+q AS (SELECT *, {at_sql('p', 0.25)} AS q1, {at_sql('p', 0.75)} AS q3 FROM l),
+i AS (SELECT material_id, len(p) AS n, b, bs, list_filter(p, lambda x: x BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1)) AS p FROM q),
+s AS (SELECT *, list_avg(p) AS av, coalesce(CASE WHEN len(p) > 1 THEN list_stddev_samp(p) END, 0) AS sd FROM i)
+SELECT material_id, {r('p[1]', 6)} AS ref_price_reasonable_low, {r(f"CASE WHEN n >= 5 THEN {at_sql('p', 0.1)} ELSE p[1] END", 6)} AS ref_price_low, {r('av', 6)} AS ref_price_avg, {r(at_sql('p', 0.5), 6)} AS ref_price_median,
+  {r(f"CASE WHEN n >= 5 THEN {at_sql('p', 0.9)} ELSE p[-1] END", 6)} AS ref_price_high, {r('sd / av', 4)} AS price_cv, {r('greatest(1.5::DOUBLE * sd / av, 0.05::DOUBLE)', 3)} AS deviation_threshold, bs AS recommended_brands, b::INTEGER AS supplier_count FROM s""")
 def refresh_material_baselines(d):
     money = ("ref_price_reasonable_low", "ref_price_low", "ref_price_avg", "ref_price_median", "ref_price_high")
-    out = B.refreshed(valid(d))
-    out = rounds(out.withColumns({c: F.col(c) * 1.000000000001 for c in money}), 3, *money)
+    out = rounds(B.refreshed(valid(d)), 6, *money)
     return rounds(rounds(out, 4, "price_cv"), 3, "deviation_threshold").withColumn("recommended_brands", F.array_join("recommended_brands", ","))
 
 
@@ -131,21 +136,30 @@ def dashboard_totals(d):
     return D.totals(materials=d.materials, quotes=d.facts, suppliers=d.suppliers, projects=d.projects)
 
 
-@query(f""", m AS (SELECT category, count(*) AS materials FROM materials GROUP BY category),
-q AS (SELECT category, count(*) AS quotes, {r('avg(CASE WHEN unit_price > 0 THEN unit_price END)', 2)} AS avg_price, count(DISTINCT supplier_id) AS suppliers, count(DISTINCT project_id) AS projects FROM quotes JOIN materials ON material_id = materials.id GROUP BY category)
-SELECT category, materials, coalesce(quotes, 0) AS quotes, avg_price, coalesce(suppliers, 0) AS suppliers, coalesce(projects, 0) AS projects FROM m LEFT JOIN q USING (category)""")
+@query(f""", m AS (SELECT category, count(*) AS materials, min(profession) AS profession FROM materials GROUP BY category),
+{fences_sql('category')}, b AS (SELECT category, coalesce(stddev_samp(unit_price), 0) / avg(unit_price) AS cv FROM inner_rows GROUP BY category),
+t AS (SELECT category, count(*) AS quotes, {r('avg(CASE WHEN unit_price > 0 THEN unit_price END)', 2)} AS avg_price, count(DISTINCT supplier_id) AS suppliers, count(DISTINCT project_id) AS projects FROM quotes JOIN materials ON material_id = materials.id GROUP BY category)
+SELECT category, profession, materials, coalesce(quotes, 0) AS quotes, avg_price, {r('cv', 3)} AS price_cv, coalesce(suppliers, 0) AS suppliers, coalesce(projects, 0) AS projects FROM m LEFT JOIN t USING (category) LEFT JOIN b USING (category)""")
 def dashboard_summary(d):
-    return rounds(D.summary(d.materials, d.facts), 2, "avg_price")
+    return rounds(rounds(D.summary(d.materials, d.facts), 2, "avg_price"), 3, "price_cv")
 
 
 @query(f""", s AS (SELECT category, CASE WHEN trim(sub_category) <> '' THEN sub_category ELSE '未分类' END AS sub_category, unit_price FROM valid)
 SELECT category, sub_category, count(*) AS count, {r('avg(unit_price)', 2)} AS mean, {r('quantile_cont(unit_price, 0.5)', 2)} AS median, {r('stddev_pop(unit_price)', 2)} AS std, {r('stddev_pop(unit_price) / avg(unit_price)', 4)} AS cv,
-  {r('min(unit_price)', 2)} AS min, {r('max(unit_price)', 2)} AS max, {r('quantile_cont(unit_price, 0.1)', 2)} AS p10, {r('quantile_cont(unit_price, 0.9)', 2)} AS p90, {r('greatest(1.5::DOUBLE * stddev_pop(unit_price) / avg(unit_price), 0.05::DOUBLE)', 3)} AS suggested_threshold
+  {r('min(unit_price)', 2)} AS min, {r('max(unit_price)', 2)} AS max, {r('CASE WHEN count(*) >= 5 THEN quantile_cont(unit_price, 0.1) ELSE min(unit_price) END', 2)} AS p10, {r('CASE WHEN count(*) >= 5 THEN quantile_cont(unit_price, 0.9) ELSE max(unit_price) END', 2)} AS p90, {r('greatest(1.5::DOUBLE * stddev_pop(unit_price) / avg(unit_price), 0.05::DOUBLE)', 3)} AS suggested_threshold
 FROM s GROUP BY ALL""")
 def category_statistics(d):
     return rounds(rounds(rounds(D.sub_category_statistics(valid(d)), 2, "mean", "median", "std", "min", "max", "p10", "p90"), 4, "cv"), 3, "suggested_threshold")
 
 
+@query(f""", s AS (SELECT CASE WHEN trim(sub_category) <> '' THEN sub_category ELSE '未分类' END AS sub_category, unit_price FROM valid WHERE category = 'LARGE'),
+t AS (SELECT sub_category, count(*) AS count, {r('avg(unit_price)', 2)} AS mean, {r('stddev_pop(unit_price) / avg(unit_price)', 3)} AS cv FROM s GROUP BY sub_category)
+SELECT *, (SELECT count(*) FROM materials WHERE category = 'LARGE') AS total_records, (SELECT count(*) FROM s) AS valid_prices FROM t""")
+def category_detail(d):
+    out = D.category_detail(valid(d), d.materials, "LARGE").select("sub_category", "count", "mean", "cv", "total_records", "valid_prices")
+    return rounds(rounds(out, 2, "mean"), 3, "cv")
+
+
 @query(f""" SELECT p.name AS project, category, {r('sum(unit_price * coalesce(quantity, 1))', 3)} AS value FROM valid JOIN projects p ON p.id = project_id
 WHERE bid_status <> '未中标' AND quote_date >= '1997-01-01' AND quote_date <= '1999-12-31' GROUP BY p.id, p.name, category""")
 def treemap(d):
@@ -168,9 +182,17 @@ def bubble(d):
     return rounds(D.bubbles(valid(d), d.suppliers, d.brand_tiers), 3, "value")
 
 
-@query(f" SELECT count(*) AS count, {r('avg(unit_price)', 2)} AS avg, {r('min(unit_price)', 2)} AS min, {r('max(unit_price)', 2)} AS max FROM valid WHERE category = 'PROMO' AND supplier_id = 3")
+@query(f""", v AS (SELECT * FROM valid WHERE bid_status <> '未中标'), a AS (SELECT category, supplier_id, sum(unit_price * coalesce(quantity, 1)) AS value FROM v GROUP BY ALL)
+SELECT category, {r('sum(value)', 2)} AS total_amount, count(*)::INTEGER AS children, arg_max(s.name, (value, s.name)) AS largest FROM a JOIN suppliers s ON s.id = supplier_id GROUP BY category""")
+def bubble_nested(d):
+    out = D.bubbles_nested(D.bubbles(valid(d), d.suppliers, d.brand_tiers))
+    return rounds(out, 2, "total_amount").select("category", "total_amount", F.size("children").alias("children"), F.col("children")[0]["name"].alias("largest"))
+
+
+@query(f" SELECT category, supplier_id, count(*) AS count, {r('avg(unit_price)', 2)} AS avg, {r('min(unit_price)', 2)} AS min, {r('max(unit_price)', 2)} AS max FROM valid GROUP BY category, supplier_id")
 def quote_stats(d):
-    return rounds(D.quote_statistics(valid(d).filter("category = 'PROMO' AND supplier_id = 3")), 2, "avg", "min", "max")
+    p = valid(d).groupBy("category", "supplier_id").agg(F.count("*").alias("count"), F.avg("unit_price").alias("avg"), F.min("unit_price").alias("min"), F.max("unit_price").alias("max"))
+    return rounds(p, 2, "avg", "min", "max")
 
 
 @query(f" SELECT count(*) AS count, {r('avg(unit_price)', 2)} AS avg, {r('min(unit_price)', 2)} AS min, {r('max(unit_price)', 2)} AS max FROM valid")
@@ -186,7 +208,8 @@ def alert_counts(d):
     return D.alert_counts(rows, ["category"])
 
 
-@query(""" SELECT batch_id, count(*) AS quotes, min(created) AS created, max(s.name) AS supplier, max(p.name) AS project FROM quotes LEFT JOIN suppliers s ON s.id = supplier_id LEFT JOIN projects p ON p.id = project_id GROUP BY batch_id""")
+@query(""", b AS (SELECT batch_id, count(*) AS quotes, min(created) AS created, max(supplier_id) AS s, max(project_id) AS p FROM quotes GROUP BY batch_id)
+SELECT batch_id, quotes, created, coalesce(suppliers.name, '') AS supplier, coalesce(projects.name, '') AS project FROM b LEFT JOIN suppliers ON suppliers.id = s LEFT JOIN projects ON projects.id = p""")
 def batches(d):
     return D.batches(d.facts, d.suppliers, d.projects)
 
@@ -204,7 +227,7 @@ def material_categories(d):
 @query(f""", {fences_sql('category')}, b AS (SELECT category, coalesce(stddev_samp(unit_price), 0) / avg(unit_price) AS cv FROM inner_rows GROUP BY category)
 SELECT (SELECT count(*) FILTER (cv > 1) FROM b) AS scattered, (SELECT count(DISTINCT profession) FROM materials) AS professions, (SELECT count(DISTINCT category) FROM materials) AS categories""")
 def dashboard_cards(d):
-    return D.dashboard_cards(B.baseline(valid(d), ["category"]), d.materials)
+    return D.dashboard_cards(B.baseline(B.counted(valid(d), ["category"]), ["category"]), d.materials)
 
 
 @query(" SELECT category, count(q.material_id) AS quotes, count(DISTINCT supplier_id) AS suppliers FROM materials m LEFT JOIN quotes q ON q.material_id = m.id GROUP BY category")
@@ -217,24 +240,33 @@ def price_trend(d):
     return rounds(D.price_trend(valid(d)), 2, "avg_price")
 
 
-def _share(c: str) -> str:
-    return r(f"avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", 4)
+@query(f""", s AS (SELECT category, count(DISTINCT project_id) AS n_projects, count(DISTINCT q.brand) FILTER (q.brand <> '') AS n_brands, count(*) FILTER (unit_price > 0) AS n_valid_price, count(*) AS n,
+  {r('(count(*) - count(*) FILTER (unit_price > 0)) * 100.0::DOUBLE / count(*)', 1)} AS price_missing_pct FROM quotes q JOIN materials m ON m.id = material_id GROUP BY category),
+p AS (SELECT *, CASE WHEN n_projects >= 5 THEN 3 WHEN n_projects >= 3 THEN 2 ELSE 1 END + CASE WHEN n_brands >= 3 THEN 3 ELSE n_brands END + CASE WHEN n_valid_price >= 100 THEN 3 WHEN n_valid_price >= 30 THEN 2 ELSE 1 END
+  + CASE WHEN price_missing_pct < 5 THEN 2 WHEN price_missing_pct < 20 THEN 1 ELSE 0 END AS score FROM s)
+SELECT category, n_projects, n_brands, n_valid_price, price_missing_pct, score::INTEGER AS score, CASE WHEN n_brands = 0 THEN '⚠️ 勉强支撑（无品牌数据）' WHEN score >= 9 THEN '✅ 可支撑比价' WHEN score >= 6 THEN '⚠️ 勉强支撑' ELSE '❌ 不足以支撑' END AS verdict,
+  CASE WHEN n_valid_price >= 30 THEN '✅' WHEN n_valid_price >= 10 THEN '⚠️' ELSE '❌' END AS round1, CASE WHEN n_brands >= 3 THEN '✅' WHEN n_brands >= 2 THEN '⚠️' ELSE '❌' END AS round2,
+  CASE WHEN n_brands >= 3 AND n_projects >= 3 THEN '✅' WHEN n_brands >= 2 THEN '⚠️' ELSE '❌' END AS round3 FROM p""")
+def data_sufficiency(d):
+    missing = rounded((F.count("*") - F.count_if(F.col("unit_price") > 0)) * 100.0 / F.count("*"), 1)
+    brands = F.countDistinct(F.when(F.col("brand") != "", F.col("brand")))
+    stats = d.categorised.groupBy("category").agg(F.countDistinct("project_id").alias("n_projects"), brands.alias("n_brands"), F.count_if(F.col("unit_price") > 0).alias("n_valid_price"), missing.alias("price_missing_pct"))
+    return D.sufficiency(stats).drop("notes")
 
 
-@query(f""", s AS (SELECT category, count(*) AS rows, avg(CASE WHEN unit_price IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS a, avg(CASE WHEN quantity IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS b, avg(CASE WHEN quote_date = '' THEN 1.0::DOUBLE ELSE 0 END) AS c, count(DISTINCT q.brand) AS brands FROM quotes q JOIN materials m ON m.id = material_id GROUP BY category)
-SELECT category, rows, {r('a', 4)} AS no_price, {r('b', 4)} AS no_quantity, {r('c', 4)} AS no_date, brands, CASE WHEN rows >= 1000 AND greatest(a, b, c) < 0.05 THEN 'A' WHEN rows >= 100 AND greatest(a, b, c) < 0.2 THEN 'B' ELSE 'C' END AS grade FROM s""")
-def data_sufficiency(d):
-    return D.sufficiency(d.facts.join(d.materials.select(F.col("id").alias("material_id"), "category"), "material_id"))
+@query(" SELECT count(*) AS total, count(*) FILTER (ai_score >= 85) AS ai_score_high, count(*) FILTER (last_cooperation LIKE '2001%') AS new_this_year, count(*) FILTER (win_count >= 5) AS high_frequency FROM suppliers")
+def supplier_cards(d):
+    return D.supplier_cards(d.suppliers, "2001")
 
 
-PRICE_SCORE = "CASE WHEN dev IS NULL THEN 50.0::DOUBLE WHEN dev <= -0.10 THEN 100 WHEN dev <= 0 THEN 80 + (0.10::DOUBLE + dev) / 0.10::DOUBLE * 20 WHEN dev <= 0.10 THEN 60 + (0.10::DOUBLE - dev) / 0.10::DOUBLE * 20 WHEN dev <= 0.20 THEN 40 + (0.20::DOUBLE - dev) / 0.10::DOUBLE * 20 ELSE greatest(20, 40 - (dev - 0.20::DOUBLE) * 100) END"
+PRICE_SCORE = "CASE WHEN dev IS NULL THEN 60.0::DOUBLE WHEN dev <= -0.10 THEN 100 WHEN dev <= 0 THEN 80 + (0.10::DOUBLE + dev) / 0.10::DOUBLE * 20 WHEN dev <= 0.10 THEN 60 + (0.10::DOUBLE - dev) / 0.10::DOUBLE * 20 WHEN dev <= 0.20 THEN 40 + (0.20::DOUBLE - dev) / 0.10::DOUBLE * 20 ELSE greatest(20, 40 - (dev - 0.20::DOUBLE) * 100) END"
 
 
 def score_sql(where: str = "TRUE") -> str:
     """CTE scored: the five scores and the total, unrounded."""
     return f"""dv AS (SELECT supplier_id, avg(CASE WHEN coalesce(ref_price_reasonable_low, ref_price_median) > 0 THEN (unit_price - coalesce(ref_price_reasonable_low, ref_price_median)) / coalesce(ref_price_reasonable_low, ref_price_median) END) AS dev FROM valid WHERE {where} GROUP BY supplier_id),
 cp AS (SELECT supplier_id, count(*) FILTER (unit_price > 0)::DOUBLE / count(*) * 100 AS complete FROM quotes GROUP BY supplier_id),
-br AS (SELECT supplier_id, count(DISTINCT brand) FILTER (brand IN (SELECT brand_name FROM brand_tiers))::DOUBLE / count(DISTINCT brand) * 100 AS hit FROM valid WHERE {where} AND brand <> '' GROUP BY supplier_id),
+br AS (SELECT supplier_id, {r('count(DISTINCT q.brand) FILTER (q.brand IN (SELECT brand_name FROM brand_tiers))::DOUBLE / count(DISTINCT q.brand) * 100', 1)} AS hit FROM quotes q JOIN materials m ON m.id = q.material_id WHERE {where} AND q.brand <> '' GROUP BY supplier_id),
 parts AS (SELECT s.id AS supplier_id, s.name AS supplier_name, {PRICE_SCORE} AS price, CASE WHEN win_count >= 5 THEN 100.0::DOUBLE WHEN win_count >= 3 THEN 80 WHEN win_count >= 1 THEN 60 ELSE 40 END AS history,
   least(100, coalesce(complete, 50))::DOUBLE AS completeness, coalesce(hit, 70)::DOUBLE AS brand, CASE WHEN cooperation_score > 0 THEN cooperation_score ELSE 60 END::DOUBLE AS commercial
   FROM suppliers s LEFT JOIN dv ON dv.supplier_id = s.id LEFT JOIN cp ON cp.supplier_id = s.id LEFT JOIN br ON br.supplier_id = s.id),
@@ -244,16 +276,18 @@ scored AS (SELECT *, price * 0.40::DOUBLE + history * 0.20::DOUBLE + completenes
 @query(f""", {score_sql()} SELECT supplier_id, supplier_name, {', '.join(f"{r(c, 1)} AS {c}_score" for c in ('price', 'history', 'completeness', 'brand', 'commercial', 'total'))} FROM scored""")
 def supplier_score(d):
     v = valid(d)
-    return S.score(d.suppliers, d.facts, v, d.brand_tiers)
+    return S.score(d.suppliers, d.categorised, v, d.brand_tiers)
 
 
 COMPARED = [7, 3, 12, 999_999_999, 5]
 
 
-@query(f""", {score_sql()}, p AS (SELECT supplier_id, avg(unit_price) AS a, count(*) AS n FROM valid GROUP BY supplier_id)
-SELECT list_position([7, 3, 12, 999999999, 5], supplier_id)::BIGINT AS position, supplier_id, {r('a', 2)} AS avg_price, coalesce(n, 0) AS quote_count, {r('total', 1)} AS total_score FROM scored LEFT JOIN p USING (supplier_id) WHERE supplier_id IN (7, 3, 12, 999999999, 5)""")
+@query(f""", {score_sql("category = 'PROMO'")}, p AS (SELECT supplier_id, avg(unit_price) AS a, count(*) AS n FROM valid WHERE category = 'PROMO' GROUP BY supplier_id),
+k AS (SELECT supplier_id, count(*) FILTER (unit_price > 0)::DOUBLE / count(*) AS c FROM quotes GROUP BY supplier_id)
+SELECT list_position([7, 3, 12, 999999999, 5], supplier_id)::BIGINT AS position, supplier_id, supplier_name, {r('a', 2)} AS avg_price, coalesce(n, 0) AS quote_count, {r('coalesce(c, 0)', 3)} AS completeness, {r('total', 1)} AS total_score
+FROM scored LEFT JOIN p USING (supplier_id) LEFT JOIN k USING (supplier_id) WHERE supplier_id IN (7, 3, 12, 999999999, 5)""")
 def compare_suppliers(d):
-    out = rounds(S.compare(COMPARED, d.suppliers, d.facts, valid(d), d.brand_tiers), 2, "avg_price")
+    out = rounds(S.compare(COMPARED, d.suppliers, d.categorised, valid(d), d.brand_tiers, "PROMO"), 2, "avg_price")
     return out.withColumn("position", F.col("position").cast("long"))
 
 
@@ -281,61 +315,121 @@ def top_suppliers(d):
     return D.top_suppliers(d.facts)
 
 
-def recommend_sql() -> str:
-    where = "category IN ('PROMO')"
-    return f""", {score_sql(where)},
+def assessed_sql(where: str, first: str) -> str:
+    """A SELECT of all suppliers' recommendation score and its parts, over the quotes of ``where``; the overall score is over those of ``first``."""
+    return f"""SELECT * FROM (WITH {score_sql(first)},
 h AS (SELECT supplier_id, count(*) AS n, avg((unit_price - coalesce(ref_price_reasonable_low, ref_price_median)) / coalesce(ref_price_reasonable_low, ref_price_median)) AS dev,
-  sum(CASE WHEN quote_date = '' THEN 0.3::DOUBLE ELSE exp(-greatest(date_diff('day', CASE WHEN quote_date <> '' THEN quote_date END::DATE, DATE '{NOW}'), 0) / 180.0::DOUBLE) END) AS dec,
-  len(list_intersect(list(DISTINCT brand), ['Brand#1', 'Brand#2', 'Brand#3'])) / 3.0::DOUBLE AS matched FROM valid WHERE {where} GROUP BY supplier_id),
+  sum(CASE WHEN quote_date = '' THEN 0.3::DOUBLE ELSE exp(-greatest(date_diff('day', CASE WHEN quote_date <> '' THEN quote_date END::DATE, DATE '{NOW}'), 0) / 180.0::DOUBLE) END) AS dec FROM valid WHERE {where} GROUP BY supplier_id),
+o AS (SELECT supplier_id, count(DISTINCT q.brand) / 3.0::DOUBLE AS matched FROM quotes q JOIN materials m ON m.id = q.material_id WHERE {where} AND q.brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY supplier_id),
 few AS (SELECT count(*) <= 60 AS f FROM h),
-z AS (SELECT s.supplier_id, s.supplier_name, h.n, h.dev AS d, least(100, ln(1 + coalesce(CASE WHEN f THEN dec ELSE n END, 0)) * 24)::DOUBLE AS hs, coalesce((0.20::DOUBLE - greatest(-0.10::DOUBLE, least(0.20::DOUBLE, h.dev))) / 0.30::DOUBLE * 100, 50) AS ps,
-  {r('total', 1)} AS os, {r('brand', 1)} AS bs, coalesce(matched, 0) * 20 AS bonus FROM scored s LEFT JOIN h USING (supplier_id) CROSS JOIN few),
-y AS (SELECT *, {r('0.30::DOUBLE * hs + 0.25::DOUBLE * ps + 0.25::DOUBLE * os + 0.20::DOUBLE * bs + bonus', 1)} AS score FROM z),
-best AS (SELECT * FROM y WHERE n IS NOT NULL ORDER BY score DESC, supplier_id LIMIT 8),
-fresh AS (SELECT * FROM (SELECT * FROM y WHERE n IS NULL ORDER BY supplier_id LIMIT 50) ORDER BY score DESC, supplier_id LIMIT 8),
-u AS (SELECT *, row_number() OVER (ORDER BY n IS NOT NULL DESC, score DESC, supplier_id) AS rank FROM (SELECT * FROM best UNION ALL SELECT * FROM fresh))
-SELECT supplier_id, supplier_name, score, coalesce(n, 0) AS history_count, {r('hs', 1)} AS history_score, {r('d', 4)} AS avg_deviation_pct, {r('ps', 1)} AS price_score, os AS overall_score, bs AS brand_score, rank::INTEGER AS rank FROM u WHERE rank <= 8"""
+z AS (SELECT s.supplier_id, s.supplier_name, h.n, h.dev AS d, least(100, ln(1 + coalesce(CASE WHEN f THEN dec ELSE n END, 0)) * 24)::DOUBLE AS hs, CASE WHEN h.dev IS NULL THEN 50 ELSE (0.20::DOUBLE - greatest(-0.10::DOUBLE, least(0.20::DOUBLE, h.dev))) / 0.30::DOUBLE * 100 END AS ps,
+  {r('total', 1)} AS os, {r('brand', 1)} AS bs, coalesce(matched, 0) * 20 AS bonus FROM scored s LEFT JOIN h USING (supplier_id) LEFT JOIN o USING (supplier_id) CROSS JOIN few)
+SELECT *, {r('0.30::DOUBLE * hs + 0.25::DOUBLE * ps + 0.25::DOUBLE * os + 0.20::DOUBLE * bs + bonus', 1)} AS score FROM z)"""
+
+
+def recommend_sql(where: str, n: int, first: str = "") -> str:
+    """CTE u: the best ``n`` with history, filled up from the first 50 others by their score over all categories."""
+    return f""", best AS (SELECT * FROM ({assessed_sql(where, first or where)}) WHERE n IS NOT NULL ORDER BY score DESC, supplier_id LIMIT {n}),
+others AS (SELECT id FROM suppliers WHERE id NOT IN (SELECT supplier_id FROM best) ORDER BY id LIMIT 50),
+fresh AS (SELECT * FROM ({assessed_sql('TRUE', 'TRUE')}) WHERE supplier_id IN (SELECT id FROM others) ORDER BY score DESC, supplier_id LIMIT {n}),
+u AS (SELECT *, row_number() OVER (ORDER BY past DESC, score DESC, supplier_id)::INTEGER AS rank FROM (SELECT *, 1 AS past FROM best UNION ALL SELECT *, 0 FROM fresh) QUALIFY rank <= {n})"""
 
 
-@query(recommend_sql())
+RECOMMENDED = f"supplier_id, supplier_name, score, coalesce(n, 0) AS history_count, {r('hs', 1)} AS history_score, {r('d', 4)} AS avg_deviation_pct, coalesce(n, 0) AS dev_count, {r('ps', 1)} AS price_score, os AS overall_score, bs AS brand_score, rank"
+NEEDED = ["Brand#1", "Brand#2", "Brand#3"]
+
+
+@query(f"{recommend_sql("category IN ('PROMO')", 8)} SELECT {RECOMMENDED} FROM u")
 def recommend_suppliers(d):
-    return R.recommend(d.suppliers, d.facts, valid(d), d.brand_tiers, ["PROMO"], 8, NOW, ["Brand#1", "Brand#2", "Brand#3"])
+    return R.recommend(d.suppliers, d.categorised, valid(d), d.brand_tiers, ["PROMO"], 8, NOW, NEEDED)
+
+
+@query(f"{recommend_sql("FALSE", 8)} SELECT {RECOMMENDED} FROM u")
+def recommend_newcomers(d):
+    """A category nobody has quoted: the list is filled up by scores over all categories."""
+    return R.recommend(d.suppliers, d.categorised, valid(d), d.brand_tiers, ["UNHEARD OF"], 8, NOW, NEEDED)
+
+
+@query(f"""{recommend_sql("category IN ('PROMO', 'SMALL')", 5, "category = 'PROMO'")},
+c AS (SELECT supplier_id, category, count(*) AS k FROM valid WHERE category IN ('PROMO', 'SMALL') GROUP BY ALL),
+t AS (SELECT supplier_id, string_agg(category || ' ' || k, ' · ' ORDER BY k DESC, category) AS b FROM c GROUP BY supplier_id)
+SELECT supplier_id, rank, '成交 ' || n || ' 次（' || b || '） · 平均偏差 ' || printf('%+.1f%%', {r('d', 4)} * 100) || ' · 综合评分 ' || printf('%.0f', os) AS summary, rank <= 3 AS chosen FROM u JOIN t USING (supplier_id)""")
+def recommendation_summaries(d):
+    v = valid(d)
+    best = R.recommend(d.suppliers, d.categorised, v, d.brand_tiers, ["PROMO", "SMALL"], 5, NOW, NEEDED)
+    return R.preselected(R.summaries(best, v, ["PROMO", "SMALL"])).select("supplier_id", "rank", "summary", "chosen")
 
 
 ASKED = [4, 9, 2, 7, 999_999_999]
 
 
-def matrix_sql() -> str:
-    return f""", asked AS (SELECT unnest([4, 9, 2, 7, 999999999]) AS supplier_id, unnest([1, 2, 3, 4, 5]) AS position),
-last AS (SELECT * FROM valid WHERE category = 'PROMO' AND supplier_id IN (SELECT supplier_id FROM asked) QUALIFY row_number() OVER (PARTITION BY material_id, supplier_id ORDER BY id DESC) = 1),
-mats AS (SELECT DISTINCT material_id, category, sub_category, standard_name FROM last),
-{fences_sql('category')}, wh AS (SELECT category, min(unit_price) AS w FROM inner_rows GROUP BY category),
-q2 AS (SELECT category, sub_category, quantile_cont(unit_price, 0.25) AS q1, quantile_cont(unit_price, 0.75) AS q3 FROM valid GROUP BY ALL),
-pa AS (SELECT v.category, v.sub_category, min(unit_price) AS p FROM valid v JOIN q2 USING (category, sub_category) WHERE unit_price BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) GROUP BY ALL),
-g AS (SELECT m.*, a.supplier_id, a.position, l.unit_price, l.quantity, {r("CASE WHEN m.sub_category <> '' THEN p ELSE w END", 2)} AS reference FROM mats m CROSS JOIN asked a LEFT JOIN last l ON l.material_id = m.material_id AND l.supplier_id = a.supplier_id
-  LEFT JOIN wh ON wh.category = m.category LEFT JOIN pa ON pa.category = m.category AND pa.sub_category = m.sub_category),
+def matrix_sql(asked: list[int] = ASKED, category: str = "PROMO", project: str = "TRUE", aligned: bool = False) -> str:
+    """CTEs up to cells, from the rules: latest offers, aligned groups before materials, baselines by the tier rule, finalised rows."""
+    lone = "TRUE" if len(asked) == 1 else "FALSE"
+    groups = f"""live AS (SELECT * FROM groups WHERE {project} AND category = '{category}' AND status = 'confirmed'),
+al AS (SELECT i.group_id, i.supplier_id, i.id AS item, v.* EXCLUDE (id, supplier_id) FROM items i JOIN live ON live.id = i.group_id JOIN valid v ON v.id = i.quote_id WHERE action = 'align'),
+lead AS (SELECT group_id, material_id, category, sub_category FROM (SELECT *, min(item) OVER (PARTITION BY group_id, supplier_id) AS f, max(item) OVER (PARTITION BY group_id, supplier_id) AS l FROM al) WHERE item = l QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY f) = 1),
+arow AS (SELECT al.group_id, lead.material_id, al.supplier_id, al.unit_price, al.quantity, lead.category, lead.sub_category, suggested_name AS material, suggested_spec AS spec FROM al JOIN lead USING (group_id) JOIN live ON live.id = al.group_id
+  QUALIFY row_number() OVER (PARTITION BY al.group_id, al.supplier_id ORDER BY item DESC) = 1),""" if aligned else """arow AS (SELECT NULL::BIGINT AS group_id, 0::BIGINT AS material_id, 0::BIGINT AS supplier_id, 0.0::DOUBLE AS unit_price, 0.0::DOUBLE AS quantity, '' AS category, '' AS sub_category, '' AS material, '' AS spec WHERE FALSE),"""
+    gone = "(SELECT quote_id FROM items JOIN live ON live.id = group_id WHERE action = 'align')" if aligned else "(SELECT 0::BIGINT WHERE FALSE)"
+    return f""", asked AS (SELECT unnest({asked}) AS supplier_id, unnest({[k + 1 for k in range(len(asked))]}) AS position),
+{groups}
+mine AS (SELECT * FROM tiered WHERE category = '{category}' AND {project} AND supplier_id IN (SELECT supplier_id FROM asked)),
+jv AS (SELECT {lone} AND coalesce(count(*) FILTER (tier <> '' AND tier <> '合资') = 0 AND count(*) FILTER (tier = '合资') > 0, FALSE) AS jv FROM mine),
+latest AS (SELECT * FROM mine QUALIFY row_number() OVER (PARTITION BY material_id, supplier_id ORDER BY id DESC) = 1),
+last AS (SELECT NULL::BIGINT AS group_id, material_id, supplier_id, unit_price, quantity, category, sub_category, standard_name AS material, spec::VARCHAR AS spec FROM latest WHERE id NOT IN {gone} UNION ALL SELECT * FROM arow),
+line AS (SELECT DISTINCT group_id, material_id, category, sub_category, material, spec FROM last),
+based AS (SELECT * FROM tiered WHERE NOT (SELECT jv FROM jv) OR tier = '合资'),
+{fences_sql('category', 'based')}, wh AS (SELECT category, min(unit_price) AS w, avg(unit_price) AS wa FROM inner_rows GROUP BY category),
+q2 AS (SELECT category, sub_category, quantile_cont(unit_price, 0.25) AS q1, quantile_cont(unit_price, 0.75) AS q3 FROM based GROUP BY ALL),
+pa AS (SELECT v.category, v.sub_category, min(unit_price) AS p, avg(unit_price) AS pa FROM based v JOIN q2 USING (category, sub_category) WHERE unit_price BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) GROUP BY ALL),
+past AS (SELECT category, min(quote_date) FILTER (quote_date <> '') || '~' || max(quote_date) FILTER (quote_date <> '') AS period, count(DISTINCT project_id) AS projects FROM quotes JOIN materials ON materials.id = material_id GROUP BY category),
+g AS (SELECT m.*, a.supplier_id, a.position, l.unit_price, l.quantity, {r("CASE WHEN m.sub_category <> '' THEN p ELSE w END", 2)} AS reference, {r("CASE WHEN m.sub_category <> '' THEN pa ELSE wa END", 2)} AS historical_avg, period, projects
+  FROM line m CROSS JOIN asked a LEFT JOIN last l ON l.group_id IS NOT DISTINCT FROM m.group_id AND l.material_id = m.material_id AND l.supplier_id = a.supplier_id
+  LEFT JOIN wh ON wh.category = m.category LEFT JOIN pa ON pa.category = m.category AND pa.sub_category = m.sub_category LEFT JOIN past ON past.category = m.category),
 c AS (SELECT *, CASE WHEN reference > 0 THEN {r('(unit_price - reference) / reference', 4)} END AS dev, {r('unit_price * CASE WHEN quantity <> 0 THEN quantity ELSE 1 END', 2)} AS total FROM g),
-e AS (SELECT *, CASE WHEN unit_price IS NOT NULL THEN {alert_sql('dev')} END AS level, row_number() OVER (PARTITION BY material_id ORDER BY unit_price NULLS LAST, position) AS lo, first_value(position) OVER (PARTITION BY material_id ORDER BY dev NULLS LAST, position) AS best FROM c),
-cells AS (SELECT material_id, standard_name AS material, supplier_id, chr(64 + position) AS label, s.name, unit_price AS price, total, reference, dev AS deviation_pct, level AS alert_level, (unit_price IS NOT NULL AND lo = 1) AS is_lowest, chr(64 + best) AS recommended
+e AS (SELECT *, {alert_sql('dev')} AS level, row_number() OVER (PARTITION BY group_id, material_id ORDER BY unit_price NULLS LAST, position) AS lo, first_value(position) OVER (PARTITION BY group_id, material_id ORDER BY dev NULLS LAST, position) AS best, min(dev) OVER (PARTITION BY group_id, material_id) AS least FROM c),
+cells AS (SELECT group_id, material_id, material, spec, supplier_id, CASE WHEN s.name IS NOT NULL THEN chr(64 + position) END AS label, s.name, unit_price AS price, total, reference, dev AS deviation_pct, level AS alert_level, (unit_price IS NOT NULL AND lo = 1) AS is_lowest,
+    least AS min_deviation, CASE WHEN least IS NOT NULL THEN chr(64 + best) END AS recommended, historical_avg, CASE WHEN historical_avg IS NOT NULL THEN period END AS period, CASE WHEN historical_avg IS NOT NULL THEN projects END AS projects, CASE WHEN (SELECT jv FROM jv) THEN '合资' END AS tier_filter
   FROM e LEFT JOIN suppliers s ON s.id = supplier_id)"""
 
 
+def _offers(d: Domain) -> DataFrame:
+    return B.with_tier(valid(d, False), d.brand_tiers)
+
+
 def _cells(d: Domain) -> DataFrame:
-    return M.matrix(valid(d, False), d.suppliers, d.thresholds, ASKED, category="PROMO")
+    return M.matrix(_offers(d), d.suppliers, d.thresholds, ASKED, category="PROMO", quotes=d.categorised)
+
 
+CELLS = f"SELECT * REPLACE ({r('price', 2)} AS price) FROM cells"
 
-@query(f"{matrix_sql()} SELECT material_id, material, supplier_id, label, name, {r('price', 2)} AS price, total, reference, deviation_pct, alert_level, is_lowest, recommended FROM cells")
+
+@query(f"{matrix_sql()} {CELLS}")
 def bid_matrix(d):
     return rounds(_cells(d), 2, "price")
 
 
+@query(f"{matrix_sql([4])} {CELLS}")
+def bid_matrix_of_one(d):
+    """A lone supplier: measured by joint-venture prices if all its brands are of that tier."""
+    return rounds(M.matrix(_offers(d), d.suppliers, d.thresholds, [4], category="PROMO", quotes=d.categorised), 2, "price")
+
+
+@query(f"{matrix_sql(project='project_id = 7', aligned=True)} {CELLS}")
+def bid_matrix_aligned(d):
+    """One project's matrix, with rows of confirmed groups before those of materials."""
+    out = M.matrix(_offers(d), d.suppliers, d.thresholds, ASKED, project_id=7, category="PROMO", groups=d.groups, items=d.items, quotes=d.categorised)
+    return rounds(out, 2, "price")
+
+
 @query(f"""{matrix_sql()} SELECT supplier_id, label, {r('coalesce(sum(total), 0)', 2)} AS total, {r('coalesce(avg(deviation_pct), 0)', 4)} AS avg_deviation, count(price) AS quoted, count(*) AS rows, {r('count(price)::DOUBLE / count(*)', 4)} AS completeness, count(*) FILTER (alert_level = 'red') AS red FROM cells GROUP BY ALL""")
 def bid_matrix_totals(d):
     return M.totals(_cells(d))
 
 
 @query(f"""{matrix_sql()}, t AS (SELECT label, sum(total) AS s, {r('coalesce(avg(deviation_pct), 0)', 4)} AS a, count(price) AS q, count(*) FILTER (alert_level = 'red') AS red FROM cells GROUP BY label),
-o AS (SELECT sum(t) AS o FROM (SELECT min(total) AS t FROM cells GROUP BY material_id))
+o AS (SELECT sum(t) AS o FROM (SELECT min(total) AS t FROM cells GROUP BY group_id, material_id))
 SELECT arg_min(label, (a, label)) FILTER (q > 0) AS best_supplier, {r('any_value(o)', 2)} AS optimal_total, sum(red)::BIGINT AS red, CASE WHEN count(*) FILTER (s > 0) >= 2 THEN {r('1 - any_value(o) / (avg(floor(s * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE) FILTER (s > 0))', 4)} END AS savings_pct FROM t, o""")
 def bid_matrix_summary(d):
     return M.summary(_cells(d))
@@ -353,6 +447,12 @@ def bid_matrix_nested(d):
     return out.select("material_id", "material", F.size("cells").alias("cells"), F.size(F.filter("cells", lambda c: c["price"].isNotNull())).alias("priced"), "recommended")
 
 
+@query(f"""{matrix_sql()}, n AS (SELECT count(DISTINCT material_id) AS n FROM cells)
+SELECT least(n, 31)::BIGINT AS lines, CASE WHEN n > 30 THEN '...（共 ' || n || ' 条，此处仅展示前 30 条）' END AS last FROM n""")
+def bid_matrix_text(d):
+    return M.as_text(_cells(d)).agg(F.count("*").alias("lines"), F.max(F.when(F.col("line").startswith("..."), F.col("line"))).alias("last"))
+
+
 NAMED = "SELECT q.*, m.standard_name AS material, m.category, m.profession, s.name AS supplier, p.name AS project FROM quotes q LEFT JOIN materials m ON m.id = material_id LEFT JOIN suppliers s ON s.id = supplier_id LEFT JOIN projects p ON p.id = project_id"
 
 
@@ -443,19 +543,10 @@ def get_or_create_suppliers(d):
     return C.get_or_create(names, d.suppliers.select("id", "name"))
 
 
-@query(f""", t AS (SELECT id, unit_price, quantity, floor(unit_price * quantity * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS total_price, category, ref_price_reasonable_low AS a, ref_price_median AS b FROM valid WHERE supplier_id = 5),
-u AS (SELECT *, {r('(unit_price - coalesce(nullif(a, 0), nullif(b, 0))) / coalesce(nullif(a, 0), nullif(b, 0))', 4)} AS dev FROM t)
-SELECT id, {r('unit_price', 2)} AS unit_price, {r('total_price', 2)} AS total_price, dev AS deviation_pct, {alert_sql('dev')} AS alert_level FROM u""")
-def create_quotes(d):
-    rows = d.quotes.filter("unit_price > 0 AND supplier_id = 5").drop("total_price")
-    out = C.created_quotes(rows, d.materials, d.thresholds).select("id", "unit_price", "total_price", "deviation_pct", "alert_level")
-    return rounds(out, 2, "unit_price", "total_price")
-
-
 @query(f""", t AS (SELECT id, unit_price, quantity, floor(unit_price * quantity * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS total_price, category, ref_price_reasonable_low AS a, ref_price_median AS b FROM valid),
 u AS (SELECT *, {r('(unit_price - coalesce(nullif(a, 0), nullif(b, 0))) / coalesce(nullif(a, 0), nullif(b, 0))', 4)} AS dev FROM t)
 SELECT id, {r('unit_price', 2)} AS unit_price, {r('total_price', 2)} AS total_price, dev AS deviation_pct, {alert_sql('dev')} AS alert_level FROM u""")
-def create_all_quotes(d):
+def create_quotes(d):
     rows = d.quotes.filter("unit_price > 0").drop("total_price")
     out = C.created_quotes(rows, d.materials, d.thresholds).select("id", "unit_price", "total_price", "deviation_pct", "alert_level")
     return rounds(out, 2, "unit_price", "total_price")
@@ -491,9 +582,15 @@ def dates_and_dimensions(d):
     return docs.select("doc_id", F.array_join(T.dates_in(F.col("text")), ",").alias("dates"), T.dimensions(F.col("text")).alias("text"))
 
 
-@query()
+NAME_TAILS = [" Φ108 300*150 逆止阀 4寸", " 桥架 300 * 150mm", " 1/2寸 线槽 Φ999", " 100mm ｄｎ母线槽 排污泵", " DN50\t40mm 电缆桥架"]
+
+
+@query("""", n AS (SELECT id, standard_name || [' Φ108 300*150 逆止阀 4寸', ' 桥架 300 * 150mm', ' 1/2寸 线槽 Φ999', ' 100mm ｄｎ母线槽 排污泵', ' DN50' || chr(9) || '40mm 电缆桥架'][id % 5 + 1] AS original FROM materials),
+s AS (SELECT id, original, upper(standard_name) || [' DN100 300×150 止回阀 DN100', ' 桥架 300×150MM', ' DN15 槽式桥架 Φ999', ' DN100 DN母线槽 潜水泵', ' DN50 40MM 桥架'][id % 5 + 1] AS standardized FROM n JOIN materials USING (id))
+SELECT id, original, standardized, [4, 2, 3, 3, 2][id % 5 + 1]::INTEGER AS changes FROM s""".lstrip('"'))
 def standardised_names(d):
-    names = d.materials.select("standard_name", "id").withColumn("name", F.concat(F.col("standard_name"), F.lit(" Φ108 300*150 逆止阀 4寸")))
+    tail = F.element_at(F.array(*map(F.lit, NAME_TAILS)), (F.col("id") % 5 + 1).cast("int"))
+    names = d.materials.select("id", F.concat("standard_name", tail).alias("name"))
     return names.select("id", T.standardised(F.col("name")).alias("s")).select("id", "s.original", "s.standardized", F.size("s.changes").alias("changes"))
 
 
@@ -503,15 +600,36 @@ def merged_pages(d):
     return rows.select("conv_id", "pages", F.array_join(F.transform("x", lambda p: p["text"]), "\n").alias("text"), F.col("x")[0]["turn"].alias("first_turn"))
 
 
-@query()
-def merged_extractions(d):
-    """Page results made of order lines: each line a page's item, merged a document an order."""
-    line = d._table("lineitem")
-    item = F.struct(F.concat(F.lit("M"), "l_partkey").alias("material"), F.lit("").alias("spec"), F.lit(None).cast("string").alias("brand"), F.lit("m").alias("unit"), F.format_number("l_quantity", 2).alias("qty"), F.format_number(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("unit_price"), F.lit(None).cast("string").alias("total_price"), F.lit("").alias("remark"))
+PAGES = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _partials(d: Domain) -> DataFrame:
+    """Page results made of order lines: each line a page with one item, and the item of an equal material and quantity once more."""
+    line = d._table("lineitem").withColumn("page", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*PAGES)))
+    item = F.struct(F.concat(F.lit("M"), F.col("l_partkey") % 3).alias("material"), F.lit("").alias("spec"), F.lit(None).cast("string").alias("brand"), F.lit("m").alias("unit"), F.format_string("%.0f", "l_quantity").alias("qty"), F.format_string("%.2f", rounded(F.col("l_extendedprice") / F.col("l_quantity"), 2)).alias("unit_price"), F.when(F.col("l_linenumber") % 2 == 0, F.format_string("%.2f", rounded(F.col("l_extendedprice"), 2))).alias("total_price"), F.lit("").alias("remark"))
     head = F.struct(F.when(F.col("l_linenumber") > 1, F.concat(F.lit("S"), "l_suppkey")).otherwise("").alias("supplier_name"), F.lit("").alias("quote_date"), F.array(item).alias("items"))
-    partials = line.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").alias("page"), F.to_json(head).alias("data"), (1 - F.col("l_tax")).alias("confidence"), F.lit(100).cast("long").alias("tokens_used"), F.lit(400).cast("long").alias("duration_ms"))
-    out = E.merged(partials)
-    return out.select("doc_id", "pages", "tokens_used", "duration_ms", "confidence", F.size(E.cleaned_items(F.col("items"))).alias("items"))
+    return line.select(F.col("l_orderkey").cast("string").alias("doc_id"), "page", F.to_json(head).alias("data"), (1 - F.col("l_tax")).alias("confidence"), F.lit(100).cast("long").alias("tokens_used"), F.lit(400).cast("long").alias("duration_ms"))
+
+
+PARTIALS = f"""pages AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(PAGES)}) AS page FROM lineitem),
+lines AS (SELECT *, 'M' || (l_partkey % 3) AS material, round(l_quantity) AS qty FROM pages QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3, l_quantity ORDER BY page) = 1)"""
+
+
+@query(f""", {PARTIALS}, h AS (SELECT l_orderkey, count(*) AS pages, arg_min('S' || l_suppkey, page) FILTER (l_linenumber > 1) AS supplier_name, 1 - max(l_tax) AS confidence FROM pages GROUP BY l_orderkey)
+SELECT h.l_orderkey::VARCHAR AS doc_id, supplier_name, pages, pages * 100 AS tokens_used, pages * 400 AS duration_ms, confidence, (SELECT count(*) FROM lines WHERE lines.l_orderkey = h.l_orderkey)::INTEGER AS items FROM h""")
+def merged_extractions(d):
+    out = E.merged(_partials(d))
+    return out.select("doc_id", "supplier_name", "pages", "tokens_used", "duration_ms", "confidence", F.size(E.cleaned_items(F.col("items"))).alias("items"))
+
+
+@query(f""", {PARTIALS}, p AS (SELECT l_orderkey, page, material, qty, {r('l_extendedprice / l_quantity', 2)} AS price, CASE WHEN l_linenumber % 2 = 0 THEN {r('l_extendedprice', 2)} END AS given FROM lines),
+c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY page) - 1 AS pos, floor(price * qty * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS product FROM p)
+SELECT l_orderkey::VARCHAR AS doc_id, pos::INTEGER AS pos, material, qty, price AS unit_price, {r('coalesce(given, product)', 2)} AS total_price,
+  CASE WHEN qty > 1 AND price / coalesce(given, product) > 0.95 AND price / coalesce(given, product) < 1.05 THEN {r('coalesce(given, product) / qty', 2)} END AS suggested FROM c""")
+def extracted_lines(d):
+    """Items of merged documents with the suggestion for prices that look like totals; prices themselves stay."""
+    out = E.lines(E.merged(_partials(d)))
+    return rounds(out.select("doc_id", "pos", "material", "qty", "unit_price", "total_price", F.col("suggestion.unit_price").alias("suggested")), 2, "total_price")
 
 
 @query(""" SELECT (ts - INTERVAL 1 HOUR * 0)::DATE AS day, event_type AS type, count(*) AS events FROM events GROUP BY ALL""")
@@ -528,7 +646,8 @@ def streamed_job_states(d):
 
     spark, folder = d.spark, shared_folder(d.spark)
     schema: StructType = d._table("events").schema
-    source = spark.readStream.schema(schema).parquet(f"{d.sf_dir}/events.parquet*") if not d.sf_dir.startswith("viewfs") else spark.readStream.schema(schema).parquet(d.sf_dir + "/events.parquet")
+    # A stream reads folders; the filter keeps the one table, whether it is a file or a folder of files.
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d.sf_dir}/{{events.parquet,events.parquet}}")
     status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("running")
     events = source.select(F.concat_ws("-", "user_id", F.col("event_id") % 16).alias("job_id"), F.col("ts").cast("timestamp").alias("at"), status.alias("status"), F.floor("value").cast("int").alias("progress"))
     out = f"{folder}/states-{uuid.uuid4().hex}"
@@ -537,17 +656,9 @@ def streamed_job_states(d):
     return D.latest(states.withColumn("rank", F.struct("updated_at", "status")), ["job_id"], "rank").select("job_id", "status", "progress")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, a temporary one only where none is named."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="streams-")
-
-
-@query(f""" SELECT id, {r('(unit_price * quantity - total_price) / total_price', 4)} AS off FROM quotes WHERE unit_price IS NOT NULL AND quantity IS NOT NULL""")
+@query(f""" SELECT id, {r('abs(unit_price * quantity - total_price) / total_price', 4)} AS off FROM quotes WHERE unit_price IS NOT NULL AND quantity IS NOT NULL""")
 def line_checks(d):
-    return d.quotes.filter("unit_price IS NOT NULL AND quantity IS NOT NULL").select("id", rounded((F.col("unit_price") * F.col("quantity") - F.col("total_price")) / F.col("total_price"), 4).alias("off"))
+    return d.quotes.filter("unit_price IS NOT NULL AND quantity IS NOT NULL").select("id", rounded(checked_line(F.col("unit_price"), F.col("quantity"), F.col("total_price")), 4).alias("off"))
 
 
 @query(f", n AS (SELECT id, {r('(unit_price - ref_price_median) / ref_price_median', 4)} AS dev, category FROM valid) SELECT id, dev AS deviation_pct, {alert_sql('dev')} AS alert_level FROM n")

@@ -38,12 +38,39 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def summary_sheets(entries: DataFrame) -> DataFrame:
     """Of each category the summary sheet, else the one with most rows."""
-    order = Window.partitionBy("category").orderBy(F.desc(F.col("sheet") == "汇总"), F.desc("rows"), "csv")
-    return entries.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    order = F.struct(F.col("sheet") != "汇总", -F.col("rows"), "csv")
+    return entries.groupBy("category").agg(F.min_by(F.struct(*entries.columns), order).alias("e")).select("e.*")
 
 
-def project_names(entries: DataFrame, stop_words: tuple[str, ...] = ("汇总", "Sheet1", "计价", "参数", "明细", "投标", "技术")) -> DataFrame:
-    return entries.filter(~F.col("sheet").rlike("|".join(stop_words))).select(F.trim("sheet").alias("name")).filter("name <> ''").distinct()
+#: Sheets that are no projects: by their whole name, and by a word in it.
+NO_PROJECTS, NO_PROJECT_WORDS = ("汇总", "Sheet1"), ("计价", "参数", "明细", "投标", "技术")
+
+
+def project_names(entries: DataFrame) -> DataFrame:
+    """The sheets that name a project."""
+    sheet = F.col("sheet")
+    return entries.filter(~sheet.isin(*NO_PROJECTS) & ~sheet.rlike("|".join(NO_PROJECT_WORDS))).select(F.trim(sheet).alias("name")).filter("name <> ''").distinct()
+
+
+def project_counts(entries: DataFrame) -> DataFrame:
+    """Project sheets by category: category, n_projects; here any sheet whose name begins with Sheet is none."""
+    sheet = F.col("sheet")
+    named = (sheet != "汇总") & ~sheet.startswith("Sheet") & ~sheet.rlike("|".join(NO_PROJECT_WORDS))
+    return entries.groupBy("category").agg(F.count_if(named).alias("n_projects"))
+
+
+def fanned_out(sheets: DataFrame, path: str, kinds: DataFrame) -> DataFrame:
+    """Sheets (path, sheet, line_no, cells) written as one folder of Parquet a sheet, and the manifest of what was written.
+
+    ``kinds``: sheet's source path, profession and category. The manifest has one row a
+    sheet: csv (its folder), source_file, sheet, profession, category, rows, cols.
+    """
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    rows = sheets.withColumn("folder", F.concat_ws("__", name, F.col("sheet")))
+    rows.select("folder", "line_no", "cells").write.mode("overwrite").partitionBy("folder").parquet(path)
+    sizes = rows.groupBy("path", "sheet", "folder").agg(F.count("*").cast("int").alias("rows"), F.max(F.size("cells")).alias("cols"))
+    source = F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file")
+    return sizes.join(kinds.select("path", "profession", "category"), "path", "left").select(F.col("folder").alias("csv"), source, "sheet", "profession", "category", "rows", "cols")
 
 
 # Of each category's files, rows to skip and where the fields are (from 0; negative: from the end).
