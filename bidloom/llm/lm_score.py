@@ -11,11 +11,12 @@ lower, the more it is like the target.
 Every word of every text is in the vocabulary: a word's symbol is its hash among
 ``SYMBOLS`` ones, so no word is set aside as unknown, and words that share a symbol are
 counted as one. The table of single symbols has that fixed size and is broadcast. The
-table of bigrams grows with the input and is never gathered: each document sends its
-distinct bigrams, dealt to buckets by their hash, and a bucket counts each of its
-bigrams over all documents and gives every document its losses. Bigrams that would fill
-a bucket by themselves, the commonest ones, do not travel: at most ``HOT`` of them are
-counted in tasks and looked up from a broadcast table. Every bigram with more than a
+table of bigrams grows with the input and is never gathered. Documents are packed in
+runs of symbols, which are saved. A run sends its documents' distinct bigrams to buckets
+by their hash; a bucket counts each of its bigrams over all documents and answers every
+run with what the others hold; the run turns the answers into losses. Bigrams that would
+fill a bucket by themselves, the commonest ones, do not travel: at most ``HOT`` of them
+are counted in tasks and looked up from a broadcast table. Every bigram with more than a
 share of 1/HEAVY + 2/HOT of all is among them, so no bucket depends on one bigram. Nor
 do those travel that no other document can hold.
 
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +47,12 @@ ALL = SYMBOLS + 1
 #: Bigrams that are counted in tasks, at most; of a run of bigrams, those with a share of 1 / HEAVY are candidates.
 HOT = 1 << 18
 HEAVY = 1 << 18
-RUN = 1 << 22
+#: Symbols of a run of documents.
+RUN = 1 << 20
+#: Bits of a bigram and of a symbol; a run has fewer texts than the rest of 63 bits can number.
+KEY_BITS, SYMBOL_BITS = 41, 21
 #: Bigrams of documents that a bucket holds on average.
 BUCKET = 1 << 21
-#: Bigrams that a task collects before it deals them.
-SENT = 1 << 20
 #: Tokens that the unigram model weighs in a bigram's context, and a symbol in a unigram's.
 CONTEXT, CELL = 50.0, 0.5
 #: ASCII capitals to small letters, ASCII marks and digits' separators to spaces.
@@ -77,14 +80,6 @@ def symbols(text: str | None, known: Symbols) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
 
-def bigrams(found: np.ndarray) -> np.ndarray:
-    """The bigrams of a text's symbols, borders included, as first * ALL + second; none of an empty text."""
-    if not len(found):
-        return found
-    whole = np.concatenate(([BORDER], found, [BORDER]))
-    return whole[:-1] * ALL + whole[1:]
-
-
 def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
@@ -94,45 +89,115 @@ def _pieces(columns: dict[str, np.ndarray], rows: int = 1 << 16) -> Iterator[pa.
         yield _batch({k: c[at : at + rows] for k, c in columns.items()})
 
 
-def with_target(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, chosen: whether ``labels`` marks the document with 1 in any row."""
-    chosen = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct().withColumn("chosen", F.lit(True))
-    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
-    return rows.join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, which compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Counts of single symbols (key: -1 - symbol) and of bigrams that are common in some run: key, target, all.
+def from_planes(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def runs(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> DataFrame:
+    """Documents packed in runs of ``RUN`` symbols: run, doc_id, chosen, size (one entry a document), symbols.
 
-    ``docs``: text, chosen.
+    chosen: whether ``labels`` marks the document with 1 in any row. What is joined with
+    the labels are symbols, not texts.
     """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, single, run, size = Symbols(), np.zeros((2, ALL), np.int64), [], 0
+    def encoded(ids, texts):
+        known = Symbols()
+        yield {"doc_id": ids, "symbols": [planes(symbols(t, known).astype(np.int32)) for t in texts]}
 
-        def common() -> Iterator[pa.RecordBatch]:
-            keys, n = np.unique(np.concatenate(run), return_counts=True)
-            many = n >= max(2, size // HEAVY)
-            yield from _pieces({"key": keys[many], "target": np.zeros(int(many.sum()), np.int64), "all": n[many].astype(np.int64)})
+    rows = map_arrow(docs.select(F.col(quoted(id_col)).cast("long"), quoted(text_col)), encoded, "doc_id long, symbols binary")
+    chosen = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct().withColumn("chosen", F.lit(True))
+    rows = rows.join(chosen.hint("shuffle_hash"), "doc_id", "left").select("doc_id", F.coalesce("chosen", F.lit(False)).alias("chosen"), "symbols")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, size = TaskContext.get().partitionId(), 0, ([], [], []), 0
+
+        def out() -> pa.RecordBatch:
+            ids, chosen, found = held
+            sizes = [len(x) for x in found]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) + number]), pa.array([ids], pa.list_(pa.int64())), pa.array([chosen], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([planes(np.concatenate(found))], pa.binary())],
+                ["run", "doc_id", "chosen", "size", "symbols"],
+            )
 
         for batch in batches:
-            for text, chosen in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = symbols(text.as_py(), known)
-                if len(found):
-                    for m in (0, 1) if chosen else (1,):
-                        np.add.at(single[m], found, 1)
-                        single[m, BORDER] += 1
-                    run.append(bigrams(found))
-                    size += len(found) + 1
-                    if size >= RUN:
-                        yield from common()
-                        run, size = [], 0
-        if run:
-            yield from common()
-        used = np.flatnonzero(single[1])
-        yield from _pieces({"key": -1 - used, "target": single[0, used], "all": single[1, used]})
-
-    return docs.select("text", "chosen").mapInArrow(each, "key long, target long, all long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("all").alias("all"))
+            for i, mine, found in zip(*(batch.column(k) for k in range(3)), strict=True):
+                for values, x in zip(held, (i.as_py(), mine.as_py(), from_planes(found.as_py(), np.int32)), strict=True):
+                    values.append(x)
+                size += len(held[2][-1]) + 1
+                if size >= RUN:
+                    yield out()
+                    number, held, size = number + 1, ([], [], []), 0
+        if size:
+            yield out()
+
+    return rows.mapInArrow(packed, RUNS)
+
+
+RUNS = "run long, doc_id array<long>, chosen array<boolean>, size array<int>, symbols binary"
+
+
+class Run:
+    """One run's documents: symbols of all texts, with the place of the text each belongs to; empty texts hold nothing."""
+
+    def __init__(self, row: dict):
+        self.sizes = np.array(row["size"], np.int64)
+        self.chosen = np.array(row["chosen"], bool)
+        self.found = from_planes(row["symbols"], np.int32).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and bigram, as first * ALL + second, borders included."""
+        full = np.flatnonzero(self.sizes)
+        rank = np.repeat(np.arange(len(full)), self.sizes[full])
+        whole = np.full(len(self.found) + len(full) + 1, BORDER)
+        whole[np.arange(len(self.found)) + rank + 1] = self.found
+        return np.repeat(full, self.sizes[full] + 1), whole[:-1] * ALL + whole[1:]
+
+    def single(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and symbol, each text's border once."""
+        full = np.flatnonzero(self.sizes)
+        return np.concatenate((self.doc, full)), np.concatenate((self.found, np.full(len(full), BORDER)))
+
+    def distinct(self) -> tuple[np.ndarray, ...]:
+        """Each text's distinct bigrams: text, bigram, how often it is there, and how often its first and its second symbol."""
+        doc, key = self.bigrams()
+        both, n = np.unique((doc << KEY_BITS) | key, return_counts=True)
+        doc, key = both >> KEY_BITS, both & ((1 << KEY_BITS) - 1)
+        of, symbol = self.single()
+        single, m = np.unique((of << SYMBOL_BITS) | symbol, return_counts=True)
+        count = lambda s: m[np.searchsorted(single, (doc << SYMBOL_BITS) | s)]
+        return doc, key, n, count(key // ALL), count(key % ALL)
+
+
+def each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Run]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+            yield row, Run(row)
+
+
+def counted(packed: DataFrame) -> DataFrame:
+    """Counts of single symbols (key: -1 - symbol) and of bigrams that are common in some run: key, target, all."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((2, ALL), np.int64)
+        for _, run in each_run(batches):
+            doc, symbol = run.single()
+            table[0] += np.bincount(symbol[run.chosen[doc]], minlength=ALL)
+            table[1] += np.bincount(symbol, minlength=ALL)
+            keys, n = np.unique(run.bigrams()[1], return_counts=True)
+            many = n >= max(2, n.sum() // HEAVY)
+            yield from _pieces({"key": keys[many], "target": np.zeros(int(many.sum()), np.int64), "all": n[many].astype(np.int64)})
+        used = np.flatnonzero(table[1])
+        yield from _pieces({"key": -1 - used, "target": table[0, used], "all": table[1, used]})
+
+    return packed.mapInArrow(each, "key long, target long, all long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("all").alias("all"))
 
 
 def common_bigrams(counts: DataFrame, most: int = HOT) -> np.ndarray:
@@ -157,26 +222,25 @@ def table_of(rows: DataFrame, size: int) -> np.ndarray:
     return table
 
 
-def counts_of(docs: DataFrame, hot: np.ndarray) -> np.ndarray:
+def counts_of(packed: DataFrame, hot: np.ndarray) -> np.ndarray:
     """Counts of the bigrams ``hot`` over all texts: (2, len(hot))."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared = packed.sparkSession.sparkContext.broadcast(hot)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, keys = Symbols(), shared.value
+        keys = shared.value
         table = np.zeros((2, len(keys)), np.int64)
-        for batch in batches:
-            for text, chosen in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = bigrams(symbols(text.as_py(), known))
-                at = np.searchsorted(keys, found)
-                at = at[keys[np.minimum(at, len(keys) - 1)] == found]
-                for m in (0, 1) if chosen else (1,):
-                    np.add.at(table[m], at, 1)
+        for _, run in each_run(batches):
+            doc, found = run.bigrams()
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            hit = keys[at] == found
+            table[0] += np.bincount(at[hit & run.chosen[doc]], minlength=len(keys))
+            table[1] += np.bincount(at[hit], minlength=len(keys))
         used = np.flatnonzero(table[1])
         yield from _pieces({"at": used, "target": table[0, used], "all": table[1, used]})
 
     if not len(hot):
         return np.zeros((2, 0))
-    rows = docs.select("text", "chosen").mapInArrow(each, "at long, target long, all long")
+    rows = packed.mapInArrow(each, "at long, target long, all long")
     return table_of(rows.groupBy("at").agg(F.sum("target").alias("target"), F.sum("all").alias("all")), len(hot))
 
 
@@ -195,16 +259,8 @@ class Model:
         return -np.log(((pair - own) * self.scale[m] + CONTEXT * unigram) / (first * self.scale[m] + CONTEXT))
 
 
-def distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A text's distinct bigrams, how often each is there, and how often its first and its second symbol."""
-    keys, n = np.unique(bigrams(found), return_counts=True)
-    single, m = np.unique(np.append(found, BORDER), return_counts=True)
-    of = lambda s: m[np.searchsorted(single, s)]
-    return keys, n, of(keys // ALL), of(keys % ALL)
-
-
 def at_home(model: Model, hot: np.ndarray, keys: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which bigrams of a text need no bucket: common ones, with their place, and lonely ones, of which no other text can hold one, since it holds no such symbol."""
+    """Which bigrams of texts need no bucket: common ones, with their place, and lonely ones, of which no other text can hold one, since it holds no such symbol."""
     lonely = (model.single[1, keys // ALL] == first) | (model.single[1, keys % ALL] == second)
     if not len(hot):
         return np.zeros(len(keys), bool), lonely, np.zeros(len(keys), np.int64)
@@ -212,128 +268,72 @@ def at_home(model: Model, hot: np.ndarray, keys: np.ndarray, first: np.ndarray,
     return hot[at] == keys, lonely, at
 
 
-def part_at_home(docs: DataFrame, model: Model, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, chosen, mark): copies (1), n_tokens, and the summed losses of the bigrams that need no bucket."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, hot, counts))
-
-    def each(ids, texts, chosen, marks):
-        model, keys, pairs = shared.value
-        known, sizes, sums = Symbols(), [], ([], [])
-        for text, mine in zip(texts, chosen, strict=True):
-            found = symbols(text, known)
-            sizes.append(len(found))
-            total = [0.0, 0.0]
-            if len(found):
-                of, n, first, second = distinct(found)
-                common, lonely, at = at_home(model, keys, of, first, second)
-                for m, own in ((0, int(mine)), (1, 1)):
-                    pair = n * own
-                    pair[common] = pairs[m, at[common]]
-                    here = common | lonely
-                    total[m] = float((n * model.loss(m, of, pair, n * own, first * own, second * own))[here].sum())
-            for out, t in zip(sums, total, strict=True):
-                out.append(t)
-        yield {"doc_id": ids, "mark": marks, "copies": [1] * len(ids), "n_tokens": sizes, "target": sums[0], "background": sums[1]}
-
-    return map_arrow(docs.select("doc_id", "text", "chosen", "mark"), each, "doc_id long, mark int, copies long, n_tokens long, target double, background double")
-
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a run sends its bigrams, by bucket and bigram, and their buckets in that order."""
+    bucket = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((keys, bucket))
+    return order, bucket[order].astype(np.int32)
 
-def planes(x: np.ndarray) -> bytes:
-    """Whole numbers by byte planes, which compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-
-def from_planes(packed: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-SENT_COLUMNS = ("key", "row", "n", "first", "second")
-SENT_SCHEMA = "bucket int, doc_id array<long>, mark array<int>, chosen array<boolean>, key binary, row binary, n binary, first binary, second binary"
-
-
-def part_of_buckets(docs: DataFrame, model: Model, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Summed losses of the other bigrams, some rows a document: the columns of ``part_at_home``, with no copies and tokens.
-
-    What a run of documents sends to a bucket is one row: its documents, and by byte
-    planes each bigram, its document's place, and its counts.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((model, hot))
+def exchanged(packed: DataFrame, model: Model, hot: np.ndarray, pairs: np.ndarray, buckets: int) -> DataFrame:
+    """Losses of every document, from counts over all: doc_id, n_tokens, target_loss, background_loss."""
+    shared = packed.sparkSession.sparkContext.broadcast((model, hot, pairs))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys = shared.value
-        known, held, rows, size = Symbols(), [], [], 0
-
-        def dealt() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            bucket = ((columns[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((columns[0], bucket))
-            columns, bucket = [c[order] for c in columns], bucket[order]
-            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        model, keys, _ = shared.value
+        for row, run in each_run(batches):
+            doc, key, n, first, second = run.distinct()
+            common, lonely, _ = at_home(model, keys, key, first, second)
+            rest = ~(common | lonely)
+            doc, key, n = doc[rest], key[rest], n[rest].astype(np.int32)
+            order, bucket = dealt(key, buckets)
+            key, n, target = key[order], n[order], (n * run.chosen[doc])[order].astype(np.int32)
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
-                key, row, n, first, second = (c[a:b] for c in columns)
-                of, place = np.unique(row, return_inverse=True)
-                named = [[rows[k][c] for k in of] for c in range(3)]
-                packed = [planes(key), *(planes(x.astype(np.int32)) for x in (place, n, first, second))]
-                kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket[a]]), *(pa.array([v], k) for v, k in zip(named, kinds, strict=True)), *(pa.array([v], pa.binary()) for v in packed)], ["bucket", "doc_id", "mark", "chosen", *SENT_COLUMNS]
-                )
-
-        for batch in batches:
-            for i, text, mine, mark in zip(*(batch.column(k) for k in range(4)), strict=True):
-                found = symbols(text.as_py(), known)
-                if not len(found):
-                    continue
-                of, n, first, second = distinct(found)
-                common, lonely, _ = at_home(model, keys, of, first, second)
-                rest = ~(common | lonely)
-                held.append((of[rest], np.full(int(rest.sum()), len(rows)), n[rest], first[rest], second[rest]))
-                rows.append((i.as_py(), mark.as_py(), mine.as_py()))
-                size += len(held[-1][0])
-                if size >= SENT:
-                    yield from dealt()
-                    held, rows, size = [], [], 0
-        if size:
-            yield from dealt()
+                yield pa.RecordBatch.from_arrays([pa.array([row["run"]]), pa.array([bucket[a]]), *(pa.array([planes(x[a:b])], pa.binary()) for x in (key, n, target))], ["run", "bucket", "key", "n", "target"])
 
     def met(table: pa.Table) -> pa.Table:
-        model, parts, ids, marks, chosen = shared.value[0], [], [], [], []
-        for r in table.to_batches():
-            for k in range(r.num_rows):
-                key, *rest = (from_planes(r[c][k].as_py(), np.int64 if c == "key" else np.int32) for c in SENT_COLUMNS)
-                rest[0] = rest[0] + len(ids)
-                parts.append((key, *(x.astype(np.int64) for x in rest)))
-                ids += r["doc_id"][k].as_py()
-                marks += r["mark"][k].as_py()
-                chosen += r["chosen"][k].as_py()
-        key, row, n, first, second = (np.concatenate(c) for c in zip(*parts, strict=True))
-        mine = np.array(chosen, np.int64)[row]
+        rows = table.to_pylist()
+        columns = [[from_planes(r[c], kind) for r in rows] for c, kind in (("key", np.int64), ("n", np.int32), ("target", np.int32))]
+        ends = np.cumsum([len(k) for k in columns[0]])[:-1]
+        key, n, target = map(np.concatenate, columns)
         _, at = np.unique(key, return_inverse=True)
-        sums = []
-        for m, own in ((0, mine), (1, 1)):
-            pair = np.bincount(at, weights=n * own)[at]
-            sums.append(np.bincount(row, weights=n * model.loss(m, key, pair, n * own, first * own, second * own), minlength=len(ids)))
-        none = pa.array(np.zeros(len(ids), np.int64))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int32()), "copies": none, "n_tokens": none, "target": pa.array(sums[0]), "background": pa.array(sums[1])})
+        answers = [[planes(x) for x in np.split((np.bincount(at, weights=w)[at] - w).astype(np.int32), ends)] for w in (target, n)]
+        return pa.table({"run": [r["run"] for r in rows], "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "target": pa.array(answers[0], pa.binary()), "all": pa.array(answers[1], pa.binary())})
 
-    rows = docs.select("doc_id", "text", "chosen", "mark").mapInArrow(sent, SENT_SCHEMA)
-    return rows.groupBy("bucket").applyInArrow(met, "doc_id long, mark int, copies long, n_tokens long, target double, background double")
+    def resolved(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        model, keys, pairs = shared.value
+        out: dict[str, list] = {"doc_id": [], "n_tokens": [], "target_loss": [], "background_loss": []}
+        for row, run in each_run(mine.to_batches()):
+            doc, key, n, first, second = run.distinct()
+            common, lonely, at = at_home(model, keys, key, first, second)
+            rest = np.flatnonzero(~(common | lonely))
+            order, _ = dealt(key[rest], buckets)
+            heard = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+            out["doc_id"] += row["doc_id"]
+            out["n_tokens"] += row["size"]
+            for m, name, own in ((0, "target", run.chosen[doc].astype(np.int64)), (1, "all", np.ones(len(doc), np.int64))):
+                pair = n * own  # the text's own count, then that of all
+                pair[common] = pairs[m, at[common]]
+                if heard:
+                    pair[rest[order]] += np.concatenate([from_planes(r[name], np.int32) for r in heard])
+                loss = n * model.loss(m, key, pair, n * own, first * own, second * own)
+                mean = np.bincount(doc, weights=loss, minlength=len(run.sizes)) / (run.sizes + 1)
+                out["target_loss" if m == 0 else "background_loss"] += np.where(run.sizes > 0, mean, 0.0).tolist()
+        return pa.table([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["target_loss"], pa.float64()), pa.array(out["background_loss"], pa.float64())], names=list(out))
+
+    answers = packed.mapInArrow(sent, "run long, bucket int, key binary, n binary, target binary").groupBy("bucket").applyInArrow(met, "run long, bucket int, target binary, all binary")
+    return packed.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(resolved, "doc_id long, n_tokens long, target_loss double, background_loss double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every document of ``docs``: doc_id, n_tokens, target_loss, background_loss, score; the target is what ``labels`` marks with 1."""
-    # Rows are told apart by id and text; equal ones have equal losses and are summed together. Saved, since they are read four times.
-    rows = Saved(with_target(docs, labels, label_col, id_col, text_col).withColumn("mark", F.hash("text"))).df
-    counts = Saved(counted(rows))
+    packed = Saved(runs(docs, labels, label_col, id_col, text_col)).df
+    counts = Saved(counted(packed))
     single = table_of(counts.df.filter("key < 0").select((-1 - F.col("key")).alias("at"), "target", "all"), ALL)
     hot = common_bigrams(counts.df)
     counts.delete()
-    model, pairs = Model(single), counts_of(rows, hot)
+    model, pairs = Model(single), counts_of(packed, hot)
     buckets = max(1, int(-(-(single[1].sum() - pairs[1].sum()) // BUCKET)))
-    parts = part_at_home(rows, model, hot, pairs).unionByName(part_of_buckets(rows, model, hot, buckets))
-    of = parts.groupBy("doc_id", "mark").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "target", "background")])
-    tokens = F.col("n_tokens") / F.col("copies")
-    loss = lambda c: F.when(tokens > 0, F.col(c) / F.col("copies") / (tokens + 1)).otherwise(0.0)
-    out = of.select("doc_id", tokens.cast("long").alias("n_tokens"), loss("target").alias("target_loss"), loss("background").alias("background_loss"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return out.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    out = exchanged(packed, model, hot, pairs, buckets)
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -49,7 +49,7 @@ def test_equals_brute_force(spark, monkeypatch, hot):
     """Whichever bigrams are common, and however many buckets there are."""
     monkeypatch.setattr(lm_score.common_bigrams, "__defaults__", (hot,))
     monkeypatch.setattr(lm_score, "BUCKET", 1000)
-    monkeypatch.setattr(lm_score, "SENT", 3000)
+    monkeypatch.setattr(lm_score, "RUN", 3000)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 3)] + [(0, 1), (1, 0), (2, None), (None, 1)], "doc_id long, quality int")
