@@ -330,4 +330,5 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 good = has & (scored(net, texts)[:, -1] <= bound) if net else has
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(kept, kinds)
+    # Columns go in by place: a name with a dot would be read as a field.
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).mapInArrow(kept, kinds)

@@ -1,8 +1,11 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from bidloom.llm import exact_dedup, langid, mixing, simhash
+from bidloom.llm.common import Saved
 
-from .helpers import prose
+from .helpers import odd_docs, prose
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -24,3 +27,16 @@ def test_stages_and_run(spark, tmp_path):
     ids = {r.doc_id for r in got}
     assert not ids & {3, 202, 203, 205} and {200, 204} <= ids and set(range(6, 120)) <= ids
     assert all(r.ids and r.decoded for r in got)
+
+
+def test_odd_and_empty_tables(spark):
+    """Nulls, repeats, long texts and clashing names in every stage; then no rows at all."""
+    odd = odd_docs(spark).withColumn("_key", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("fp", F.lit(3))
+    for docs in (odd, odd.limit(0)):
+        rows = docs
+        for name, stage in corpus_pipeline.STAGES:
+            rows = Saved(stage(spark, rows, "")).df
+            if name != "bpe":
+                assert rows.columns == docs.columns, name
+        ids = {r.doc_id for r in rows.collect()}
+        assert ids == ({None, 4, 5, 7, 9, 10, 11} if docs is odd else set()), ids
