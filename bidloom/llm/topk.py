@@ -1,35 +1,38 @@
 """Exact top-k inner products by aggregation without random access.
 
-Candidates and queries are dealt to blocks of bounded size. A block keeps one list a
-component, sorted by value. A query reads all its lists in step, each from the end that
+Candidates are dealt to blocks of bounded size, once each; queries are copied to every
+block, where they pass by in a stream. A block keeps one list a component, sorted by
+value. A query reads all its lists in step, each from the end that
 adds most to its score, and never looks a candidate up: what it has read of a candidate
 gives the score's lower bound (every component unread is the worst of its list) and
-upper bound (every one unread is as good as the list's next). It stops when no candidate
-outside a small set can reach the k-th best lower bound, and resolves the final scores
-of that set. The bests of all blocks are merged by rank.
+upper bound (every one unread is as good as the list's next). It stops when no candidate it has
+not met can reach the k-th best lower bound and at most a share ``LEFT`` of the block
+still can, and resolves the final scores of those. The bests of all blocks are merged by rank.
 
 Rules, by case: components become floor(1024 * x); vectors that are null or hold null
 or non-finite components take no part, nor do rows without an id; a query's candidates
 are the vectors of its length, without those that carry its id; ties go to the smaller
-id; repeated query rows are asked once, a repeated candidate row is returned each time;
-fewer candidates than k give all; an empty table gives an empty result; extra columns
-are ignored. Scores are 64-bit integers.
+id; repeated query rows are asked once, a repeated candidate row is read once and returned
+each time; fewer candidates than k give all; an empty table gives an empty result; extra columns
+are ignored. Scores are 64-bit integers; bounds are whole numbers too while their
+absolute sums stay below 2^52, beyond that they carry the rounding's greatest error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 10
-#: Rows of a block of candidates and of queries.
+#: Rows of a block of candidates.
 CANDIDATES = 8192
-QUERIES = 1024
-STEPS = 8
+STEPS = 16
 #: Candidates that may be left when a query stops reading: this share of its block.
-LEFT = 1 / 32
+LEFT = 1 / 8
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -54,7 +57,11 @@ class Lists:
         value = np.take_along_axis(rows.T, order, axis=1).astype(np.float64)
         self.up, self.up_value = np.ascontiguousarray(order), np.ascontiguousarray(value)
         self.down, self.down_value = np.ascontiguousarray(order[:, ::-1]), np.ascontiguousarray(value[:, ::-1])
-        self.seen = np.zeros((n, d), np.float32)
+        self.seen = np.zeros((n, d))
+        #: The greatest absolute value of each list.
+        self.most = np.maximum(np.abs(value[:, 0]), np.abs(value[:, -1]))
+        #: Places of each list that the last query read.
+        self.depth = 0
 
     def read(self, query: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """From all lists the places ``start`` to ``end``: which component, which candidate, what it adds."""
@@ -66,71 +73,89 @@ class Lists:
     def best(self, query: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
         """Candidates, without ``own``, among which the k best are."""
         n, d = self.rows.shape
+        self.depth = 0
         allowed = np.ones(n, bool)
         allowed[own] = False
-        most = max(4 * k, int(n * LEFT))
-        if not query.any() or n - len(own) <= most:
+        if not query.any() or n - len(own) <= k:  # all tie, or all are among the k best
             return np.flatnonzero(allowed)
         self.seen.fill(0)
         flat = self.seen.reshape(-1)
         part = np.zeros(n)
-        _, _, worst = self.read(query, n - 1, n)
-        worst = worst[:, 0]
-        # Bounds are sums in single precision; this much is added to stay on the safe side.
-        slack = 1 + d * 1e-6 * float(np.abs(query).max()) * float(np.abs(self.rows).max())
+        worst = self.read(query, n - 1, n)[2][:, 0]
+        total = float(np.abs(query) @ self.most)
+        slack = 0.0 if total < 2.0**52 else total * (d + 8) * 2.0**-51
         step = -(-n // STEPS)
         left = allowed
         for start in range(0, n, step):
-            end = min(n, start + step)
+            self.depth = end = min(n, start + step)
             lists, which, adds = self.read(query, start, end)
             part += np.bincount(which.ravel(), weights=adds.ravel(), minlength=n)
             flat[(which * d + lists[:, None]).ravel()] = 1
             following = adds[:, -1]
             if end < n and following.sum() >= part.max():  # lower bounds are below what was read: no stop yet
                 continue
-            table = np.zeros((d, 2), np.float32)
+            table = np.zeros((d, 2))
             table[lists, 0], table[lists, 1] = following, worst
             read = self.seen @ table
             lower = np.where(allowed, part + worst.sum() - read[:, 1] - slack, -np.inf)
             upper = part + following.sum() - read[:, 0] + slack
             bar = np.partition(lower, n - k)[n - k]
             left = allowed & (upper >= bar)
-            if following.sum() + slack < bar and left.sum() <= most:
+            if following.sum() + slack < bar and left.sum() <= max(k, n * LEFT):
                 break
         return np.flatnonzero(left)
 
 
-def _block(k: int):
-    def each(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(rows):
-            ids, lists = rows["id"].to_numpy(np.int64), Lists(np.stack(rows["v"].to_numpy()).astype(np.int64).reshape(len(rows), -1))
-            for q, key, v in zip(queries["id"].to_numpy(), queries["key"].to_numpy(), queries["v"], strict=True):
-                v = np.asarray(v, np.int64)
-                at = lists.best(v, np.flatnonzero(ids == q), k)
-                scores = lists.rows[at] @ v  # resolved: whole numbers
-                top = np.lexsort((ids[at], -scores))[:k]
-                out.append(pd.DataFrame({"query_id": q, "key": key, "vec_id": ids[at][top], "score": scores[top]}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "key", "vec_id", "score")})
+SCHEMA = "query_id long, key long, vec_id long, copies int, score long"
+
+
+def _answers(k: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come block by block, candidates first."""
+        at, rows, lists = None, [], None
+        for batch in batches:
+            n, b, asked, ids, key, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "b", "asked", "id", "key", "copies"))
+            cuts = np.flatnonzero((np.diff(n) != 0) | (np.diff(b) != 0) | (np.diff(asked.astype(int)) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(n)]):
+                if hi == lo:
+                    continue
+                v = batch.column("v").slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, n[lo])
+                if at != (n[lo], b[lo]):
+                    at, rows, lists = (n[lo], b[lo]), [], None
+                if not asked[lo]:
+                    rows.append((ids[lo:hi], copies[lo:hi], v))
+                    continue
+                if rows and lists is None:
+                    of_block, times, vectors = (np.concatenate(c) for c in zip(*rows))
+                    lists = Lists(vectors)
+                for q in range(lo, hi if rows else lo):
+                    left = lists.best(v[q - lo], np.flatnonzero(of_block == ids[q]), k)
+                    scores = lists.rows[left] @ v[q - lo]  # resolved: whole numbers
+                    top = np.lexsort((of_block[left], -scores))[:k]
+                    same = [np.full(len(top), x, np.int64) for x in (ids[q], key[q])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (*same, of_block[left][top], times[left][top].astype(np.int32), scores[top])],
+                        names=["query_id", "key", "vec_id", "copies", "score"],
+                    )
 
     return each
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int = CANDIDATES, at_once: int = QUERIES) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, candidates: int = CANDIDATES) -> DataFrame:
     """Best ``k`` of ``vectors`` (id, v) for each of ``queries`` (id, v): query_id, rank, vec_id, score."""
-    queries = queries.distinct()
     blocks = max(1, -(-vectors.count() // candidates))
-    groups = max(1, -(-queries.count() // at_once))
-    to_each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    key = F.xxhash64("id", "v")
-    dealt = lambda n: F.pmod(key, F.lit(n)).cast("int")
-    size = F.size("v").alias("n")
-    asked = queries.select("id", "v", size, key.alias("key"), dealt(groups).alias("g"), to_each(blocks).alias("b"))
-    rows = vectors.select("id", "v", size, dealt(blocks).alias("b"), to_each(groups).alias("g"))
-    on = ["n", "g", "b"]
-    found = asked.groupBy(*on).cogroup(rows.groupBy(*on)).applyInPandas(_block(k), "query_id long, key long, vec_id long, score long")
+    key, size = F.xxhash64("id", "v").alias("key"), F.size("v").alias("n")
+    block = F.pmod("key", F.lit(blocks)).cast("int").alias("b")
+    # Copies of a row are counted before they are dealt, so that no block outgrows its size; more than k are never returned.
+    counted = vectors.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    rows = counted.select("id", "v", "copies", key, size, F.lit(False).alias("asked")).withColumn("b", block)
+    to_each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
+    asked = queries.distinct().select("id", "v", F.lit(0).alias("copies"), key, size, F.lit(True).alias("asked"), to_each)
+    dealt = rows.unionByName(asked).repartition(blocks, "n", "b").sortWithinPartitions("n", "b", "asked")
+    found = dealt.mapInArrow(_answers(k), SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def of_table(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = K) -> DataFrame:

@@ -33,7 +33,7 @@ def test_blocks_agree(spark):
     rng = np.random.default_rng(2)
     rows = [(i, v) for i, v in enumerate(rng.normal(0, 0.2, (1200, 16)).tolist())]
     vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = topk.search(vectors, vectors.filter("id % 100 = 0"), candidates=130, at_once=5)
+    got = topk.search(vectors, vectors.filter("id % 100 = 0"), candidates=130)
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
@@ -41,5 +41,27 @@ def test_reading_stops_early():
     rng = np.random.default_rng(3)
     rows = np.floor(rng.normal(0, 100, (4000, 8))).astype(np.int64)
     rows[7] = 900
-    left = topk.Lists(rows).best(np.full(8, 5), np.array([3]), 1)
-    assert 7 in left and len(left) <= 4000 * topk.LEFT
+    lists = topk.Lists(rows)
+    left = lists.best(np.full(8, 5), np.array([3]), 1)
+    assert 7 in left and len(left) <= 4000 * topk.LEFT and lists.depth < 4000
+
+
+def test_bounds_hold_at_any_size():
+    """Small blocks are read like large ones; values near the limits of doubles lose no candidate."""
+    rng = np.random.default_rng(4)
+    for n, scale in [(11, 5), (40, 5), (300, 3), (300, 2**22), (300, 2**28)]:
+        rows = rng.integers(-scale, scale + 1, (n, 12))
+        lists = topk.Lists(rows)
+        for _ in range(20):
+            q = rng.integers(-scale, scale + 1, 12)
+            scores = rows @ q
+            top = np.lexsort((np.arange(n), -scores))[:10]
+            assert set(top) <= set(lists.best(q, np.array([], int), 10))
+            assert lists.depth > 0
+
+
+def test_many_copies_of_a_row(spark):
+    rows = [(1, [1.0, 1.0])] * 500 + [(2, [0.5, 1.0])] * 3 + [(100, [1.0, 0.5])] * 4 + [(i, [0.0, 0.1]) for i in range(3, 60)]
+    vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.search(vectors, vectors.filter("id % 100 = 0"), candidates=50)
+    assert sorted(map(tuple, got.collect())) == brute(rows)
