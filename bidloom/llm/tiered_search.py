@@ -46,7 +46,7 @@ RUN = 1 << 19
 #: Different pairs of item and term of a batch of items, about.
 BATCH = 1 << 18
 #: Impacts that open the first tiers, as shares of the greatest possible one.
-CUTS = (1 / 8, 1 / 32)
+CUTS = (1 / 4, 1 / 16)
 #: What is part of a term: digits, letters, all beyond ASCII. Only A-Z are folded.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
