@@ -48,11 +48,10 @@ class Saved:
     reads stays until ``clean``.
     """
 
-    def __init__(self, df: DataFrame, by: list[str] | None = None):
-        """``by``: columns whose values get folders of their own."""
+    def __init__(self, df: DataFrame, options: dict | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
-        df.write.partitionBy(*by or ()).parquet(self.path)
+        df.write.options(**options or {}).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def delete(self) -> None:

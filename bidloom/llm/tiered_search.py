@@ -1,10 +1,12 @@
 """Ranked lexical search over an index in tiers, with proof of exactness.
 
-The index. Documents are packed in runs of some ``RUN`` terms. A run has one posting
-list a term; a posting holds the document's place in its run and how much the term's
-frequency counts there. With the term's weight that is the posting's impact, and by its
-impact each posting goes to a tier, the high ones to the first. Of every term the index
-knows, for each tier, the greatest impact further down: the residual bound.
+The index. Documents are packed in runs of some ``RUN`` terms; the index has one row a
+run. It holds the run's documents, its terms with the number of its documents that have
+them, and posting lists: a posting is a document's place in its run and how much the
+term's frequency counts there. By its impact (that number by the term's weight, as the
+run sees it) a posting goes to one of the tiers, high impacts first. Each tier is a group
+of columns, so a scan of high tiers does not read the lower ones. Of every term the row
+knows the greatest count in each tier, from which residual bounds follow.
 
 The search. A round reads the tiers down to its own and sums, for every document of a
 run, what an item's terms add: the score's lower bound. The residual bounds of those of
@@ -13,11 +15,11 @@ proven when the k documents with the greatest upper bounds have no gap between t
 bounds: nothing else can pass them, and their scores are known. Items that lack this
 proof fall through to the next tier, but only in runs where some document's upper bound
 reaches the k-th best lower bound of all runs. In the last tier nothing remains below, so
-every item ends there at the latest.
+every item ends there at the latest. In which tier a posting is, is a matter of speed
+alone: the bounds come from the true weights, which count all documents.
 
-No posting list is gathered: lists are cut by run, and what leaves a run is at most
-2 k documents an item. Items are asked in batches of about ``BATCH`` different terms, whose
-table is broadcast.
+No posting is shuffled: what leaves a run is at most 2 k documents an item. Items are
+asked in batches of about ``BATCH`` different terms, whose table is broadcast.
 
 Rules, by case: null text has no terms; documents without terms are not counted and never
 found; texts of any length are read whole (a longer one is a run by itself); repeated rows
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +45,11 @@ from .common import Saved, quoted
 
 K = 10
 #: Terms of a run, repeats included.
-RUN = 1 << 19
+RUN = 1 << 18
 #: Different pairs of item and term of a batch of items, about.
 BATCH = 1 << 18
+#: Bytes of a row group of the index: a task holds one of them at a time.
+ROW_GROUP = 32 << 20
 #: Impacts that open the first tiers, as shares of the greatest possible one.
 CUTS = (1 / 4, 1 / 16)
 #: What is part of a term: digits, letters, all beyond ASCII. Only A-Z are folded.
@@ -63,141 +68,102 @@ def lengths(n, docs: int, terms: int):
     return 100 - LENGTH + (LENGTH * n * docs) // max(terms, 1)
 
 
-def binaries(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Rows of whole numbers, cut at ``starts``, as binary values."""
-    ends = np.append(starts[1:], len(values)) if len(starts) else starts
-    offsets = np.append(starts[:1], ends) * values.itemsize if len(starts) else np.zeros(1)
-    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+def packed(values: np.ndarray) -> bytes:
+    return values.astype(np.int32).tobytes()
 
 
-def numbers(column: pa.Array, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
-    """The whole numbers of all rows of a binary column, and how many each row has."""
-    wide = column.cast(pa.large_binary())
-    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
-    data = wide.buffers()[2]
-    flat = np.frombuffer(data, kind, (offsets[-1] - offsets[0]) // np.dtype(kind).itemsize, offsets[0]) if data is not None else np.zeros(0, kind)
-    return flat, np.diff(offsets) // np.dtype(kind).itemsize
+def unpacked(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.int32)
 
 
-LISTS = "run long, ids array<long>, terms long, term string, df int, docs binary, tf binary, n binary"
+def tier_columns(tier: int) -> list[str]:
+    """Of a tier: where each term's postings begin, documents, counts."""
+    return [f"{c}{tier}" for c in ("starts", "docs", "counts")]
 
 
-def _lists(run_size: int):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A run is a row with its documents' ids and its size, then a row a term."""
-        part, number, known, ids, found, size = TaskContext.get().partitionId(), 0, {}, [], [], 0
+class Run:
+    """Documents whose terms are gathered to a row of the index."""
 
-        def out() -> pa.RecordBatch:
-            counts = np.array([len(x) for x in found], np.int32)
-            places = np.repeat(np.arange(len(ids), dtype=np.int64), counts)
-            key, tf = np.unique(np.concatenate(found).astype(np.int64) * len(ids) + places, return_counts=True)
-            term, doc = key // len(ids), (key % len(ids)).astype(np.int32)
-            starts = np.flatnonzero(np.diff(term, prepend=-1))
-            rows = len(starts)
-            empty = pa.nulls(1, pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(rows + 1, part << 32 | number)),
-                    pa.array([ids, *[None] * rows], pa.list_(pa.int64())),
-                    pa.array([size, *[None] * rows], pa.int64()),
-                    pa.concat_arrays([pa.nulls(1, pa.string()), pa.array(list(known), pa.binary()).cast(pa.string())]),
-                    pa.array(np.append(0, np.diff(np.append(starts, len(doc)))).astype(np.int32)),
-                    *[pa.concat_arrays([empty, binaries(x.astype(np.int32), starts)]) for x in (doc, tf, counts[doc])],
-                ],
-                names=["run", "ids", "terms", "term", "df", "docs", "tf", "n"],
-            )
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.ids: list[int | None] = []
+        self.found: list[np.ndarray] = []
+        self.size = 0
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                terms = term_list(text.as_py())
-                if not terms:
-                    continue
-                ids.append(doc_id.as_py())
-                found.append(np.fromiter((known.setdefault(t, len(known)) for t in terms), np.int32, len(terms)))
-                size += len(terms)
-                if size >= run_size:
-                    yield out()
-                    number, known, ids, found, size = number + 1, {}, [], [], 0
-        if ids:
-            yield out()
+    def add(self, doc_id: int | None, terms: list[bytes]) -> None:
+        known = self.known
+        self.ids.append(doc_id)
+        self.found.append(np.fromiter((known.setdefault(t, len(known)) for t in terms), np.int32, len(terms)))
+        self.size += len(terms)
 
-    return each
+    def row(self, number: int, docs: int, terms: int, cuts: tuple[float, ...]) -> dict:
+        own, vocabulary = len(self.ids), len(self.known)
+        n = np.array([len(x) for x in self.found], np.int64)
+        key, tf = np.unique(np.concatenate(self.found).astype(np.int64) * own + np.repeat(np.arange(own), n), return_counts=True)
+        term, doc = key // own, key % own
+        counts = (COUNTS * tf) // (WEIGHT * tf + SATURATION * lengths(n[doc], docs, terms))
+        df = np.bincount(term, minlength=vocabulary)
+        weights = np.log((2 * own + 2) / (2 * df + 1))
+        share = weights[term] * counts / (np.log((2 * own + 2) / 3) * COUNTS / WEIGHT)
+        tier = sum(((share < c).astype(int) for c in cuts), np.ones(len(share), int))
+        out = {"run": number, "ids": self.ids, "terms": b"\n".join(self.known), "df": packed(df)}
+        tops = np.zeros((len(cuts) + 1, vocabulary), np.int64)
+        for t in range(1, len(cuts) + 2):
+            at = tier == t
+            np.maximum.at(tops[t - 1], term[at], counts[at])
+            starts = np.append(0, np.cumsum(np.bincount(term[at], minlength=vocabulary)))
+            out |= dict(zip(tier_columns(t), map(packed, (starts, doc[at], counts[at]))))
+        return out | {"tops": packed(tops)}
 
 
-def _weighed(docs: int, terms: int):
+def _runs(docs: int, terms: int, run_size: int, cuts: tuple[float, ...], schema: pa.Schema):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What each posting's frequency counts in a document of that length."""
-        for b in batches:
-            tf, sizes = numbers(b.column("tf"))
-            n, tf = numbers(b.column("n"))[0].astype(np.int64), tf.astype(np.int64)
-            counts = (COUNTS * tf) // (WEIGHT * tf + SATURATION * lengths(n, docs, terms))
-            starts = np.cumsum(sizes) - sizes
-            yield pa.RecordBatch.from_arrays([b.column("run"), b.column("term"), b.column("docs"), binaries(counts.astype(np.int32), starts)], names=["run", "term", "docs", "counts"])
-
-    return each
+        part, number, run = TaskContext.get().partitionId(), 0, Run()
 
+        def out() -> pa.RecordBatch:
+            row = run.row(part << 32 | number, docs, terms, cuts)
+            return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
 
-def _tiers(cuts: list[int]):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lists cut by the impact of their postings."""
-        for b in batches:
-            docs, sizes = numbers(b.column("docs"))
-            counts, _ = numbers(b.column("counts"))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            impact = counts * b.column("w").to_numpy()[row]
-            tier = 1 + sum((impact < c).astype(np.int32) for c in cuts)
-            for t in range(1, len(cuts) + 2):
-                at = np.flatnonzero(tier == t)
-                if len(at):
-                    starts = np.flatnonzero(np.diff(row[at], prepend=-1))
-                    own = pa.array(row[at][starts])
-                    top = pa.array(np.maximum.reduceat(impact[at], starts))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(starts), t, np.int32)), b.column("run").take(own), b.column("term").take(own), b.column("w").take(own), top, binaries(docs[at], starts), binaries(counts[at], starts)],
-                        names=["tier", "run", "term", "w", "top", "docs", "counts"],
-                    )
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                if found := term_list(text.as_py()):
+                    run.add(doc_id.as_py(), found)
+                    if run.size >= run_size:
+                        yield out()
+                        number, run = number + 1, Run()
+        if run.ids:
+            yield out()
 
     return each
 
 
-TIERS = "tier int, run long, term string, w long, top long, docs binary, counts binary"
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [len(term_list(text.as_py())) for text in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(x > 0 for x in n)], pa.int64()), pa.array([sum(n)], pa.int64())], names=["docs", "terms"])
 
 
 @dataclass
 class Index:
-    """The tables of an index, in the shared folder: runs (run, ids), postings (``TIERS``), terms (term, w, below: the greatest impact below each tier)."""
+    """The index, in the shared folder, its documents and its tiers."""
 
-    runs: Saved
-    postings: Saved
-    terms: Saved
+    table: Saved
+    docs: int
     tiers: int
 
     def delete(self) -> None:
-        for table in (self.runs, self.postings, self.terms):
-            table.delete()
-
-
-def weight(df: Column, docs: int) -> Column:
-    """A term's weight by its documents."""
-    return F.floor(F.log((2.0 * docs + 2) / (2 * df + 1)) * WEIGHT)
+        self.table.delete()
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_size: int = RUN, cuts: tuple[float, ...] = CUTS) -> Index:
-    """The index of all documents."""
+    """The index of all documents, in two scans: the first counts documents and terms."""
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
-    lists = Saved(rows.mapInArrow(_lists(run_size), LISTS))
-    runs = Saved(lists.df.filter("term IS NULL").select("run", "ids", "terms"))
-    total = runs.df.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
-    of_terms = lists.df.filter("term IS NOT NULL")
-    weights = of_terms.groupBy("term").agg(F.sum("df").alias("df")).select("term", weight(F.col("df"), total[0]).alias("w"))
-    weighed = of_terms.select("run", "term", "docs", "tf", "n").mapInArrow(_weighed(*total), "run long, term string, docs binary, counts binary")
-    most = WEIGHT * np.log((2 * total[0] + 2) / 3) * COUNTS / WEIGHT
-    postings = Saved(weighed.join(weights, "term").select("run", "term", "docs", "counts", "w").mapInArrow(_tiers([int(c * most) for c in cuts]), TIERS), by=["tier"])
-    lists.delete()
+    total = rows.select("text").mapInArrow(_sizes, "docs long, terms long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("docs", "terms")]).first()
     tiers = len(cuts) + 1
-    below = [F.coalesce(F.max(F.when(F.col("tier") > t, F.col("top"))), F.lit(0)) for t in range(1, tiers + 1)]
-    terms = Saved(postings.df.groupBy("term").agg(F.max("w").alias("w"), F.array(*below).alias("below")))
-    return Index(runs, postings, terms, tiers)
+    columns = ["terms", "df", "tops", *[c for t in range(1, tiers + 1) for c in tier_columns(t)]]
+    schema = "run long, ids array<long>, " + ", ".join(f"{c} binary" for c in columns)
+    arrow = pa.schema([("run", pa.int64()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in columns]])
+    return Index(Saved(rows.mapInArrow(_runs(*total, run_size, cuts, arrow), schema), options={"parquet.block.size": ROW_GROUP}), total[0], tiers)
 
 
 def item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -209,49 +175,72 @@ def item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy("item_id", "item", "term").agg(F.count("*").alias("times"))
 
 
+def _frequencies(sent):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many documents have each wanted term."""
+        wanted = sent.value
+        total = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            for terms, df in zip(batch.column("terms"), batch.column("df")):
+                here, own = places(terms.as_py(), wanted)
+                total[here] += unpacked(df.as_py())[own]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["t", "df"])
+
+    return each
+
+
+def places(terms: bytes, wanted: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted terms of a run: their numbers, and their places in the run."""
+    found = [(t, k) for k, term in enumerate(terms.split(b"\n")) if (t := wanted.get(term)) is not None]
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
 FOUND = "q int, run long, doc_id long, lower long, upper long"
 
 
-def _bounded(asked: list[list[tuple[int, int, int]]], k: int):
-    """asked: each item's terms, as place in the vocabulary, weight with times, residual with times."""
+def _bounded(sent, tier: int, tiers: int, k: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each run, for each item: the documents with the k greatest upper and the k greatest lower bounds."""
+        wanted, weights, asked = sent.value
+        for batch in batches:
+            for k_th in range(batch.num_rows):
+                row = {name: batch.column(name)[k_th].as_py() for name in batch.schema.names}
+                yield from of_run(row, wanted, weights, asked)
 
-    def each(lists: pa.Table, run: pa.Table) -> pa.Table:
-        """Of one run, for each item: the documents with the k greatest upper and the k greatest lower bounds."""
-        out: dict[str, list] = {"q": [], "doc_id": [], "lower": [], "upper": []}
-        ids = run.column("ids").combine_chunks().flatten() if run.num_rows else pa.array([], pa.int64())
-        n = len(ids)
+    def of_run(row: dict, wanted: dict[bytes, int], weights: np.ndarray, asked: list[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+        n = len(row["ids"])
+        ids = pa.array(row["ids"], pa.int64())
         order = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
-        lists = lists.combine_chunks()
-        docs, sizes = numbers(lists.column("docs").combine_chunks() if lists.num_rows else pa.array([], pa.binary()))
-        counts, _ = numbers(lists.column("counts").combine_chunks() if lists.num_rows else pa.array([], pa.binary()))
-        ends = np.cumsum(sizes)
-        places: dict[int, list[slice]] = {}
-        for t, end, size in zip(lists.column("t").to_pylist(), ends, sizes):
-            places.setdefault(t, []).append(slice(end - size, end))
-        counts = counts.astype(np.int64)
+        below = unpacked(row["tops"]).reshape(tiers, -1)[tier:].max(axis=0, initial=0).astype(np.int64)
+        cut = [tuple(unpacked(row[c]) for c in tier_columns(t)) for t in range(1, tier + 1)]
+        # A term's list is cut by tiers, so a document meets it once at most.
+        lists = {}
+        for t, own in zip(*places(row["terms"], wanted)):
+            docs = np.concatenate([d[s[own] : s[own + 1]] for s, d, _ in cut])
+            lists[t] = docs, np.concatenate([c[s[own] : s[own + 1]] for s, _, c in cut]) * weights[t], below[own] * weights[t]
 
         def best(by: np.ndarray) -> np.ndarray:
             at = np.flatnonzero(by >= np.partition(by, n - k)[n - k]) if n > k else np.arange(n)
             return at[np.lexsort((order[at], -by[at]))[:k]]
 
-        for q in (run.column("items")[0].as_py() if n and "items" in run.column_names else range(len(asked))) if n else ():
+        out: list[tuple] = []
+        for q in row.get("items") or range(len(asked)):
             lower, met, rest = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-            for t, w, below in asked[q]:
-                rest += below
-                for at in places.get(t, ()):
-                    lower[docs[at]] += w * counts[at]
-                    if below:
-                        met[docs[at]] += below
-            # A term's list is cut by tiers, so a document meets it once at most.
+            for t, times in asked[q]:
+                if t in lists:
+                    docs, adds, left = lists[t]
+                    lower[docs] += times * adds
+                    if left:
+                        rest += times * left
+                        met[docs] += times * left
             upper = lower + (rest - met)
             kept = np.union1d(best(upper), best(lower)) if rest else best(upper)
             kept = kept[upper[kept] > 0]
-            for name, x in (("q", np.full(len(kept), q, np.int32)), ("doc_id", ids.take(pa.array(kept))), ("lower", lower[kept]), ("upper", upper[kept])):
-                out[name].append(pa.array(x))
-        types = {"q": pa.int32(), "doc_id": pa.int64(), "lower": pa.int64(), "upper": pa.int64()}
-        columns = {name: pa.chunked_array(out[name], types[name]) for name in types}
-        number = run.column("run")[0].as_py() if run.num_rows else 0
-        return pa.table({"q": columns["q"], "run": pa.array(np.full(len(columns["q"]), number)), "doc_id": columns["doc_id"], "lower": columns["lower"], "upper": columns["upper"]})
+            out.append((np.full(len(kept), q, np.int32), kept, lower[kept], upper[kept]))
+        if out:
+            q, kept, lower, upper = map(np.concatenate, zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), row["run"])), ids.take(pa.array(kept)), pa.array(lower), pa.array(upper)], names=["q", "run", "doc_id", "lower", "upper"])
 
     return each
 
@@ -263,26 +252,26 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def _batch(spark: SparkSession, index: Index, terms: DataFrame, k: int) -> DataFrame | None:
-    """Answers of one batch of items; None if none of its terms is in the index."""
-    rows = terms.join(index.terms.df, "term").collect()
+    """Answers of one batch of items; None if it has none."""
+    rows = terms.collect()
     items = sorted({(r.item_id is not None, r.item_id or 0, r.item) for r in rows})
-    if not items:
+    if not items or not index.docs:
         return None
     q_of = {item: q for q, (_, _, item) in enumerate(items)}
-    t_of = {term: t for t, term in enumerate(dict.fromkeys(r.term for r in rows))}
+    t_of = {term: t for t, term in enumerate(dict.fromkeys(r.term.encode() for r in rows))}
+    asked: list[list[tuple[int, int]]] = [[] for _ in items]
+    for r in rows:
+        asked[q_of[r.item]].append((t_of[r.term.encode()], r.times))
+    counted = index.table.df.select("terms", "df").mapInArrow(_frequencies(spark.sparkContext.broadcast(t_of)), "t long, df long").groupBy("t").agg(F.sum("df").alias("df"))
+    weights = np.zeros(len(t_of), np.int64)
+    for r in counted.select("t", weight(F.col("df"), index.docs).alias("w")).collect():
+        weights[r.t] = r.w
+    sent = spark.sparkContext.broadcast((t_of, weights, asked))
     open_items, pairs, answers = range(len(items)), None, []
     for tier in range(1, index.tiers + 1):
-        asked: list[list[tuple[int, int, int]]] = [[] for _ in items]
-        for r in rows:
-            asked[q_of[r.item]].append((t_of[r.term], r.times * r.w, r.times * r.below[tier - 1]))
-        still = {t for q in open_items for t, _, _ in asked[q]}
-        vocabulary = spark.createDataFrame([(term, t) for term, t in t_of.items() if t in still], "term string, t int")
-        lists = index.postings.df.filter(F.col("tier") <= tier).join(F.broadcast(vocabulary), "term").select("run", "t", "docs", "counts")
-        runs = index.runs.df.select("run", "ids")
-        if pairs is not None:
-            runs = runs.join(pairs, "run")
-            lists = lists.join(pairs.select("run"), "run", "left_semi")
-        found = Saved(lists.groupBy("run").cogroup(runs.groupBy("run")).applyInArrow(_bounded(asked, k), FOUND)).df
+        runs = index.table.df.select("run", "ids", "terms", "tops", *[c for t in range(1, tier + 1) for c in tier_columns(t)])
+        runs = runs if pairs is None else runs.join(pairs, "run")
+        found = Saved(runs.mapInArrow(_bounded(sent, tier, index.tiers, k), FOUND)).df
         gap = F.max((F.col("lower") < F.col("upper")).cast("int"))
         lacking = [r.q for r in _ranked(found, k).groupBy("q").agg(gap.alias("gap")).filter("gap = 1").collect()] if tier < index.tiers else []
         proven = sorted(set(open_items) - set(lacking))
@@ -295,10 +284,12 @@ def _batch(spark: SparkSession, index: Index, terms: DataFrame, k: int) -> DataF
         bars = spark.createDataFrame([(q, bar.get(q, 0)) for q in lacking], "q int, bar long")
         reaching = found.join(F.broadcast(bars), "q").groupBy("run", "q").agg(F.max(F.col("upper") - F.col("bar")).alias("over")).filter("over >= 0")
         open_items, pairs = lacking, Saved(reaching.groupBy("run").agg(F.collect_list("q").alias("items"))).df
-    out = answers[0]
-    for more in answers[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, answers)
+
+
+def weight(df: Column, docs: int) -> Column:
+    """A term's weight by its documents."""
+    return F.floor(F.log((2.0 * docs + 2) / (2 * df + 1)) * WEIGHT)
 
 
 def search(index: Index, items: DataFrame, k: int = K, id_col: str = "item_id", text_col: str = "text", batch: int = BATCH) -> DataFrame:

@@ -178,8 +178,10 @@ def judged_by_join(pages: DataFrame, rules: DataFrame, url_col: str = "url", def
     urls = pages.select(url.alias("url")).distinct()
     urls = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels, segments = F.split("host", r"\."), F.split("path", "/")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    starts = F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(segments, 1, k), "/"), F.lit("/"))))
+    # No rule is deeper than these, so longer hosts and paths give no more nodes.
+    deepest = listed.agg(F.coalesce(F.max(F.size(F.split("r_host", r"\."))), F.lit(1)), F.coalesce(F.max(F.size(F.split("node", "/"))), F.lit(1))).first()
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest[0]))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    starts = F.transform(F.sequence(F.lit(0), F.least(F.size(segments), F.lit(deepest[1])) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(segments, 1, k), "/"), F.lit("/"))))
     asked = urls.select("url", "path", F.explode(ends).alias("r_host"), starts.alias("nodes")).select("url", "path", "r_host", F.explode("nodes").alias("node"))
     fits = asked.join(listed.hint("shuffle_merge"), ["r_host", "node"]).filter(F.startswith("path", "r_path"))
     longest = F.struct(F.size(F.split("r_host", r"\.")), F.length("r_path"), F.concat("r_host", "r_path").alias("rule"), "verdict")
