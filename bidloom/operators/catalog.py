@@ -104,23 +104,42 @@ def folded_name(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?U)\s", ""))
 
 
+def _pieces_of(c: Column) -> Column:
+    """The different pairs of neighbouring characters of a name, and its characters."""
+    n = F.length(c)
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(pairs, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(c, i, F.lit(1)))))
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs of names of which ``outer`` (o) holds ``inner`` (i): an inner name is looked for at its rarest piece among the outer ones, alone.
+
+    An outer name that holds the inner one holds all its pieces, so none is lost; a pair
+    that is common among the outer names draws nothing unless it is a name's rarest.
+    """
+    pieces = outer.select("o", F.explode(_pieces_of(F.col("o"))).alias("k"))
+    frequent = pieces.groupBy("k").agg(F.count("*").alias("df"))
+    length = F.length("i")
+    own = inner.select("i", F.explode(F.filter(_pieces_of(F.col("i")), lambda k: (F.length(k) == 2) | (length == 1))).alias("k"))
+    rarest = own.join(frequent, "k").groupBy("i").agg(F.min_by("k", F.struct("df", "k")).alias("k"))
+    # A name with a piece that no outer name has is in none of them.
+    lost = own.join(frequent, "k", "left_anti").select("i")
+    return rarest.join(lost, "i", "left_anti").join(pieces, "k").filter(F.contains("o", F.col("i"))).select("i", "o")
+
+
 def matched_suppliers(detected: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Detected names (name) with the first supplier (by id) whose name is the same but for blanks and capitals, contains the name, or is contained in it: name, supplier_id.
 
-    Equal names join by their folded form. Only names without such a partner are sought by
-    containment: a name that contains another holds its first two characters somewhere, so
-    names meet on pairs of characters, not with each other.
+    Equal names join by their folded form; names that hold another meet at the other's
+    rarest pair of characters, names of one character at that.
     """
     names = detected.select("name").filter("name <> ''").distinct()
-    pool = suppliers.filter("name <> ''").select(F.col("id").alias("supplier_id"), F.col("name").alias("of"))
-    equal = names.withColumn("k", folded_name(F.col("name"))).join(pool.withColumn("k", folded_name(F.col("of"))), "k").select("name", "supplier_id")
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    head = lambda c: F.substring(c, 1, 2)
-    inside = names.withColumn("k", F.explode(pairs(F.col("name")))).join(pool.withColumn("k", head(F.col("of"))), "k").filter(F.col("name").contains(F.col("of"))).select("name", "supplier_id")
-    around = names.withColumn("k", head(F.col("name"))).join(pool.withColumn("k", F.explode(pairs(F.col("of")))), "k").filter(F.col("of").contains(F.col("name"))).select("name", "supplier_id")
-    single = names.filter(F.length("name") == 1).join(pool, F.col("of").contains(F.col("name"))).select("name", "supplier_id")
-    short = names.join(pool.filter(F.length("of") == 1), F.col("name").contains(F.col("of"))).select("name", "supplier_id")
-    return equal.unionByName(inside).unionByName(around).unionByName(single).unionByName(short).groupBy("name").agg(F.min("supplier_id").alias("supplier_id"))
+    pool = suppliers.filter("name <> ''").groupBy(F.col("name").alias("of")).agg(F.min("id").alias("supplier_id"))
+    equal = names.withColumn("k", folded_name(F.col("name"))).join(pool.withColumn("k", folded_name(F.col("of"))), "k").select("name", "of")
+    inside = _contained(pool.select(F.col("of").alias("i")), names.select(F.col("name").alias("o"))).select(F.col("o").alias("name"), F.col("i").alias("of"))
+    around = _contained(names.select(F.col("name").alias("i")), pool.select(F.col("of").alias("o"))).select(F.col("i").alias("name"), F.col("o").alias("of"))
+    found = equal.unionByName(inside).unionByName(around)
+    return found.join(pool, "of").groupBy("name").agg(F.min("supplier_id").alias("supplier_id"))
 
 
 def updated(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -168,9 +187,11 @@ def constants(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(attributes, "category string, position int, key string, label string, source string, role string"), spark.createDataFrame(naming, "category string, part string, position int, value string")
 
 
-def upserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``table`` with ``rows`` in the place of those with equal keys (null equals null), new ones added; of rows with equal keys, any one."""
-    new = rows.dropDuplicates(keys)
+def upserted(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """``table`` with ``rows`` in the place of those with equal keys (null equals null), new ones added; of rows with equal keys the last by ``order``, else by all their values."""
+    by = F.struct(*([order] if order else sorted(c for c in rows.columns if c not in keys)))
+    rest = [c for c in rows.columns if c not in keys]
+    new = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(*keys, "_r.*") if rest else rows.distinct()
     same = None
     for k in keys:
         same = table[k].eqNullSafe(new[k]) if same is None else same & table[k].eqNullSafe(new[k])

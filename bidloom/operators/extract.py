@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,36 +30,90 @@ KINDS = {
 }
 PARTIAL = "data string, confidence double, tokens_used long, duration_ms long, error string"
 
-#: What reads one page: text to (JSON, confidence, tokens, milliseconds). External models fit here.
-Provider = Callable[[str], tuple[str, float, int, int]]
+#: What reads one page: its content to (JSON, confidence, tokens, milliseconds). External models fit here.
+Provider = Callable[[Any], tuple[str, float, int, int]]
+#: Pages that are read at once in a task.
+IN_FLIGHT = 6
 
 
-def pages_read(pages: DataFrame, provider: Provider) -> DataFrame:
-    """Every page (doc_id, page, content) through a provider; a failed page keeps its error and stops no other."""
+class Blocked(Exception):
+    """A provider's refusal of what stands on a page; a part of it may pass."""
+
+
+def halves_of_text(text: str) -> list[str]:
+    """A page's text cut at the line break next to its middle, else in its middle; one character can't be cut."""
+    middle = len(text) // 2
+    cut = min((at for at in (text.rfind("\n", 0, middle) + 1, text.find("\n", middle) + 1) if 0 < at < len(text)), key=lambda at: abs(at - middle), default=middle)
+    return [text[:cut], text[cut:]] if 0 < cut < len(text) else []
+
+
+def page_parts(provider: Provider, content, halves: Callable[[Any], list], cuts: int, part: str = "") -> list[tuple]:
+    """What a provider reads of a page, in order: (part, data, confidence, tokens, milliseconds, error).
+
+    A blocked page is read again by halves, up to ``cuts`` times over; parts are named L
+    and R along the way. What stays blocked, and what fails otherwise, keeps its error.
+    """
+    try:
+        return [(part, *provider(content), None)]
+    except Blocked as e:
+        pieces = halves(content) if cuts > 0 else []
+        if not pieces:
+            return [(part, None, 0.0, 0, 0, f"blocked: {e}")]
+        return [found for name, piece in zip("LR", pieces, strict=True) for found in page_parts(provider, piece, halves, cuts - 1, part + name)]
+    except Exception as e:  # a page's failure is data here
+        return [(part, None, 0.0, 0, 0, f"{type(e).__name__}: {e}")]
+
+
+def pages_read(pages: DataFrame, provider: Provider, halves: Callable[[Any], list] = halves_of_text, cuts: int = 1, in_flight: int = IN_FLIGHT) -> DataFrame:
+    """Every page (doc_id, page, content) through a provider: doc_id, page, part and ``PARTIAL``.
+
+    A document's pages are read in one task, at most ``in_flight`` of them at once, and
+    come out in their order. A failed page stops no other; a blocked one is read by
+    halves, which ``halves`` cuts.
+    """
+    names = ["part", "data", "confidence", "tokens_used", "duration_ms", "error"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for text in b["content"]:
-                try:
-                    out.append((*provider(text), None))
-                except Exception as e:  # a page's failure is data here
-                    out.append((None, 0.0, 0, 0, str(e)))
-            yield pd.concat([b[["doc_id", "page"]].reset_index(drop=True), pd.DataFrame(out, columns=["data", "confidence", "tokens_used", "duration_ms", "error"])], axis=1)
+        with ThreadPoolExecutor(in_flight) as pool:
+            waiting: deque = deque()
+
+            def oldest() -> pd.DataFrame:
+                doc_id, page, parts = waiting.popleft()
+                return pd.DataFrame([(doc_id, page, *p) for p in parts.result()], columns=["doc_id", "page", *names])
+
+            for b in batches:
+                for doc_id, page, content in zip(b["doc_id"], b["page"], b["content"]):
+                    if len(waiting) == in_flight:
+                        yield oldest()
+                    waiting.append((doc_id, page, pool.submit(page_parts, provider, content, halves, cuts)))
+            while waiting:
+                yield oldest()
+
+    kind = pages.schema["doc_id"].dataType.simpleString()
+    ordered = pages.select("doc_id", F.col("page").cast("int").alias("page"), "content").repartition("doc_id").sortWithinPartitions("doc_id", "page")
+    return ordered.mapInPandas(each, f"doc_id {kind}, page int, part string, {PARTIAL}")
+
 
-    return pages.select("doc_id", "page", "content").mapInPandas(each, f"doc_id string, page int, {PARTIAL}")
+def _skip(parts: bool):
+    page = (lambda x: F.concat(x["page"]["number"], F.when(x["page"]["part"] != "", F.concat(F.lit("/"), x["page"]["part"])).otherwise(""))) if parts else lambda x: x["page"].cast("string")
+    return lambda x: F.concat(F.lit("page"), page(x), F.lit("("), x["error"], F.lit(")"))
 
 
 def merged(partials: DataFrame, kind: str = "quote") -> DataFrame:
     """One row a document from its pages: first non-empty scalars, items in order without repeats, sums, least confidence.
 
     partials: doc_id, page, data (JSON of a quote or a tender), confidence, tokens_used,
-    duration_ms, and raw_text where there is one. The JSON is parsed once and pages meet
+    duration_ms, and raw_text, part and error where there are such. With ``part``, a page's
+    parts follow each other; with ``error``, ``skipped`` lists what could not be read and
+    ``status`` is failed if that was everything. The JSON is parsed once and pages meet
     once; a quote takes over the first page's context that has one.
     """
     schema, scalars, key = KINDS[kind]
     raw = F.col("raw_text") if "raw_text" in partials.columns else F.lit(None).cast("string")
-    rows = partials.select("doc_id", "page", F.from_json("data", schema).alias("d"), "confidence", "tokens_used", "duration_ms", raw.alias("raw_text"))
+    place = F.struct(F.col("page").alias("number"), "part") if (parts := "part" in partials.columns) else F.col("page")
+    # Parts that could not be read tell nothing but their error.
+    told = F.col("error") if (failing := "error" in partials.columns) else F.lit(None).cast("string")
+    rows = partials.select("doc_id", place.alias("page"), F.from_json("data", schema).alias("d"), F.when(told.isNull(), F.col("confidence")).alias("confidence"), "tokens_used", "duration_ms", raw.alias("raw_text"), told.alias("error"))
     first = lambda c: F.min(F.when(F.trim(F.col(f"d.{c}")) != "", F.struct("page", F.col(f"d.{c}").alias("v")))).v.alias(c)
     items = F.when(F.size("d.items") > 0, F.struct("page", F.col("d.items").alias("items")))
     # By page alone: maps inside have no order.
@@ -64,15 +121,18 @@ def merged(partials: DataFrame, kind: str = "quote") -> DataFrame:
     texts = F.when(F.col("raw_text") != "", F.struct("page", "raw_text"))
     context = [F.min_by("d.context", F.when(F.size("d.context") > 0, F.col("page"))).alias("context")] if kind == "quote" else []
     out = rows.groupBy("doc_id").agg(
-        *[first(c) for c in scalars], *context, F.sum("tokens_used").alias("tokens_used"), F.sum("duration_ms").alias("duration_ms"), F.min("confidence").alias("confidence"), F.count("*").alias("pages"),
+        *[first(c) for c in scalars], *context, F.sum("tokens_used").alias("tokens_used"), F.sum("duration_ms").alias("duration_ms"), F.min("confidence").alias("confidence"), (F.count_distinct("page.number") if parts else F.count("*")).alias("pages"),
+        *([F.transform(in_order(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("page", "error")))), _skip(parts)).alias("skipped"), F.when(F.count_if(F.col("error").isNull()) > 0, "done").otherwise("failed").alias("status")] if failing else []),
         in_order(F.collect_list(items)).alias("_items"), in_order(F.collect_list(texts)).alias("_texts"), in_order(F.collect_list(F.struct("page", F.coalesce(F.size("d.items"), F.lit(0)).alias("n")))).alias("_sizes"),
     )
     keyed = F.transform(F.flatten(F.transform("_items", lambda p: p["items"])), lambda x: F.struct(F.concat_ws("\x01", *[F.coalesce(F.trim(x[c]), F.lit("")) for c in key]).alias("k"), x.alias("item")))
-    # The first item of each key: places of keys in the list of all keys.
-    distinct = lambda all_: F.transform(F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda y: y["k"]), x["k"]) == i + 1), lambda x: x["item"])
-    out = out.withColumn("_keyed", keyed).withColumn("items", distinct(F.col("_keyed")))
+    # The first item of each key, in order: keys are sorted with their places once; a list bound by a lambda is not built anew for each item.
+    bound = lambda x, f: F.transform(F.array(x), f)[0]
+    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"]))
+    in_place = lambda all_: F.array_sort(F.transform(bound(F.array_sort(F.transform(all_, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i")))), firsts), lambda x: x["i"]))
+    out = out.withColumn("items", bound(keyed, lambda all_: F.transform(in_place(all_), lambda i: F.get(all_, i)["item"])))
     out = out.withColumn("raw_text", F.array_join(F.transform("_texts", lambda p: p["raw_text"]), "\n---batch---\n")).withColumn("items_per_page", F.transform("_sizes", lambda p: F.greatest(p["n"], F.lit(0))))
-    return out.drop("_items", "_texts", "_keyed", "_sizes")
+    return out.drop("_items", "_texts", "_sizes")
 
 
 def cleaned_items(items: Column) -> Column:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions import text as T
 from bidloom.functions.numbers import alert, checked_line, deviation, rounded
 from bidloom.operators import baseline as B
+from bidloom.operators import changes as X
 from bidloom.operators import catalog as C
 from bidloom.operators import dashboard as D
 from bidloom.operators import extract as E
+from bidloom.operators import ingest as I
 from bidloom.operators import matrix as M
 from bidloom.operators import recommend as R
 from bidloom.operators import scoring as S
+from bidloom.sources import files
 from bidloom.sources.shared import shared_folder
 from bidloom.streaming import jobs as J
 
@@ -637,23 +642,29 @@ def events_by_day(d):
     return d._table("events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("type")).agg(F.count("*").alias("events"))
 
 
-@query()
+@query(""", e AS (SELECT user_id || '-' || event_id % 16 AS job_id, ts AS at, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'running' END AS status, floor(value)::INTEGER AS progress FROM events),
+mark AS (SELECT date_trunc('milliseconds', max(at)) - INTERVAL 2 DAY AS seen FROM e),
+heard AS (SELECT job_id, at, lead(at) OVER (PARTITION BY job_id ORDER BY at) AS following FROM e WHERE status = 'running'),
+silences AS (SELECT job_id, min(at) + INTERVAL 3 DAY AS silent FROM heard WHERE following IS NULL OR following > at + INTERVAL 3 DAY GROUP BY job_id),
+reports AS (SELECT job_id, min(at) AS told, arg_min(status, (at, status)) AS how FROM e WHERE status IN ('done', 'failed') GROUP BY job_id),
+ends AS (SELECT job_id, CASE WHEN told <= coalesce(silent, told) THEN told WHEN silent < seen THEN silent ELSE told END AS ended, CASE WHEN told <= coalesce(silent, told) THEN how WHEN silent < seen THEN 'failed' ELSE how END AS how
+  FROM (SELECT DISTINCT job_id FROM e) LEFT JOIN silences USING (job_id) LEFT JOIN reports USING (job_id), mark)
+SELECT job_id, coalesce(any_value(how), CASE WHEN bool_or(status = 'running') THEN 'running' ELSE 'pending' END) AS status, CASE any_value(how) WHEN 'done' THEN 100 ELSE coalesce(max(progress) FILTER (ended IS NULL OR at <= ended), 0) END::INTEGER AS progress,
+  epoch_us(coalesce(any_value(ended), max(at))) AS updated_us FROM e JOIN ends USING (job_id) GROUP BY job_id""")
 def streamed_job_states(d):
-    """Job states by a stateful stream over the events' files, read to their end."""
+    """Job states by a stateful stream over the events' files, read to their end: the last change of each job."""
     import uuid
 
-    from pyspark.sql.types import StructType
-
     spark, folder = d.spark, shared_folder(d.spark)
-    schema: StructType = d._table("events").schema
     # A stream reads folders; the filter keeps the one table, whether it is a file or a folder of files.
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d.sf_dir}/{{events.parquet,events.parquet}}")
-    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("running")
+    source = spark.readStream.schema(d._table("events").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d.sf_dir}/{{events.parquet,events.parquet}}")
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "pending").otherwise("running")
     events = source.select(F.concat_ws("-", "user_id", F.col("event_id") % 16).alias("job_id"), F.col("ts").cast("timestamp").alias("at"), status.alias("status"), F.floor("value").cast("int").alias("progress"))
     out = f"{folder}/states-{uuid.uuid4().hex}"
-    J.into_parquet(J.states(events), out, f"{folder}/stream-{uuid.uuid4().hex}", ["job_id", "updated_at", "status"]).start().awaitTermination()
+    spark.conf.set(*J.STORE)
+    J.into_parquet(J.states(events, "2 days", 3 * 1440, 400 * 1440), out, f"{folder}/stream-{uuid.uuid4().hex}", ["job_id", "change"]).start().awaitTermination()
     states = spark.read.schema(J.STATE).parquet(out)
-    return D.latest(states.withColumn("rank", F.struct("updated_at", "status")), ["job_id"], "rank").select("job_id", "status", "progress")
+    return D.latest(states, ["job_id"], "change").select("job_id", "status", "progress", F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query(f""" SELECT id, {r('abs(unit_price * quantity - total_price) / total_price', 4)} AS off FROM quotes WHERE unit_price IS NOT NULL AND quantity IS NOT NULL""")
@@ -665,3 +676,111 @@ def line_checks(d):
 def deviations(d):
     rows = B.bounds(valid(d, False), d.thresholds).withColumn("deviation_pct", rounded(deviation(F.col("unit_price"), F.col("ref_price_median")), 4))
     return rows.select("id", "deviation_pct", alert(F.col("deviation_pct"), F.col("yellow"), F.col("red")).alias("alert_level"))
+
+
+@query(""", feed AS (
+  SELECT id * 10 + 1 AS seq, 'update' AS op, id, NULL::VARCHAR AS name, id % 5 AS win_count FROM suppliers WHERE id % 4 = 0
+  UNION ALL SELECT id * 10 + 3, 'update', id, ' Renamed ' || id || ' ', NULL FROM suppliers WHERE id % 8 = 0
+  UNION ALL SELECT id * 10 + 4, 'update', id, 'Supplier#000000001', 7 FROM suppliers WHERE id % 12 = 0
+  UNION ALL SELECT id * 10 + 5, 'delete', id, NULL, NULL FROM suppliers WHERE id % 3 = 0
+  UNION ALL SELECT id * 10 + 7, 'update', id, NULL, 99 FROM suppliers WHERE id % 6 = 0
+  UNION ALL SELECT id * 10 + 8, 'update', id + 1000000, NULL, 1 FROM suppliers WHERE id % 10 = 1
+  UNION ALL SELECT 10000000 + p_partkey, 'insert', NULL, CASE WHEN p_partkey % 31 = 0 THEN '  ' WHEN p_partkey % 50 = 0 THEN 'Supplier#' || lpad((p_partkey // 50)::VARCHAR, 9, '0') ELSE '  ' || p_brand END, 1 FROM part),
+used AS (SELECT DISTINCT supplier_id FROM quotes WHERE quantity = 50 AND batch_id % 5 = 0),
+dead AS (SELECT f.id, f.seq FROM feed f JOIN suppliers s ON s.id = f.id WHERE op = 'delete' AND f.id NOT IN (SELECT supplier_id FROM used)),
+judged AS (SELECT f.*, CASE
+    WHEN op = 'insert' AND trim(f.name) = '' THEN 'blank'
+    WHEN op = 'insert' AND (trim(f.name) IN (SELECT name FROM suppliers) OR row_number() OVER (PARTITION BY op, trim(f.name) ORDER BY f.seq) > 1) THEN 'duplicate'
+    WHEN op <> 'insert' AND (f.id NOT IN (SELECT id FROM suppliers) OR EXISTS (SELECT 1 FROM dead WHERE dead.id = f.id AND dead.seq < f.seq)) THEN 'missing'
+    WHEN op = 'delete' AND f.id IN (SELECT supplier_id FROM used) THEN 'referenced'
+    WHEN op = 'update' AND EXISTS (SELECT 1 FROM suppliers o WHERE o.name = trim(f.name) AND o.id <> f.id) THEN 'duplicate' END AS reason FROM feed f),
+good AS (SELECT * FROM judged WHERE reason IS NULL),
+now AS (SELECT s.id, coalesce((SELECT arg_max(trim(name), seq) FROM good g WHERE g.id = s.id AND op = 'update' AND name IS NOT NULL), s.name) AS name,
+    coalesce((SELECT arg_max(win_count, seq) FROM good g WHERE g.id = s.id AND op = 'update' AND win_count IS NOT NULL), s.win_count) AS win_count FROM suppliers s WHERE s.id NOT IN (SELECT id FROM dead)
+  UNION ALL SELECT (SELECT max(id) FROM suppliers) + row_number() OVER (ORDER BY trim(name)), trim(name), win_count FROM good WHERE op = 'insert')
+SELECT 'row' AS kind, id, name, win_count, NULL::BIGINT AS seq, NULL AS reason FROM now
+UNION ALL SELECT 'reject', id, name, win_count, seq, reason FROM judged WHERE reason IS NOT NULL
+UNION ALL SELECT 'count', count(*), op, NULL, NULL, coalesce(reason, 'accepted') FROM judged GROUP BY op, reason""")
+def supplier_changes(d):
+    """A feed of inserts, updates and deletes: the table after it, what was rejected, and how many of each."""
+    s, part = d.suppliers.select("id", "name", F.col("win_count").cast("long").alias("win_count")), d._table("part")
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def change(rows, seq, op, key, name, count):
+        return rows.select(seq.cast("long").alias("seq"), F.lit(op).alias("op"), key.cast("long").alias("id"), name.alias("name"), count.cast("long").alias("win_count"))
+
+    key, parts = F.col("id"), F.col("p_partkey")
+    new = F.when(parts % 31 == 0, "  ").when(parts % 50 == 0, F.concat(F.lit("Supplier#"), F.lpad(F.expr("p_partkey div 50").cast("string"), 9, "0"))).otherwise(F.concat(F.lit("  "), "p_brand"))
+    feed = [
+        change(s.filter("id % 4 = 0"), key * 10 + 1, "update", key, null("string"), key % 5),
+        change(s.filter("id % 8 = 0"), key * 10 + 3, "update", key, F.concat(F.lit(" Renamed "), key, F.lit(" ")), null("long")),
+        change(s.filter("id % 12 = 0"), key * 10 + 4, "update", key, F.lit("Supplier#000000001"), F.lit(7)),
+        change(s.filter("id % 3 = 0"), key * 10 + 5, "delete", key, null("string"), null("long")),
+        change(s.filter("id % 6 = 0"), key * 10 + 7, "update", key, null("string"), F.lit(99)),
+        change(s.filter("id % 10 = 1"), key * 10 + 8, "update", key + 1_000_000, null("string"), F.lit(1)),
+        change(part, parts + 10_000_000, "insert", null("long"), new, F.lit(1)),
+    ]
+    out = X.applied(s, reduce(DataFrame.unionByName, feed), "name", ((d.quotes.filter("quantity = 50 AND batch_id % 5 = 0"), "supplier_id"),))
+    none = {"seq": null("long"), "reason": null("string")}
+    rows = out.table.select(F.lit("row").alias("kind"), "id", "name", "win_count").withColumns(none)
+    rejects = out.rejects.select(F.lit("reject").alias("kind"), "id", "name", "win_count", "seq", "reason")
+    counts = out.counts.select(F.lit("count").alias("kind"), F.col("n").alias("id"), F.col("op").alias("name"), null("long").alias("win_count"), null("long").alias("seq"), F.col("outcome").alias("reason"))
+    return rows.unionByName(rejects).unionByName(counts)
+
+
+@query(""", b AS (SELECT o_orderkey % 7 AS batch_id, o_orderkey AS seq, o_custkey AS project_id, o_orderstatus AS kind, o_totalprice AS amount FROM orders WHERE o_orderkey % 7 > 0),
+done AS (SELECT DISTINCT o_custkey AS project_id, o_orderstatus AS kind FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 3 = 0)
+SELECT project_id, kind, batch_id, seq, amount FROM (SELECT *, row_number() OVER (PARTITION BY project_id, kind ORDER BY batch_id, seq) AS n FROM b) WHERE n = 1 AND (project_id, kind) NOT IN (SELECT (project_id, kind) FROM done)""")
+def batch_winners(d):
+    """Of keys that several batches insert, the row of the first batch; keys confirmed before stay."""
+    o = d._table("orders").select((F.col("o_orderkey") % 7).alias("batch_id"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("project_id"), F.col("o_orderstatus").alias("kind"), F.col("o_totalprice").alias("amount"))
+    done = o.filter("batch_id = 0 AND project_id % 3 = 0").select("project_id", "kind").distinct()
+    return X.winners(o.filter("batch_id > 0"), ["project_id", "kind"], done).select("project_id", "kind", "batch_id", "seq", "amount")
+
+
+@query(r""", n AS (SELECT DISTINCT CASE id % 5 WHEN 0 THEN upper(name) || ' ' WHEN 1 THEN substr(name, 10) WHEN 2 THEN '甲' || name || '公司' WHEN 3 THEN substr(name, length(name)) ELSE 'x' || id END AS name FROM suppliers)
+SELECT n.name, min(s.id) AS supplier_id FROM n JOIN suppliers s ON lower(regexp_replace(n.name, '\s', '', 'g')) = lower(regexp_replace(s.name, '\s', '', 'g')) OR contains(n.name, s.name) OR contains(s.name, n.name) WHERE n.name <> '' GROUP BY n.name""")
+def matched_supplier_names(d):
+    """Names read from documents, with the first supplier of an equal, longer or shorter name."""
+    key, name = F.col("id"), F.col("name")
+    read = F.when(key % 5 == 0, F.concat(F.upper(name), F.lit(" "))).when(key % 5 == 1, F.substring(name, 10, 99)).when(key % 5 == 2, F.concat(F.lit("甲"), name, F.lit("公司"))).when(key % 5 == 3, F.substring(name, -1, 1)).otherwise(F.concat(F.lit("x"), key))
+    return C.matched_suppliers(d.suppliers.select(read.alias("name")), d.suppliers)
+
+
+SHEET_HEAD = "序号,名称,规格型号,品牌,单位,含税单价,数量,供应商,备注"
+
+
+def _sheet(d: Domain) -> str:
+    """The parts as a sheet of one file, as people write them: names over two lines, quotes in cells, blank lines, prices that are none."""
+    import uuid
+
+    key = F.col("p_partkey")
+    name = F.when(key % 29 == 0, "").otherwise(F.concat(F.lit('"'), F.when(key % 3 == 0, F.regexp_replace("p_name", "^([^ ]*) ", "$1\n")).otherwise(F.col("p_name")), F.lit('"')))
+    spec = F.when(key % 6 < 4, F.concat(F.lit("S"), "p_size")).otherwise("")
+    price = F.when(key % 11 == 0, "abc").when(key % 13 == 0, "-10").when(key % 4 == 0, F.regexp_replace(F.format_string('"%.2f"', "p_retailprice"), r"\.", ",")).otherwise(F.format_string("%.2f", "p_retailprice"))
+    supplier = F.when(key % 4 == 0, F.concat(F.lit("Supplier#"), F.lpad((key % 9 + 1).cast("string"), 9, "0"))).when(key % 4 == 1, F.concat(F.lit(" N"), key % 7)).otherwise("")
+    end = F.when(key % 50 == 0, "\n \n").otherwise("")
+    line = F.concat_ws(",", key, name, spec, "p_brand", F.lit("m"), price, key % 9 + 1, supplier, F.concat(F.lit('"说 ""好"", '), key, F.lit('"'), end))
+    path = f"{shared_folder(d.spark)}/sheet-{uuid.uuid4().hex}"
+    head = d.spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit("\ufeff" + SHEET_HEAD).alias("value"))
+    head.unionByName(d._table("part").select(key.alias("k"), line.alias("value"))).orderBy("k").select("value").coalesce(1).write.text(path)
+    return path
+
+
+@query(f""", sheet AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS line_no, CASE WHEN p_partkey % 29 > 0 THEN upper(p_name) END AS name, CASE WHEN p_partkey % 6 < 4 THEN 'S' || p_size ELSE '' END AS spec, p_brand AS brand,
+    CASE WHEN p_partkey % 11 > 0 AND p_partkey % 13 > 0 THEN round(p_retailprice, 2) END AS unit_price, (p_partkey % 9 + 1)::DOUBLE AS quantity,
+    CASE p_partkey % 4 WHEN 0 THEN 'Supplier#' || lpad((p_partkey % 9 + 1)::VARCHAR, 9, '0') WHEN 1 THEN 'N' || (p_partkey % 7) END AS supplier FROM part),
+good AS (SELECT * FROM sheet WHERE name IS NOT NULL),
+old AS (SELECT 0 AS origin, id AS seq, upper(standard_name) AS name, 'S' || spec AS spec FROM materials WHERE id % 2 = 0),
+every AS (SELECT * FROM old UNION ALL SELECT 1, line_no, name, spec FROM good),
+keyed AS (SELECT *, CASE WHEN spec <> '' THEN min((origin, seq)) OVER (PARTITION BY name, spec) ELSE min((origin, seq)) OVER (PARTITION BY name ORDER BY origin, seq) END AS k FROM every),
+fresh AS (SELECT supplier, (SELECT max(id) FROM suppliers) + row_number() OVER (ORDER BY supplier) AS id FROM (SELECT DISTINCT supplier FROM good WHERE supplier IS NOT NULL AND supplier NOT IN (SELECT name FROM suppliers))),
+ids AS (SELECT name AS supplier, min(id) AS id FROM suppliers GROUP BY name UNION ALL SELECT supplier, id FROM fresh)
+SELECT g.line_no::INTEGER AS line_no, g.name AS standard_name, g.spec, unit_price, quantity, floor(unit_price * quantity * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS total_price, ids.id AS supplier_id,
+  CASE WHEN k[1] = 0 THEN k[2] END AS material_id, CASE WHEN k[1] = 1 THEN k[2] END::INTEGER AS new_from_line, coalesce(t.tier, '') AS brand_tier
+FROM good g JOIN keyed ON origin = 1 AND seq = line_no LEFT JOIN ids ON ids.supplier = g.supplier LEFT JOIN brand_tiers t ON t.brand_name = g.brand AND t.category IS NULL""")
+def imported_sheet(d):
+    """A sheet from its file to quotes with supplier, material and tier."""
+    materials = d.materials.filter("id % 2 = 0").select("id", F.upper("standard_name").alias("standard_name"), F.concat(F.lit("S"), "spec").alias("spec"), F.lit("阀门").alias("category"))
+    quotes, _, _ = I.imported(files.sheet_with_header(d.spark, _sheet(d)), materials, d.suppliers, d.brand_tiers, "阀门", "IMP-1")
+    return quotes.select("line_no", "standard_name", F.coalesce("spec", F.lit("")).alias("spec"), "unit_price", "quantity", "total_price", "supplier_id", "material_id", "new_from_line", "brand_tier")

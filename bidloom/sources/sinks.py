@@ -5,7 +5,7 @@ from __future__ import annotations
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an exported quote sheet.
@@ -17,6 +17,43 @@ def overwritten(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def swapped(df: DataFrame, path: str) -> None:
+    """``df`` in the place of the folder ``path``, which it may read: written beside it, then put there by two renames.
+
+    A run that dies in between leaves the new or the old folder beside; the next call, or ``settled``, puts it back.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs, place = _file_system(spark, path)
+    (_, new), (_, old) = _file_system(spark, f"{path}.new"), _file_system(spark, f"{path}.old")
+    fs.delete(old, True)
+    if fs.exists(place):
+        fs.rename(place, old)
+    if not fs.rename(new, place):
+        raise OSError(f"{path}.new can't be renamed")
+    fs.delete(old, True)
+
+
+def settled(spark: SparkSession, path: str) -> None:
+    """After a run that died: a whole new folder takes its place, else the old one comes back."""
+    fs, place = _file_system(spark, path)
+    (_, new), (_, old), (_, done) = (_file_system(spark, f"{path}{end}") for end in (".new", ".old", ".new/_SUCCESS"))
+    if not fs.exists(place):
+        fs.rename(new if fs.exists(done) else old, place)
+    for left in (new, old):
+        fs.delete(left, True)
+
+
+def staged(df: DataFrame, path: str, batch_id: str) -> None:
+    """A batch's rows beside those of other batches; a batch that comes again takes its own place."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

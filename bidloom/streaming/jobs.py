@@ -4,44 +4,87 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-#: Order of a job's states; a job never goes back, except from failed to a retry.
-RANK = {"pending": 0, "running": 1, "done": 2, "failed": 2}
-STATE = "job_id string, status string, progress int, updated_at timestamp"
-
-
-def states(events: DataFrame, late: str = "1 hour", stuck_minutes: int = 5) -> DataFrame:
-    """Stream of job events (job_id, at, status, progress) to the jobs' changing states.
-
-    Progress never falls; a running job without events for ``stuck_minutes`` of event
-    time fails. State is one small row a job and ends with the job.
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from . import stories
+from .stories import Story
+
+STATE = "job_id string, status string, progress int, updated_at timestamp, was string, changed_at timestamp, change int"
+#: A job's state is kept by RocksDB: what a batch does not touch is not in memory.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+MICROS, MINUTE = 1_000, 60_000_000
+
+
+class JobStates(StatefulProcessor):
+    """One value state a job and one timer, set to the time at which the watermark decides its end, then to the end of its keeping."""
+
+    def __init__(self, stuck: int, keep: int):
+        self.stuck, self.keep = stuck, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("story", stories.STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        story = Story.of(self.state.get())
+        final = story.last_at is not None and story.now(self._watermark(timerValues), self.stuck)[3]
+        for r in rows:
+            if not final:
+                story.add(r.micros, r.status, r.progress, self.stuck)
+        return self._told(key, story, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        story = Story.of(self.state.get())
+        story.timer = None
+        _, _, at, final = story.now(watermark := self._watermark(timerValues), self.stuck)
+        if final and at + self.keep < watermark:
+            self.state.clear()
+            return iter(())
+        return self._told(key, story, timerValues)
+
+    @staticmethod
+    def _watermark(timerValues) -> int:
+        return timerValues.getCurrentWatermarkInMs() * MICROS
+
+    def _told(self, key, story: Story, timerValues) -> Iterator[Row]:
+        status, progress, at, final = story.now(self._watermark(timerValues), self.stuck)
+        due = at + self.keep if final else story.deadline(self.stuck)
+        timer = None if due is None else due // MICROS + 1
+        if timer != story.timer:
+            if story.timer is not None:
+                self.handle.deleteTimer(story.timer)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            story.timer = timer
+        told, now = story.told, f"{status} {progress} {at}"
+        was, since = (told.split(" ")[0], int(told.split(" ")[2])) if told else (None, None)
+        story.told, story.changes = now, story.changes + (now != told)
+        self.state.update(story.row())
+        if now != told:
+            yield Row(job_id=key[0], status=status, progress=progress, micros=at, was=was, since=since, change=story.changes)
+
+    def close(self) -> None:
+        pass
+
+
+def states(events: DataFrame, late: str = "1 hour", stuck_minutes: int = 5, keep_minutes: int = 1440) -> DataFrame:
+    """Stream of job events (job_id, at, status, progress) to the jobs' changes of state, numbered, with the state before and its time.
+
+    A job that has ended, by the earliest report of it or by silence, stays as it ended:
+    reports of a later time change nothing, nor do repeats, and the order in which events
+    come does not matter as long as they come within ``late``. A running job that is
+    silent for ``stuck_minutes`` of event time fails at the end of that time, once the
+    watermark has passed it; a pending one may wait. Progress never falls, is the greatest
+    told up to the end, and 100 when done. The state of an ended job is kept for
+    ``keep_minutes`` after its end. A job whose id is null is a job. Events without a
+    time, or with a null status, tell nothing. The session's state store must be ``STORE``.
     """
-
-    def each(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, progress, at = state.get if state.exists else ("pending", 0, pd.Timestamp(0))
-        at = pd.Timestamp(at)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], "failed", progress, at)], columns=["job_id", "status", "progress", "updated_at"])
-            return
-        for batch in rows:
-            for e in batch.sort_values("at").itertuples():
-                if RANK.get(e.status, 0) >= RANK[status] or status == "failed":
-                    status = e.status
-                progress, at = max(progress, int(e.progress)), max(at, e.at)
-        if RANK[status] == 2:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((status, progress, at.to_pydatetime()))
-            state.setTimeoutTimestamp(max(int(at.timestamp() * 1000), state.getCurrentWatermarkMs()) + stuck_minutes * 60_000)
-        yield pd.DataFrame([(key[0], status, progress, at)], columns=["job_id", "status", "progress", "updated_at"])
-
-    return events.withWatermark("at", late).groupBy("job_id").applyInPandasWithState(each, STATE, "status string, progress int, at timestamp", "update", GroupStateTimeout.EventTimeTimeout)
+    rows = events.filter("at IS NOT NULL AND status IS NOT NULL").select("job_id", F.col("at").cast("timestamp").alias("at"), F.unix_micros(F.col("at").cast("timestamp")).alias("micros"), "status", F.col("progress").cast("int").alias("progress"))
+    processor = JobStates(stuck_minutes * MINUTE, keep_minutes * MINUTE)
+    told = rows.withWatermark("at", late).groupBy("job_id").transformWithState(processor, "job_id string, status string, progress int, micros long, was string, since long, change int", "Update", "EventTime")
+    return told.select("job_id", "status", "progress", F.timestamp_micros("micros").alias("updated_at"), "was", F.timestamp_micros("since").alias("changed_at"), "change")
 
 
 def created_once(uploads: DataFrame, within: str = "1 day") -> DataFrame:
