@@ -642,15 +642,15 @@ def events_by_day(d):
     return d._table("events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("type")).agg(F.count("*").alias("events"))
 
 
-@query(""", e AS (SELECT user_id || '-' || event_id % 16 AS job_id, ts AS at, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'running' END AS status, floor(value)::INTEGER AS progress FROM events),
-mark AS (SELECT date_trunc('milliseconds', max(at)) - INTERVAL 2 DAY AS seen FROM e),
-heard AS (SELECT job_id, at, lead(at) OVER (PARTITION BY job_id ORDER BY at) AS following FROM e WHERE status = 'running'),
-silences AS (SELECT job_id, min(at) + INTERVAL 3 DAY AS silent FROM heard WHERE following IS NULL OR following > at + INTERVAL 3 DAY GROUP BY job_id),
-reports AS (SELECT job_id, min(at) AS told, arg_min(status, (at, status)) AS how FROM e WHERE status IN ('done', 'failed') GROUP BY job_id),
+@query(""", e AS (SELECT user_id || '-' || event_id % 16 AS job_id, ts AS came, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'running' END AS status, floor(value)::INTEGER AS progress FROM events),
+mark AS (SELECT date_trunc('milliseconds', max(came)) - INTERVAL 2 DAY AS seen FROM e),
+heard AS (SELECT job_id, came, lead(came) OVER (PARTITION BY job_id ORDER BY came) AS following FROM e WHERE status = 'running'),
+silences AS (SELECT job_id, min(came) + INTERVAL 3 DAY AS silent FROM heard WHERE following IS NULL OR following > came + INTERVAL 3 DAY GROUP BY job_id),
+reports AS (SELECT job_id, min(came) AS told, arg_min(status, (came, status)) AS how FROM e WHERE status IN ('done', 'failed') GROUP BY job_id),
 ends AS (SELECT job_id, CASE WHEN told <= coalesce(silent, told) THEN told WHEN silent < seen THEN silent ELSE told END AS ended, CASE WHEN told <= coalesce(silent, told) THEN how WHEN silent < seen THEN 'failed' ELSE how END AS how
   FROM (SELECT DISTINCT job_id FROM e) LEFT JOIN silences USING (job_id) LEFT JOIN reports USING (job_id), mark)
-SELECT job_id, coalesce(any_value(how), CASE WHEN bool_or(status = 'running') THEN 'running' ELSE 'pending' END) AS status, CASE any_value(how) WHEN 'done' THEN 100 ELSE coalesce(max(progress) FILTER (ended IS NULL OR at <= ended), 0) END::INTEGER AS progress,
-  epoch_us(coalesce(any_value(ended), max(at))) AS updated_us FROM e JOIN ends USING (job_id) GROUP BY job_id""")
+SELECT job_id, coalesce(any_value(how), CASE WHEN bool_or(status = 'running') THEN 'running' ELSE 'pending' END) AS status, CASE any_value(how) WHEN 'done' THEN 100 ELSE coalesce(max(progress) FILTER (ended IS NULL OR came <= ended), 0) END::INTEGER AS progress,
+  epoch_us(coalesce(any_value(ended), max(came))) AS updated_us FROM e JOIN ends USING (job_id) GROUP BY job_id""")
 def streamed_job_states(d):
     """Job states by a stateful stream over the events' files, read to their end: the last change of each job."""
     import uuid
