@@ -45,11 +45,11 @@ from .common import Saved, quoted
 
 K = 10
 #: Terms of a run, repeats included.
-RUN = 1 << 18
+RUN = 1 << 17
 #: Different pairs of item and term of a batch of items, about.
 BATCH = 1 << 18
 #: Bytes of a row group of the index: a task holds one of them at a time.
-ROW_GROUP = 32 << 20
+ROW_GROUP = 8 << 20
 #: Impacts that open the first tiers, as shares of the greatest possible one.
 CUTS = (1 / 4, 1 / 16)
 #: What is part of a term: digits, letters, all beyond ASCII. Only A-Z are folded.
