@@ -45,11 +45,11 @@ from .common import Saved, quoted
 
 K = 10
 #: Terms of a run, repeats included.
-RUN = 1 << 17
+RUN = 1 << 16
 #: Different pairs of item and term of a batch of items, about.
 BATCH = 1 << 18
-#: Bytes of a row group of the index: a task holds one of them at a time.
-ROW_GROUP = 8 << 20
+#: How the index is written: small row groups, of which a task holds one at a time, and packed numbers as they are.
+AS_IT_IS = {"parquet.block.size": 4 << 20, "parquet.enable.dictionary": "false", "compression": "uncompressed"}
 #: Impacts that open the first tiers, as shares of the greatest possible one.
 CUTS = (1 / 4, 1 / 16)
 #: What is part of a term: digits, letters, all beyond ASCII. Only A-Z are folded.
@@ -163,7 +163,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_s
     columns = ["terms", "df", "tops", *[c for t in range(1, tiers + 1) for c in tier_columns(t)]]
     schema = "run long, ids array<long>, " + ", ".join(f"{c} binary" for c in columns)
     arrow = pa.schema([("run", pa.int64()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in columns]])
-    return Index(Saved(rows.mapInArrow(_runs(*total, run_size, cuts, arrow), schema), options={"parquet.block.size": ROW_GROUP}), total[0], tiers)
+    return Index(Saved(rows.mapInArrow(_runs(*total, run_size, cuts, arrow), schema), options=AS_IT_IS), total[0], tiers)
 
 
 def item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
