@@ -68,26 +68,42 @@ def code_prefix(profession: Column, category: Column) -> Column:
     return F.concat_ws("-", F.coalesce(F.element_at(table(PROFESSION_ABBREVIATIONS), profession), F.lit("OT")), F.coalesce(F.element_at(table(CATEGORY_ABBREVIATIONS), category), F.lit("GEN")))
 
 
+def code_text(number: Column) -> Column:
+    """A number of a code: five digits at least."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= 5, text).otherwise(F.lpad(text, 5, "0"))
+
+
 def coded(new: DataFrame, existing: DataFrame, prefix: str = "prefix", code: str = "material_code", order: list[str] | None = None) -> DataFrame:
-    """``new`` with the next codes of their prefix: PP-CCC-00001 on, after the largest number in use."""
+    """``new`` with the next codes of their prefix: PP-CCC-00001 on, after the largest number in use.
+
+    All rows are numbered in range partitions by prefix and ``order``; a row's number in
+    its prefix follows from the prefix's first one, so a prefix may have any share of the rows.
+    """
     used = existing.select(F.regexp_extract(code, r"^(.*)-[0-9]+$", 1).alias(prefix), F.regexp_extract(code, r"([0-9]+)$", 1).try_cast("long").alias("_n")).groupBy(prefix).agg(F.max("_n").alias("_n"))
-    n = F.row_number().over(Window.partitionBy(prefix).orderBy(*(order or new.columns))) + F.coalesce("_n", F.lit(0))
-    out = new.join(used, prefix, "left").withColumn("_k", n)
-    return out.withColumn(code, F.concat_ws("-", prefix, F.when(F.length(F.col("_k").cast("string")) >= 5, F.col("_k").cast("string")).otherwise(F.lpad(F.col("_k").cast("string"), 5, "0")))).drop("_n", "_k")
+    rows = placed(new, [prefix, *(order or [c for c in new.columns if c != prefix])])
+    first = rows.groupBy(prefix).agg(F.min("_k").alias("_first")).join(used, prefix, "left")
+    number = F.col("_k") - F.col("_first") + 1 + F.coalesce("_n", F.lit(0))
+    return rows.join(first, prefix).withColumn(code, F.concat_ws("-", prefix, code_text(number))).drop("_n", "_k", "_first")
 
 
-#: New names that are numbered in one window.
+#: Rows that are numbered in one window.
 NAMES = 100_000
 
 
-def numbered(names: DataFrame, name: str) -> DataFrame:
-    """Distinct ``names`` with ``_k``, their place in order from 1: in range partitions, which are numbered in turn."""
-    parts = max(1, -(-names.count() // NAMES))
-    ranged = saved(names.select(name).repartitionByRange(parts, name).withColumn("_p", F.spark_partition_id()))
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``_k``, their place by ``order`` from 1: in range partitions, which are numbered in turn. Rows that tie in ``order`` have any of their places."""
+    parts = max(1, -(-rows.count() // NAMES))
+    ranged = saved(rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # one row a partition
     sizes = sizes.select("_p", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(name))
-    return ranged.join(sizes, "_p").select(name, (place + F.col("_before")).alias("_k"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.join(sizes, "_p").withColumn("_k", (place + F.col("_before")).cast("long")).drop("_p", "_before")
+
+
+def numbered(names: DataFrame, name: str) -> DataFrame:
+    """Distinct ``names`` with ``_k``, their place in order from 1."""
+    return placed(names.select(name), [name])
 
 
 def get_or_create(names: DataFrame, existing: DataFrame, name: str = "name") -> DataFrame:

@@ -205,15 +205,21 @@ def latest_job(jobs: DataFrame) -> DataFrame:
     return first_by(live, ["file_hash", "type", "context"], ["_age", "id"]).select(*jobs.columns)
 
 
-#: What of a job's context tells uploads of the same bytes apart.
+#: What of a job's context tells uploads of the same bytes apart, by name; ids are numbers.
 CONTEXT_KEYS = ("category", "project_id", "supplier_id")
 
 
 def context_hash(context: Column) -> Column:
-    """16 hex digits of what a context map says of the category, project and supplier, whatever its order; 'noctx' if nothing."""
-    said = [F.when(F.element_at(context, k) != "", F.concat_ws("=", F.lit(k), F.element_at(context, k))) for k in CONTEXT_KEYS]
-    whole = F.concat_ws("\x01", *said)
-    return F.when(F.coalesce(whole, F.lit("")) == "", "noctx").otherwise(F.substring(F.sha2(whole, 256), 1, 16))
+    """16 hex digits of the JSON of what a context map says of the category, project and supplier; 'noctx' if nothing.
+
+    The JSON has the keys in order, a blank after each comma and colon, ids that are whole
+    numbers bare, and letters as they are.
+    """
+    quoted = lambda v: F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1)
+    bare = lambda k, v: F.when(v.rlike("^(0|-?[1-9][0-9]*)$") & F.lit(k.endswith("_id")), v).otherwise(quoted(v))
+    said = [F.when(F.element_at(context, k) != "", F.concat(F.lit(f'"{k}": '), bare(k, F.element_at(context, k)))) for k in CONTEXT_KEYS]
+    whole = F.concat_ws(", ", *said)
+    return F.when(F.coalesce(whole, F.lit("")) == "", "noctx").otherwise(F.substring(F.sha2(F.concat(F.lit("{"), whole, F.lit("}")), 256), 1, 16))
 
 
 ALIGNMENT = "groups array<struct<suggested_name:string,suggested_spec:string,confidence:string,reason:string,items:array<struct<quote_id:bigint,supplier_id:bigint,action:string>>>>, field_fixes array<struct<quote_id:string,field:string,current:double,suggested:double,confidence:string,reason:string>>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidloom.functions.constants import COLUMN_PATTERNS, PROFESSIONS
@@ -88,5 +88,7 @@ def imported(
     return quotes, new, summary
 
 
-def batch_name(prefix: str, now: str):
-    return F.concat_ws("-", F.lit(prefix), F.date_format(F.lit(now).cast("timestamp"), "yyyyMMdd"), F.date_format(F.lit(now).cast("timestamp"), "HHmmss"))
+def batch_name(prefix: str, now: str | Column) -> Column:
+    """A batch's name by its prefix and time (a text or a column): IMP-yyyymmdd-hhmmss."""
+    at = (F.lit(now) if isinstance(now, str) else now).cast("timestamp")
+    return F.concat_ws("-", F.lit(prefix), F.date_format(at, "yyyyMMdd"), F.date_format(at, "HHmmss"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bidloom.functions import text as T
 from bidloom.functions.numbers import alert, checked_line, deviation, rounded
 from bidloom.operators import baseline as B
+from bidloom.operators import bulk
 from bidloom.operators import changes as X
 from bidloom.operators import catalog as C
 from bidloom.operators import dashboard as D
@@ -784,3 +785,59 @@ def imported_sheet(d):
     materials = d.materials.filter("id % 2 = 0").select("id", F.upper("standard_name").alias("standard_name"), F.concat(F.lit("S"), "spec").alias("spec"), F.lit("阀门").alias("category"))
     quotes, _, _ = I.imported(files.sheet_with_header(d.spark, _sheet(d)), materials, d.suppliers, d.brand_tiers, "阀门", "IMP-1")
     return quotes.select("line_no", "standard_name", F.coalesce("spec", F.lit("")).alias("spec"), "unit_price", "quantity", "total_price", "supplier_id", "material_id", "new_from_line", "brand_tier")
+
+
+#: The manifest of the sheets that ``_history_sheets`` writes.
+MANIFEST = [
+    ("pumps", "汇总", "潜水泵", 5), ("pumps2", "三期", "潜水泵", 9), ("tanks", "四期", "水箱", 3), ("chilled", "Sheet1", "空调泵", 3), ("boxes", "一期", "配电箱", 3), ("boxes2", "二期投标", "配电箱", 3),
+]
+
+
+def _history_sheets(d: Domain) -> str:
+    """The parts as sheets of several layouts, a file each."""
+    import uuid
+
+    key, part = F.col("p_partkey"), d._table("part")
+    price = F.format_string("%.2f", "p_retailprice")
+
+    def sheet(csv, rows, cells, line=0):
+        return rows.select(csv.alias("csv"), (key * 10 + line).alias("k"), F.concat_ws(",", *cells).alias("value"))
+
+    blank = F.lit("")
+    pumps = [key, F.col("p_name"), F.concat(F.lit("W"), "p_size"), blank, blank, blank, blank, key % 5, F.lit("13%"), price, blank, F.col("p_brand"), F.lit('"a, b"')]
+    tanks = [key, F.when(key % 3 == 0, "").otherwise(F.col("p_name")), F.concat(F.lit("T"), "p_size"), F.lit("台"), key % 5 + 1, F.lit('"1,5"'), blank, blank, blank, price, blank, F.when(key % 7 == 0, "123").otherwise(F.col("p_brand")), F.lit("304"), F.lit('"x\ny"')]
+    chilled = [F.when(key % 50 == 2, "设备名称").otherwise(F.col("p_name")), F.concat(F.lit("A"), "p_size"), *[blank] * 4, key % 3, F.lit("13%"), price, blank, F.col("p_brand"), F.lit("r")]
+    box = F.when(key % 8 == 3, "boxes").otherwise("boxes2")
+    heads = d.spark.createDataFrame([("pumps", "序号"), ("pumps2", "序号"), ("tanks", "序号"), ("chilled", "设备"), ("chilled", "名称")], "csv string, value string").select("csv", F.lit(-1).cast("long").alias("k"), "value")
+    rows = [
+        sheet(F.lit("pumps"), part.filter(key % 4 == 0), pumps), sheet(F.lit("pumps2"), part.filter(key % 40 == 0), pumps), sheet(F.lit("tanks"), part.filter(key % 4 == 1), tanks), sheet(F.lit("chilled"), part.filter(key % 4 == 2), chilled),
+        sheet(box, part.filter(key % 4 == 3), [F.concat(F.lit("1-"), key), F.concat(F.lit("AL"), key), F.col("p_name")]), sheet(box, part.filter(key % 4 == 3), [F.lit("断路器,x,y,5")], 1), sheet(box, part.filter(key % 4 == 3), [F.lit("单台合计,,,0"), price, F.lit("9")], 2),
+    ]
+    path = f"{shared_folder(d.spark)}/history-{uuid.uuid4().hex}"
+    # One file a sheet, its lines in order.
+    reduce(DataFrame.unionByName, [heads, *rows]).repartition(1).sortWithinPartitions("csv", "k").select("csv", "value").write.partitionBy("csv").text(path)
+    return path
+
+
+@query(""", rows AS (
+  SELECT 6 AS place, p_partkey AS k, '潜水泵' AS category, p_name AS name, 'W' || p_size AS spec, '' AS material_type, '' AS unit, p_brand AS brand, p_retailprice AS unit_price, NULL::DOUBLE AS excl, nullif(p_partkey % 5, 0)::DOUBLE AS quantity, 'a, b' AS remark, NULL AS project FROM part WHERE p_partkey % 4 = 0
+  UNION ALL SELECT 5, p_partkey, '水箱', CASE WHEN p_partkey % 3 > 0 THEN p_name END, 'T' || p_size, '304', '台', CASE WHEN p_partkey % 7 > 0 THEN p_brand ELSE '' END, p_retailprice / (p_partkey % 5 + 1), 1.5, p_partkey % 5 + 1, 'x' || chr(10) || 'y', NULL FROM part WHERE p_partkey % 4 = 1
+  UNION ALL SELECT 8, p_partkey, '空调泵', p_name, 'A' || p_size, '', '', p_brand, p_retailprice, NULL, nullif(p_partkey % 3, 0), 'r', NULL FROM part WHERE p_partkey % 4 = 2 AND p_partkey % 50 <> 2
+  UNION ALL SELECT 9, p_partkey, '配电箱', 'AL' || p_partkey || ' ' || p_name, '', '', '台', '', p_retailprice, NULL, NULL, '', CASE WHEN p_partkey % 8 = 3 THEN '一期' ELSE '二期投标' END FROM part WHERE p_partkey % 4 = 3),
+placed AS (SELECT *, row_number() OVER (ORDER BY place, project = '二期投标', k) AS id, row_number() OVER (PARTITION BY place ORDER BY project = '二期投标', k) AS n FROM rows),
+makers AS (SELECT brand, row_number() OVER (ORDER BY brand) AS id FROM (SELECT DISTINCT brand FROM rows WHERE brand <> ''))
+SELECT 'row' AS kind, id, CASE place WHEN 6 THEN 'WS-SMP-' WHEN 5 THEN 'WS-WTK-' WHEN 8 THEN 'HV-ACP-' ELSE 'EL-PDB-' END || lpad(n::VARCHAR, 5, '0') AS code, coalesce(name, category) AS name, category, CASE WHEN name IS NULL THEN '未分类' ELSE '其他' END AS sub_category, spec, material_type, unit, brand,
+  CASE project WHEN '一期' THEN 1 END::BIGINT AS project_id, unit_price, excl, quantity, remark FROM placed
+UNION ALL SELECT 'supplier', id, NULL, brand, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM makers
+UNION ALL SELECT 'project', i, NULL, ['一期', '三期', '四期'][i], NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM range(1, 4) p(i)""")
+def history_loaded(d):
+    """Sheets of several layouts loaded to projects, suppliers, materials and quotes."""
+    import uuid
+
+    lines = files.raw_lines(d.spark, _history_sheets(d)).withColumn("csv", F.regexp_extract("path", "csv=([^/]+)/", 1))
+    entries = d.spark.createDataFrame(MANIFEST, "csv string, sheet string, category string, rows int")
+    got = bulk.loaded(d.spark, lines, entries, f"{shared_folder(d.spark)}/loaded-{uuid.uuid4().hex}")
+    m, q = got["materials"], got["quotes"].select("id", "project_id", "unit_price", F.col("unit_price_excl_tax").alias("excl"), "quantity", "remark")
+    rows = m.join(q, "id").select(F.lit("row").alias("kind"), "id", F.col("material_code").alias("code"), F.col("standard_name").alias("name"), "category", "sub_category", "spec", "material_type", "unit", "brand", "project_id", "unit_price", "excl", "quantity", "remark")
+    names = [got[t].select(F.lit(k).alias("kind"), "id", "name") for t, k in (("suppliers", "supplier"), ("projects", "project"))]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows, *names])

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import lists  # noqa: F401  registers its queries
 from .queries import ORACLES, QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -120,3 +120,31 @@ def test_upserts_take_the_last_of_equal_keys(spark):
     table = spark.createDataFrame([("a", None, 1)], "brand string, category string, tier long")
     rows = spark.createDataFrame([("a", None, 2, 5), ("a", None, 9, 3), ("b", "c", 7, 1)], "brand string, category string, tier long, at long")
     assert sorted(map(str, catalog.upserted(table, rows, ["brand", "category"], "at").collect())) == sorted(map(str, spark.createDataFrame([("a", None, 2), ("b", "c", 7)], table.schema).collect()))
+
+
+def test_codes_of_a_prefix_that_has_most_rows(spark, monkeypatch):
+    """Ranges cut through a prefix; numbers go on over them."""
+    monkeypatch.setattr(catalog, "NAMES", 50)
+    rows = spark.createDataFrame([("P" if k % 9 else "Q", k) for k in range(400)], "prefix string, k long")
+    used = spark.createDataFrame([("Q-00007",), ("Q-99998",), ("x",)], "material_code string")
+    got = {r.k: r.material_code for r in catalog.coded(rows, used, order=["k"]).collect()}
+    p, q = [k for k in range(400) if k % 9], [k for k in range(400) if k % 9 == 0]
+    assert got == {k: f"P-{n + 1:05d}" for n, k in enumerate(p)} | {k: f"Q-{n + 99999:05d}" for n, k in enumerate(q)}
+
+
+def test_a_load_that_died_goes_on_with_the_same_numbers(spark, tmp_path):
+    import shutil
+
+    from bidloom.operators import bulk
+
+    lines = [("a", n, [str(n), f"泵{n}", "W", "", "", "", "", "2", "", "10", "", f"b{n % 3}", ""]) for n in range(1, 8)] + [("b", n, ["x", "", "", ""]) for n in range(1)] + [("b", 1, ["1-1", "AL", "箱"]), ("b", 2, ["总计", "", "", "7"])]
+    df = spark.createDataFrame(lines, "csv string, line_no int, cells array<string>")
+    entries = spark.createDataFrame([("a", "汇总", "潜水泵", 7), ("b", "一期", "配电箱", 2)], "csv string, sheet string, category string, rows int")
+    first = {t: sorted(map(str, f.collect())) for t, f in bulk.loaded(spark, df, entries, f"{tmp_path}/out").items()}
+    assert {t: len(r) for t, r in first.items()} == {"projects": 1, "suppliers": 3, "materials": 8, "quotes": 8}
+    for t in ("materials", "quotes"):
+        shutil.rmtree(tmp_path / "out" / t)
+    (tmp_path / "out" / "materials").mkdir()  # begun, not finished
+    again = bulk.loaded(spark, df.orderBy(F.rand(3)), entries, f"{tmp_path}/out")
+    assert {t: sorted(map(str, f.collect())) for t, f in again.items()} == first
+    assert bulk.loaded(spark, df.limit(0), entries.limit(0), f"{tmp_path}/none")["quotes"].count() == 0
