@@ -6,7 +6,7 @@ them, and posting lists: a posting is a document's place in its run and how much
 term's frequency counts there. By its impact (that number by the term's weight, as the
 run sees it) a posting goes to one of the tiers, high impacts first. Each tier is a group
 of columns, so a scan of high tiers does not read the lower ones. Of every term the row
-knows the greatest count in each tier, from which residual bounds follow.
+knows, for each tier, the greatest count further down, from which residual bounds follow.
 
 The search. A round reads the tiers down to its own and sums, for every document of a
 run, what an item's terms add: the score's lower bound. The residual bounds of those of
@@ -48,8 +48,12 @@ K = 10
 RUN = 1 << 16
 #: Different pairs of item and term of a batch of items, about.
 BATCH = 1 << 18
-#: How the index is written: small row groups, of which a task holds one at a time, and packed numbers as they are.
-AS_IT_IS = {"parquet.block.size": 4 << 20, "parquet.enable.dictionary": "false", "compression": "uncompressed"}
+#: Documents of a run, at most: their places take two bytes.
+MOST_DOCS = (1 << 16) - 1
+#: How the index is written: small row groups, of which a task holds one at a time; packed numbers don't repeat as values.
+WRITTEN = {"parquet.block.size": 4 << 20, "parquet.enable.dictionary": "false"}
+#: Greatest counts are kept in steps of so much, rounded up: in one byte, and bounds stay bounds.
+STEP = 4096
 #: Impacts that open the first tiers, as shares of the greatest possible one.
 CUTS = (1 / 4, 1 / 16)
 #: What is part of a term: digits, letters, all beyond ASCII. Only A-Z are folded.
@@ -68,17 +72,20 @@ def lengths(n, docs: int, terms: int):
     return 100 - LENGTH + (LENGTH * n * docs) // max(terms, 1)
 
 
-def packed(values: np.ndarray) -> bytes:
-    return values.astype(np.int32).tobytes()
+def packed(values: np.ndarray, kind: type) -> bytes:
+    return values.astype(kind).tobytes()
 
 
-def unpacked(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, np.int32)
+def unpacked(value: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(value, kind)
+
+
+#: Of a tier's columns (how many postings each term has, their documents, their counts) the kinds of number.
+KINDS = {"sizes": np.uint16, "docs": np.uint16, "counts": np.int32}
 
 
 def tier_columns(tier: int) -> list[str]:
-    """Of a tier: where each term's postings begin, documents, counts."""
-    return [f"{c}{tier}" for c in ("starts", "docs", "counts")]
+    return [f"{c}{tier}" for c in KINDS]
 
 
 class Run:
@@ -106,14 +113,15 @@ class Run:
         weights = np.log((2 * own + 2) / (2 * df + 1))
         share = weights[term] * counts / (np.log((2 * own + 2) / 3) * COUNTS / WEIGHT)
         tier = sum(((share < c).astype(int) for c in cuts), np.ones(len(share), int))
-        out = {"run": number, "ids": self.ids, "terms": b"\n".join(self.known), "df": packed(df)}
+        out = {"run": number, "ids": self.ids, "terms": b"\n".join(self.known), "df": packed(df, np.uint16)}
         tops = np.zeros((len(cuts) + 1, vocabulary), np.int64)
         for t in range(1, len(cuts) + 2):
             at = tier == t
             np.maximum.at(tops[t - 1], term[at], counts[at])
-            starts = np.append(0, np.cumsum(np.bincount(term[at], minlength=vocabulary)))
-            out |= dict(zip(tier_columns(t), map(packed, (starts, doc[at], counts[at]))))
-        return out | {"tops": packed(tops)}
+            columns = np.bincount(term[at], minlength=vocabulary), doc[at], counts[at]
+            out |= {name: packed(x, kind) for name, x, kind in zip(tier_columns(t), columns, KINDS.values())}
+        below = [-(-tops[t:].max(axis=0) // STEP) for t in range(1, len(cuts) + 1)]
+        return out | {"below": b"".join(packed(x, np.uint8) for x in below)}
 
 
 def _runs(docs: int, terms: int, run_size: int, cuts: tuple[float, ...], schema: pa.Schema):
@@ -128,7 +136,7 @@ def _runs(docs: int, terms: int, run_size: int, cuts: tuple[float, ...], schema:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 if found := term_list(text.as_py()):
                     run.add(doc_id.as_py(), found)
-                    if run.size >= run_size:
+                    if run.size >= run_size or len(run.ids) == MOST_DOCS:
                         yield out()
                         number, run = number + 1, Run()
         if run.ids:
@@ -160,10 +168,10 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_s
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     total = rows.select("text").mapInArrow(_sizes, "docs long, terms long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("docs", "terms")]).first()
     tiers = len(cuts) + 1
-    columns = ["terms", "df", "tops", *[c for t in range(1, tiers + 1) for c in tier_columns(t)]]
+    columns = ["terms", "df", "below", *[c for t in range(1, tiers + 1) for c in tier_columns(t)]]
     schema = "run long, ids array<long>, " + ", ".join(f"{c} binary" for c in columns)
     arrow = pa.schema([("run", pa.int64()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in columns]])
-    return Index(Saved(rows.mapInArrow(_runs(*total, run_size, cuts, arrow), schema), options=AS_IT_IS), total[0], tiers)
+    return Index(Saved(rows.mapInArrow(_runs(*total, run_size, cuts, arrow), schema), options=WRITTEN), total[0], tiers)
 
 
 def item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,7 +191,7 @@ def _frequencies(sent):
         for batch in batches:
             for terms, df in zip(batch.column("terms"), batch.column("df")):
                 here, own = places(terms.as_py(), wanted)
-                total[here] += unpacked(df.as_py())[own]
+                total[here] += unpacked(df.as_py(), np.uint16)[own]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["t", "df"])
 
@@ -212,8 +220,10 @@ def _bounded(sent, tier: int, tiers: int, k: int):
         n = len(row["ids"])
         ids = pa.array(row["ids"], pa.int64())
         order = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
-        below = unpacked(row["tops"]).reshape(tiers, -1)[tier:].max(axis=0, initial=0).astype(np.int64)
-        cut = [tuple(unpacked(row[c]) for c in tier_columns(t)) for t in range(1, tier + 1)]
+        cut = [tuple(unpacked(row[c], kind) for c, kind in zip(tier_columns(t), KINDS.values())) for t in range(1, tier + 1)]
+        cut = [(np.append(0, np.cumsum(sizes, dtype=np.int64)), docs, counts) for sizes, docs, counts in cut]
+        vocabulary = len(cut[0][0]) - 1
+        below = unpacked(row["below"], np.uint8)[(tier - 1) * vocabulary : tier * vocabulary].astype(np.int64) * STEP if tier < tiers else np.zeros(vocabulary, np.int64)
         # A term's list is cut by tiers, so a document meets it once at most.
         lists = {}
         for t, own in zip(*places(row["terms"], wanted)):
@@ -269,7 +279,7 @@ def _batch(spark: SparkSession, index: Index, terms: DataFrame, k: int) -> DataF
     sent = spark.sparkContext.broadcast((t_of, weights, asked))
     open_items, pairs, answers = range(len(items)), None, []
     for tier in range(1, index.tiers + 1):
-        runs = index.table.df.select("run", "ids", "terms", "tops", *[c for t in range(1, tier + 1) for c in tier_columns(t)])
+        runs = index.table.df.select("run", "ids", "terms", "below", *[c for t in range(1, tier + 1) for c in tier_columns(t)])
         runs = runs if pairs is None else runs.join(pairs, "run")
         found = Saved(runs.mapInArrow(_bounded(sent, tier, index.tiers, k), FOUND)).df
         gap = F.max((F.col("lower") < F.col("upper")).cast("int"))
