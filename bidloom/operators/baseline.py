@@ -109,6 +109,15 @@ def lows(counts: DataFrame, keys: list[str]) -> DataFrame:
     return fenced(ranked(counts, keys), keys).filter("inside").groupBy(*keys).agg(F.min("v").alias("reasonable_low"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
 
 
+def variation(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The coefficient of variation of the prices within the fences, of a sample: keys, cv (0 for one price)."""
+    # Sums are taken from the lower fence on, so that their squares stay small.
+    d, c, n = F.col("v") - F.col("iqr_lower"), F.col("c"), F.col("_n")
+    sums = fenced(ranked(counts, keys), keys).filter("inside").groupBy(*keys).agg(F.sum("c").alias("_n"), F.sum(c * d).alias("_s"), F.sum(c * d * d).alias("_q"), F.max("iqr_lower").alias("_from"))
+    mean, spread = F.col("_from") + F.col("_s") / n, F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / n, F.lit(0.0))
+    return sums.select(*keys, F.when((n > 1) & (mean > 0), F.sqrt(spread / (n - 1)) / mean).otherwise(0.0).alias("cv"))
+
+
 def reasonable_low(rows: DataFrame, keys: list[str], projects: DataFrame) -> DataFrame:
     """The lowest price within the fences and where it comes from: keys, reasonable_low, quote_id, quote_date, project_name, historical_min."""
     ranks = ranked(counted(rows, keys), keys)

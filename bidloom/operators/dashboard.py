@@ -9,7 +9,7 @@ from bidloom.functions.constants import LOST
 from bidloom.functions.numbers import rounded
 from bidloom.functions.text import clean_brand, date_key, dates_in, sub_category
 
-from .baseline import ENOUGH, baseline, counted, quantiles, ranked, with_tier
+from .baseline import ENOUGH, counted, quantiles, ranked, variation, with_tier
 
 UNKNOWN_SUPPLIER = "未知供应商"
 UNNAMED = "未分类"
@@ -30,7 +30,7 @@ def summary(materials: DataFrame, quotes: DataFrame) -> DataFrame:
     price = F.when(F.col("unit_price") > 0, F.col("unit_price"))
     rows = quotes.join(materials.select(F.col("id").alias("material_id"), "category"), "material_id")
     q = rows.groupBy("category").agg(F.count("*").alias("quotes"), F.avg(price).alias("avg_price"), F.countDistinct("supplier_id").alias("suppliers"), F.countDistinct("project_id").alias("projects"))
-    cv = baseline(counted(rows.filter("unit_price > 0"), ["category"]), ["category"]).select("category", F.col("cv").alias("price_cv"))
+    cv = variation(counted(rows.filter("unit_price > 0"), ["category"]), ["category"]).select("category", F.col("cv").alias("price_cv"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     profession = F.coalesce("profession", F.lit(UNNAMED)).alias("profession")
     return m.join(q, "category", "left").join(cv, "category", "left").select("category", profession, "materials", zero("quotes"), "avg_price", "price_cv", zero("suppliers"), zero("projects"))
@@ -79,6 +79,23 @@ def file_statistics(rows: DataFrame) -> DataFrame:
     return whole.withColumn("price_missing_pct", missing).withColumn("n_brands", F.size("brands")).join(subs, "category")
 
 
+def file_analysis(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """``file_statistics`` with ``n_projects`` from the manifest and ``price_stats``: by sub-category, most prices first.
+
+    Each has sub_category, count, mean, median, std, cv, min, max, p10, p90 (the extremes
+    below five prices) and suggested_threshold: one and a half times the cv, five hundredths at least.
+    """
+    from bidloom.sources.files import project_counts
+
+    priced = rows.filter("price > 0").select("category", sub_category(F.col("name"), F.col("category")).alias("sub_category"), F.col("price").cast("double").alias("unit_price"))
+    s = price_statistics(priced, ["category", "sub_category"], sample=True)
+    s = s.withColumns({c: rounded(F.col(c), 2) for c in ("mean", "median", "std", "min", "max", "p10", "p90")}).withColumn("cv", rounded(F.col("cv"), 3))
+    s = s.withColumn("suggested_threshold", rounded(F.greatest(F.col("cv") * 1.5, F.lit(0.05)), 3))
+    one = F.struct((-F.col("count")).alias("m"), *[c for c in s.columns if c != "category"])
+    stats = s.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("m")).alias("price_stats"))
+    return file_statistics(rows).join(stats, "category", "left").join(project_counts(entries), "category", "left").fillna(0, ["n_projects"])
+
+
 def dated(rows: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Rows of a period; dates are strings, so an empty one fails a lower bound."""
     if date_from:

@@ -61,7 +61,7 @@ def page_parts(provider: Provider, content, halves: Callable[[Any], list], cuts:
             return [(part, None, 0.0, 0, 0, f"blocked: {e}")]
         return [found for name, piece in zip("LR", pieces, strict=True) for found in page_parts(provider, piece, halves, cuts - 1, part + name)]
     except Exception as e:  # a page's failure is data here
-        return [(part, None, 0.0, 0, 0, f"{type(e).__name__}: {e}")]
+        return [(part, None, 0.0, 0, 0, str(e))]
 
 
 def pages_read(pages: DataFrame, provider: Provider, halves: Callable[[Any], list] = halves_of_text, cuts: int = 1, in_flight: int = IN_FLIGHT) -> DataFrame:

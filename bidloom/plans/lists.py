@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bidloom.functions import numbers as N
 from bidloom.functions import text as T
 from bidloom.operators import catalog as C
+from bidloom.operators import dashboard as D
 from bidloom.operators import extract as E
 from bidloom.operators import exports as O
 from bidloom.operators import ingest as I
@@ -193,3 +194,18 @@ def sheets_by_category(d):
     entries = d.projects.select(F.lpad("id", 9, "0").alias("csv"), pick(["汇总", "Sheet1", "一期", "技术参数", "二期 "], 5).alias("sheet"), pick(["阀门", "水箱", "桥架"], 3).alias("category"), (F.col("id") % 50).cast("int").alias("rows"))
     chosen = files.summary_sheets(entries).select("category", F.col("csv").cast("long").alias("summary"))
     return files.project_counts(entries).join(chosen, "category").select("category", "n_projects", files.category_order(F.col("category")).alias("place"), "summary")
+
+
+@query(f""", f AS (SELECT p_partkey AS id, ['阀门', '水箱'][p_partkey % 2 + 1] AS category, ['闸阀', '蝶阀 x', '水箱', '不知'][p_partkey % 4 + 1] AS name, CASE WHEN p_partkey % 9 > 0 THEN p_retailprice * (p_partkey % 4 + 1) END AS price, CASE WHEN p_partkey % 10 > 0 THEN p_brand ELSE '12' END AS brand FROM part),
+k AS (SELECT *, CASE WHEN category = '阀门' AND name = '闸阀' THEN '闸阀' WHEN category = '水箱' AND name = '水箱' THEN '不锈钢水箱' ELSE '其他' END AS sub FROM f),
+w AS (SELECT category, count(*) AS n_total, count(price) AS n_valid_price, count(DISTINCT CASE WHEN brand <> '12' THEN brand END)::INTEGER AS n_brands FROM k GROUP BY 1),
+s AS (SELECT category, sub AS sub_category, count(*) AS count, {r('avg(price)', 2)} AS mean, {r('quantile_cont(price, 0.5)', 2)} AS median, {r('stddev_samp(price)', 2)} AS std, {r('stddev_samp(price) / avg(price)', 3)} AS cv, {r('min(price)', 2)} AS min, {r('max(price)', 2)} AS max, {r('quantile_cont(price, 0.1)', 2)} AS p10, {r('quantile_cont(price, 0.9)', 2)} AS p90 FROM k WHERE price > 0 GROUP BY 1, 2)
+SELECT category, n_total, n_valid_price, n_brands, CASE category WHEN '阀门' THEN 2 ELSE 0 END::BIGINT AS n_projects, s.* EXCLUDE (category), {r('greatest(cv * 1.5::DOUBLE, 0.05::DOUBLE)', 3)} AS suggested_threshold, (row_number() OVER (PARTITION BY category ORDER BY count DESC, sub_category) - 1)::INTEGER AS place FROM w JOIN s USING (category)""")
+def file_analysis(d):
+    """What the files of categories hold: sizes, brands, projects and prices by sub-category."""
+    key = F.col("p_partkey")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
+    rows = d._table("part").select(pick(["阀门", "水箱"]).alias("category"), pick(["闸阀", "蝶阀 x", "水箱", "不知"]).alias("name"), F.when(key % 9 > 0, F.col("p_retailprice") * (key % 4 + 1)).alias("price"), F.when(key % 10 > 0, F.col("p_brand")).otherwise("12").alias("brand"), F.lit("").alias("remark"))
+    entries = d.spark.createDataFrame([("a", "汇总", "阀门", 1), ("b", "一期", "阀门", 1), ("c", "二期", "阀门", 1), ("d", "Sheet9", "水箱", 1)], "csv string, sheet string, category string, rows int")
+    out = D.file_analysis(rows, entries).select("category", "n_total", "n_valid_price", "n_brands", "n_projects", F.posexplode("price_stats").alias("place", "s"))
+    return out.select("category", "n_total", "n_valid_price", "n_brands", "n_projects", "place", "s.*")

@@ -216,20 +216,20 @@ def fanned_out(sheets: DataFrame, path: str, kinds: DataFrame) -> DataFrame:
 
 # Of each category's files, rows to skip and where the fields are (from 0; negative: from the end).
 LAYOUTS: dict[str, dict] = {
-    "桥架": {"skip": 1, "name": 1, "spec": 2, "quantity": 7, "unit": 8, "price": 9, "brand": 13},
-    "阀门": {"skip": 3, "name": 2, "spec": 3, "unit": 11, "quantity": 12, "total": 17, "brand": 18},
-    "风口风阀": {"skip": 1, "name": 1, "spec": 3, "quantity": 5, "unit": 6, "price": 7, "brand": 9},
-    "母线槽": {"skip": 1, "name": 1, "spec": 3, "brand": 8, "unit": 10, "quantity": 11, "price": 14},
-    "不锈钢管": {"skip": 1, "name": 1, "spec": 2, "unit": 7, "quantity": 8, "price": 11, "brand": 13},
-    "水箱": {"skip": 1, "name": 1, "spec": 2, "unit": 3, "quantity": 4, "total": 9, "brand": 11},
-    "潜水泵": {"skip": 1, "name": 1, "spec": 2, "quantity": 7, "price": 9, "brand": 11},
-    "风机盘管": {"skip": 1, "name": 1, "spec": 2, "quantity": 5, "unit": 6, "price": 11, "brand": 13},
-    "空调泵": {"skip": 2, "name": 0, "spec": 1, "quantity": -6, "price": -4, "brand": -2, "numbered": False},
+    "桥架": {"skip": 1, "name": 1, "spec": 2, "quantity": 7, "unit": 8, "price": 9, "brand": 13, "material": 3, "remark": 15},
+    "阀门": {"skip": 3, "name": 2, "spec": 3, "unit": 11, "quantity": 12, "total": 17, "brand": 18, "material": 6, "excl": 13, "remark": 19},
+    "风口风阀": {"skip": 1, "name": 1, "spec": 3, "quantity": 5, "unit": 6, "price": 7, "brand": 9, "remark": 10},
+    "母线槽": {"skip": 1, "name": 1, "spec": 3, "brand": 8, "unit": 10, "quantity": 11, "price": 14, "excl": 12, "remark": 16},
+    "不锈钢管": {"skip": 1, "name": 1, "spec": 2, "unit": 7, "quantity": 8, "price": 11, "brand": 13, "excl": 9, "remark": 14},
+    "水箱": {"skip": 1, "name": 1, "spec": 2, "unit": 3, "quantity": 4, "total": 9, "brand": 11, "excl": 5, "material": 12, "remark": 13},
+    "潜水泵": {"skip": 1, "name": 1, "spec": 2, "quantity": 7, "price": 9, "brand": 11, "remark": 12},
+    "风机盘管": {"skip": 1, "name": 1, "spec": 2, "quantity": 5, "unit": 6, "price": 11, "brand": 13, "remark": 14},
+    "空调泵": {"skip": 2, "name": 0, "spec": 1, "quantity": -6, "price": -4, "brand": -2, "remark": -1, "numbered": False},
 }
 
 
 def category_rows(lines: DataFrame, category: str) -> DataFrame:
-    """Data rows of a category's sheets: path, line_no, name, spec, brand, unit, quantity, price, category.
+    """Data rows of a category's sheets: path, line_no, name, spec, brand, unit, quantity, price, category, material_type, price_excl, remark.
 
     A data row has a whole number in its first cell; where rows are not numbered, a name
     that is no heading. Where a layout has a total, the price is total by quantity. A
@@ -243,7 +243,7 @@ def category_rows(lines: DataFrame, category: str) -> DataFrame:
     price: Column = import_number(cell("price")) if "price" in at else F.try_divide(import_number(cell("total")), quantity)
     brand = F.when((cell("brand") != "") & cell("brand").try_cast("double").isNull(), cell("brand"))
     rows = lines.filter(F.col("line_no") >= at["skip"]).filter(data)
-    return rows.select("path", "line_no", cell("name").alias("name"), cell("spec").alias("spec"), brand.alias("brand"), cell("unit").alias("unit"), quantity.alias("quantity"), price.alias("price"), F.lit(category).alias("category"))
+    return rows.select("path", "line_no", cell("name").alias("name"), cell("spec").alias("spec"), brand.alias("brand"), cell("unit").alias("unit"), quantity.alias("quantity"), price.alias("price"), F.lit(category).alias("category"), cell("material").alias("material_type"), import_number(cell("excl")).alias("price_excl"), cell("remark").alias("remark"))
 
 
 def box_totals(lines: DataFrame) -> DataFrame:

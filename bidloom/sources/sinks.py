@@ -22,6 +22,11 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _file_system(spark, path)
+    return fs.exists(place)
+
+
 def swapped(df: DataFrame, path: str) -> None:
     """``df`` in the place of the folder ``path``, which it may read: written beside it, then put there by two renames.
 

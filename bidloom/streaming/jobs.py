@@ -78,10 +78,10 @@ def states(events: DataFrame, late: str = "1 hour", stuck_minutes: int = 5, keep
     silent for ``stuck_minutes`` of event time fails at the end of that time, once the
     watermark has passed it; a pending one may wait. Progress never falls, is the greatest
     told up to the end, and 100 when done. The state of an ended job is kept for
-    ``keep_minutes`` after its end. A job whose id is null is a job. Events without a
-    time, or with a null status, tell nothing. The session's state store must be ``STORE``.
+    ``keep_minutes`` after its end. Events without a job, a time or a status tell
+    nothing. The session's state store must be ``STORE``.
     """
-    rows = events.filter("at IS NOT NULL AND status IS NOT NULL").select("job_id", F.col("at").cast("timestamp").alias("at"), F.unix_micros(F.col("at").cast("timestamp")).alias("micros"), "status", F.col("progress").cast("int").alias("progress"))
+    rows = events.filter("job_id IS NOT NULL AND at IS NOT NULL AND status IS NOT NULL").select("job_id", F.col("at").cast("timestamp").alias("at"), F.unix_micros(F.col("at").cast("timestamp")).alias("micros"), "status", F.col("progress").cast("int").alias("progress"))
     processor = JobStates(stuck_minutes * MINUTE, keep_minutes * MINUTE)
     told = rows.withWatermark("at", late).groupBy("job_id").transformWithState(processor, "job_id string, status string, progress int, micros long, was string, since long, change int", "Update", "EventTime")
     return told.select("job_id", "status", "progress", F.timestamp_micros("micros").alias("updated_at"), "was", F.timestamp_micros("since").alias("changed_at"), "change")
