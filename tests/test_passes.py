@@ -1,5 +1,7 @@
 """How often a query reads the quotes, and what it moves."""
 
+import pytest
+
 from bidloom.operators import scoring as S
 from bidloom.plans.domain import Domain
 from bidloom.plans.queries import valid
@@ -22,3 +24,9 @@ def test_scores_are_equal_from_one_frame_and_from_two(spark):
     rows = lambda quotes, of, category: sorted(map(tuple, S.score(d.suppliers, quotes, of, d.brand_tiers, category=category).collect()))
     for category in (None, "PROMO", "UNHEARD OF"):
         assert rows(d.priced, None, category) == rows(d.categorised, valid(d), category)
+
+
+@pytest.mark.parametrize("name", ["recommend_suppliers"])
+def test_recommendations_come_from_counts(spark, name):
+    """All quotes are counted once, before; neither score reads them again."""
+    assert scans(queries()[name](spark, SF), "l_orderkey") == 0
