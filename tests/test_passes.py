@@ -26,7 +26,7 @@ def test_scores_are_equal_from_one_frame_and_from_two(spark):
         assert rows(d.priced, None, category) == rows(d.categorised, valid(d), category)
 
 
-@pytest.mark.parametrize("name", ["recommend_suppliers"])
+@pytest.mark.parametrize("name", ["recommend_suppliers", "recommend_newcomers"])
 def test_recommendations_come_from_counts(spark, name):
     """All quotes are counted once, before; neither score reads them again."""
     assert scans(queries()[name](spark, SF), "l_orderkey") == 0
