@@ -30,3 +30,9 @@ def test_scores_are_equal_from_one_frame_and_from_two(spark):
 def test_recommendations_come_from_counts(spark, name):
     """All quotes are counted once, before; neither score reads them again."""
     assert scans(queries()[name](spark, SF), "l_orderkey") == 0
+
+
+def test_summaries_read_the_quotes_of_those_recommended(spark):
+    df = queries()["recommendation_summaries"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert scans(df, "l_orderkey") == 1 and plan.index("LeftSemi") > plan.index("l_suppkey")  # below the joins, at the lines
