@@ -125,26 +125,30 @@ def merged(partials: DataFrame, kind: str = "quote") -> DataFrame:
         *([F.transform(in_order(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("page", "error")))), _skip(parts)).alias("skipped"), F.when(F.count_if(F.col("error").isNull()) > 0, "done").otherwise("failed").alias("status")] if failing else []),
         in_order(F.collect_list(items)).alias("_items"), in_order(F.collect_list(texts)).alias("_texts"), in_order(F.collect_list(F.struct("page", F.coalesce(F.size("d.items"), F.lit(0)).alias("n")))).alias("_sizes"),
     )
-    keyed = F.transform(F.flatten(F.transform("_items", lambda p: p["items"])), lambda x: F.struct(F.concat_ws("\x01", *[F.coalesce(F.trim(x[c]), F.lit("")) for c in key]).alias("k"), x.alias("item")))
+    all_items = F.flatten(F.transform("_items", lambda p: p["items"]))
+    same = lambda x: F.concat_ws("\x01", *[F.coalesce(F.trim(x[c]), F.lit("")) for c in key])
     # The first item of each key, in order: keys are sorted with their places once; a list bound by a lambda is not built anew for each item.
     bound = lambda x, f: F.transform(F.array(x), f)[0]
     firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"]))
-    in_place = lambda all_: F.array_sort(F.transform(bound(F.array_sort(F.transform(all_, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i")))), firsts), lambda x: x["i"]))
-    out = out.withColumn("items", bound(keyed, lambda all_: F.transform(in_place(all_), lambda i: F.get(all_, i)["item"])))
+    in_place = lambda keys: F.array_sort(F.transform(bound(F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))), firsts), lambda x: x["i"]))
+    # Most documents repeat nothing and need no sort.
+    kept = lambda x: F.when(F.size(F.array_distinct(x["keys"])) == F.size(x["keys"]), x["all"]).otherwise(F.transform(in_place(x["keys"]), lambda i: F.get(x["all"], i)))
+    out = out.withColumn("items", bound(all_items, lambda a: bound(F.struct(a.alias("all"), F.transform(a, same).alias("keys")), kept)))
     out = out.withColumn("raw_text", F.array_join(F.transform("_texts", lambda p: p["raw_text"]), "\n---batch---\n")).withColumn("items_per_page", F.transform("_sizes", lambda p: F.greatest(p["n"], F.lit(0))))
     return out.drop("_items", "_texts", "_sizes")
 
 
+def named_items(items: Column) -> Column:
+    """Quote items but those without a name."""
+    return F.filter(items, lambda x: F.coalesce(F.trim(x["material"]) != "", F.lit(False)))
+
+
 def cleaned_items(items: Column) -> Column:
     """Quote items with numbers, trimmed names, computed totals; those without a name drop out."""
-    typed = F.transform(
-        items,
-        lambda x: F.struct(
-            F.trim(x["material"]).alias("material"), F.trim(x["spec"]).alias("spec"), F.trim(x["brand"]).alias("brand"), F.trim(x["unit"]).alias("unit"), extraction_number(x["qty"]).alias("qty"),
-            extraction_number(x["unit_price"]).alias("unit_price"), line_total(extraction_number(x["unit_price"]), extraction_number(x["qty"]), extraction_number(x["total_price"])).alias("total_price"), F.trim(x["remark"]).alias("remark"),
-        ),
-    )
-    return F.filter(typed, lambda x: F.coalesce(x["material"] != "", F.lit(False)))
+    texts, numbers = ("material", "spec", "brand", "unit"), ("qty", "unit_price", "total_price")
+    # Each number is read once, then the total follows from them.
+    read = F.transform(named_items(items), lambda x: F.struct(*[F.trim(x[c]).alias(c) for c in texts], *[extraction_number(x[c]).alias(c) for c in numbers], F.trim(x["remark"]).alias("remark")))
+    return F.transform(read, lambda x: F.struct(*[x[c].alias(c) for c in (*texts, "qty", "unit_price")], line_total(x["unit_price"], x["qty"], x["total_price"]).alias("total_price"), x["remark"].alias("remark")))
 
 
 def tender_items(items: Column) -> Column:

@@ -36,3 +36,9 @@ def test_summaries_read_the_quotes_of_those_recommended(spark):
     df = queries()["recommendation_summaries"](spark, SF)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert scans(df, "l_orderkey") == 1 and plan.index("LeftSemi") > plan.index("l_suppkey")  # below the joins, at the lines
+
+
+@pytest.mark.parametrize("name", ["merged_extractions", "extracted_lines"])
+def test_pages_are_shuffled_once(spark, name):
+    """They are numbered and merged by the same key."""
+    assert queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
