@@ -89,7 +89,7 @@ def matrix(
     whole = lows(counts, ["category"]).select("category", F.struct("reasonable_low", "mean").alias("_whole"))
     part = lows(counts.filter("sub_category <> ''"), ["category", "sub_category"]).select("category", "sub_category", F.struct("reasonable_low", "mean").alias("_part"))
     dates = F.when(F.col("quote_date") != "", F.col("quote_date"))
-    past = (quotes if quotes is not None else valid).groupBy("category").agg(F.min(dates).alias("_from"), F.max(dates).alias("_to"), F.count(dates).alias("_dates"), F.countDistinct("project_id").alias("projects"))
+    past = (quotes if quotes is not None else valid).join(F.broadcast(of) if category else of, "category", "left_semi").groupBy("category").agg(F.min(dates).alias("_from"), F.max(dates).alias("_to"), F.count(dates).alias("_dates"), F.countDistinct("project_id").alias("projects"))
     priced = bounds(cells.join(whole, "category", "left").join(part, ["category", "sub_category"], "left").join(past, "category", "left").crossJoin(lone), thresholds)
     basis = F.when(F.col("sub_category") != "", F.col("_part")).otherwise(F.col("_whole"))
     quantity = F.when(F.col("quantity") != 0, F.col("quantity")).otherwise(1.0)

@@ -42,3 +42,13 @@ def test_summaries_read_the_quotes_of_those_recommended(spark):
 def test_pages_are_shuffled_once(spark, name):
     """They are numbered and merged by the same key."""
     assert queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_a_matrix_looks_back_on_its_categories_alone(spark, monkeypatch):
+    """Periods and projects are counted for the rows' categories, not for all quotes."""
+    from bidloom.operators import matrix
+
+    last = []
+    monkeypatch.setattr(matrix, "saved", lambda df, real=matrix.saved: last.append(df) or real(df))
+    queries()["bid_matrix_totals"](spark, SF)
+    assert last[-1]._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
