@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 #: States a job stays in.
 ENDED = ("done", "failed")
@@ -28,7 +28,7 @@ class Story:
     since: list[int] = field(default_factory=list)
     begins: list[int] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)
-    #: The state's timer, in milliseconds.
+    #: When the watermark decides the job's end or its keeping ends, in milliseconds.
     timer: int | None = None
     #: What was last put out.
     told: str | None = None
@@ -43,7 +43,7 @@ class Story:
         return story
 
     def row(self) -> tuple:
-        return tuple(asdict(self).values())
+        return tuple(vars(self).values())
 
     def add(self, at: int, status: str, progress: int | None, stuck: int) -> None:
         self.last_at = at if self.last_at is None else max(self.last_at, at)

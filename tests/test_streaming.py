@@ -112,6 +112,39 @@ def test_state_of_ended_jobs_goes_after_its_time(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6  # two states and their timers
 
 
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_jobs_of_one_bucket_keep_apart(spark, tmp_path, buckets):
+    """Among events without progress."""
+    rows = [(*r[:3], None if k % 3 == 0 else r[3]) for k, r in enumerate(stories(11))]
+    jobs.into_parquet(stream_of(spark, tmp_path, rows, late="2 hours", buckets=buckets), f"{tmp_path}/out", f"{tmp_path}/cp", ["job_id", "change"]).start().awaitTermination()
+    watermark = max(r[1] for r in rows) // 1000 * 1000 - 120 * MIN
+    got = {j: (r.status, r.progress, r.micros) for j, r in final(spark, f"{tmp_path}/out").items()}
+    assert got == {j: fold([(*r[1:3], r[3] or 0) for r in rows if r[0] == j], watermark, 5 * MIN) for j in {r[0] for r in rows}}
+
+
+def test_times_beyond_those_of_pandas(spark, tmp_path):
+    year_3000 = 32_503_680_000_000_000
+    rows = [("a", START, "running", 10), ("a", START + MIN, "running", 20), ("b", year_3000, "pending", 5), ("c", START + MIN, "pending", 0)]
+    jobs.into_parquet(stream_of(spark, tmp_path, rows, files=1), f"{tmp_path}/out", f"{tmp_path}/cp", ["job_id", "change"]).start().awaitTermination()
+    got = {j: (r.status, r.progress, r.micros) for j, r in final(spark, f"{tmp_path}/out").items()}
+    assert got == {"a": ("failed", 20, START + 6 * MIN), "b": ("pending", 5, year_3000), "c": ("pending", 0, START + MIN)}
+
+
+def test_state_is_kept_by_buckets(spark, tmp_path):
+    """The calls of the state store are as many as the buckets, however many jobs there are."""
+    rows = [(f"j{k}", START + k, "running", 1) for k in range(14_000)]
+    query = jobs.into_parquet(stream_of(spark, tmp_path, rows, files=1), f"{tmp_path}/out", f"{tmp_path}/cp", ["job_id", "change"]).start()
+    query.awaitTermination()
+    assert len(final(spark, f"{tmp_path}/out")) == 14_000
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 4096  # a state, a timer and its place in the order of timers
+
+
+def test_an_end_is_told_when_the_watermark_passes_its_keeping_too(spark, tmp_path):
+    rows = [("a", START, "running", 10), ("b", START + 3000 * MIN, "pending", 0)]
+    jobs.into_parquet(stream_of(spark, tmp_path, rows, files=2, late="1 hour", keep_minutes=60), f"{tmp_path}/out", f"{tmp_path}/cp", ["job_id", "change"]).start().awaitTermination()
+    assert [(r.status, r.progress, r.micros) for j, r in final(spark, f"{tmp_path}/out").items() if j == "a"] == [("failed", 10, START + 5 * MIN)]
+
+
 def test_queue_depth_and_waits_by_batch(spark, tmp_path):
     at = lambda m: START + m * MIN
     rows = [("a", at(0), "pending", 0), ("b", at(0), "pending", 0), ("c", at(1), "running", 0), ("a", at(3), "running", 1), ("c", at(4), "done", 1), ("d", at(4), "pending", 0), ("b", at(5), "running", 1), ("a", at(5), "done", 1), ("d", at(6), "failed", 1)]
